@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.near_dup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.shared import table
+from tessera.llm.toxicity import toxicity
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +24,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
