@@ -11,6 +11,7 @@ from tessera.llm.near_dup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.shared import table
 from tessera.llm.toxicity import toxicity
+from tessera.llm.url_filter import default_rules, judge
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), default_rules(spark))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_url_rules": op8_url_rules,
     "op1_source_mix": op1_source_mix,
     "op9_language_id": op9_language_id,
     "op6_toxicity": op6_toxicity,
