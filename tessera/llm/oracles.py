@@ -23,6 +23,15 @@ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
 """
 
+OP4 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest, body FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS largest FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> largest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> largest THEN largest END AS refers_to FROM g
+"""
+
 OP8 = r"""
 WITH r(rule_host, rule_path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 u AS (SELECT page_id, row_number() OVER () AS k, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -33,6 +42,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m W
 """
 
 ORACLES = {
+    "op4_warc": OP4,
     "op2_top_k": OP2,
     "op8_url_rules": OP8,
    "op10_minhash_near_dedup": OP10}
