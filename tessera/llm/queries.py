@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import media, warc
 from tessera.llm.language import language
 from tessera.llm.mixing import mix
 from tessera.llm.near_dup import near_duplicates
@@ -14,7 +15,6 @@ from tessera.llm.shared import table
 from tessera.llm.top_k import top_k
 from tessera.llm.toxicity import toxicity
 from tessera.llm.url_filter import default_rules, judge
-from tessera.llm.warc import round_trip
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,12 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(spark, table(spark, sf_dir, "pages"))
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +54,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_media_columns": op3_media_columns,
     "op4_warc": op4_warc,
     "op2_top_k": op2_top_k,
     "op8_url_rules": op8_url_rules,
