@@ -12,6 +12,7 @@ from tessera.llm.mixing import mix
 from tessera.llm.near_dup import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.shared import table
+from tessera.llm.token_count import token_counts
 from tessera.llm.top_k import top_k
 from tessera.llm.toxicity import toxicity
 from tessera.llm.url_filter import default_rules, judge
@@ -33,6 +34,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +59,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_token_counts": op5_token_counts,
     "op3_media_columns": op3_media_columns,
     "op4_warc": op4_warc,
     "op2_top_k": op2_top_k,
