@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.shared import cut, table
+from tessera.llm.stages import STAGES
 
-STAGES = []
-ORACLE_SQL = None
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
+
+ORACLE_SQL = None  # the models of the first two stages are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

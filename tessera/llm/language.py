@@ -211,20 +211,21 @@ def _labelled(field: Field, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple
             yield part, best, score
 
 
-def identified(docs: DataFrame, field: Field | None) -> DataFrame:
-    """``docs`` with its columns and ``lang_pred``, ``lang_score``."""
-    fields = [f for f in docs.schema.names if f not in ("lang_pred", "lang_score")]
-    docs = docs.select(*fields)
+def identified(docs: DataFrame, field: Field | None, into: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with its columns and the two of ``into``, language and score, which must be new ones."""
+    if set(into) & set(docs.columns):
+        raise ValueError(f"{into} are columns already")
+    fields = docs.schema.names
     if field is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "lang_score": F.lit(0.0)})
+        return docs.withColumns({into[0]: F.lit(UNDETERMINED), into[1]: F.lit(0.0)})
     held = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*held.value.languages, UNDETERMINED])
         for part, best, score in _labelled(held.value, batches):
-            yield pa.RecordBatch.from_arrays([*(part.column(f) for f in fields), names.take(pa.array(np.where(best < 0, len(names) - 1, best))), pa.array(score)], names=[*fields, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(f) for f in fields), names.take(pa.array(np.where(best < 0, len(names) - 1, best))), pa.array(score)], names=[*fields, *into])
 
-    return docs.mapInArrow(run, docs.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema)
+    return docs.mapInArrow(run, docs.withColumns({into[0]: F.lit(""), into[1]: F.lit(0.0)}).schema)
 
 
 def language(docs: DataFrame) -> DataFrame:

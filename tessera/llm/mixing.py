@@ -154,11 +154,13 @@ def targets(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
 
 
 def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, block: int = 1024, reserve: int = 128, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for every row of ``docs`` (doc_id, text, source)."""
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size")).withColumn("size", F.coalesce("size", F.lit(0)).cast("long")), "sizes")
+    """doc_id, size, source_size, target, taken, copies and the columns of ``keep`` for every row of ``docs``
+    (doc_id, text, source)."""
+    keep = keep or []
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", *keep, F.regexp_count("text", F.lit(WORD)).cast("long").alias("size")).withColumn("size", F.coalesce("size", F.lit(0)).cast("long")), "sizes")
     aims = cut(targets(rows, weights, cap), "targets")
     rated = rows.join(aims, rows["source"].eqNullSafe(aims["source"])).select(
-        "doc_id", "size", "source_no", "source_size", "target", "n",
+        "doc_id", *keep, "size", "source_no", "source_size", "target", "n",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"),
     )
     whole = rated.withColumn("sure", F.floor(F.col("rate") + EPS).cast("int"))
@@ -182,4 +184,4 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...]
     landed = dealt.unionByName(kept_back).withColumn("b", F.lit(0).cast("long")).groupBy("source_no", "b").applyInPandas(_land(seed), schema)
     all_rows = reduce(DataFrame.unionByName, [*done, landed])
     copies = F.col("sure") + F.round("p").cast("int")
-    return all_rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return all_rows.select("doc_id", *keep, "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))

@@ -224,21 +224,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     return model
 
 
-def scored(docs: DataFrame, model: Model | float) -> DataFrame:
-    """``docs`` with its columns and ``score`` (0 to 1)."""
+def scored(docs: DataFrame, model: Model | float, into: str = "score") -> DataFrame:
+    """``docs`` with its columns and ``into`` (0 to 1), which must be a new one."""
+    if into in docs.columns:
+        raise ValueError(f"{into} is a column already")
     if isinstance(model, float):
-        return docs.withColumn("score", F.lit(model))
+        return docs.withColumn(into, F.lit(model))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.names if f != "score"]
+    fields = docs.schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = held.value.curve
         for part, x in evidence(batches, held.value):
             score = 1 / (1 + np.exp(-np.clip(a + b * x, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*(part.column(f) for f in fields), pa.array(score)], names=[*fields, "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(f) for f in fields), pa.array(score)], names=[*fields, into])
 
-    schema = docs.select(*fields).withColumn("score", F.lit(0.0)).schema
-    return docs.select(*fields).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.withColumn(into, F.lit(0.0)).schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
