@@ -173,9 +173,10 @@ def evidence(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of every labelled row outside the held-out fold."""
+    """doc_id, text, toxic of every labelled row outside the held-out fold. Labels grow with the documents,
+    so both sides are dealt by doc_id at every size."""
     known = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where(fold(F.col("doc_id")) != HELD_OUT)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(fold(F.col("doc_id")) != HELD_OUT).join(known, "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(fold(F.col("doc_id")) != HELD_OUT).join(known.hint("merge"), "doc_id")
 
 
 def fit_curve(x: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[float, float]:
