@@ -53,12 +53,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    rank, copies = _new(docs, "rank_in_id"), _new(docs, "copies")
+    rank, times, copy, its_id, its_rank = (_new(docs, c) for c in ("rank_in_id", "times", "copy", "mixed_id", "mixed_rank"))
     same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source"))
     ranked = docs.withColumn(rank, F.row_number().over(same_id))
-    taken = mix(ranked, keep=[rank]).select(F.col("doc_id").alias("mixed_id"), F.col(rank).alias("mixed_rank"), F.col("copies").alias("times")).where("times > 0")
-    met = ranked.join(taken, ranked["doc_id"].eqNullSafe(taken["mixed_id"]) & (ranked[rank] == taken["mixed_rank"]))
-    return met.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    taken = mix(ranked, keep=[rank]).select(F.col("doc_id").alias(its_id), F.col(rank).alias(its_rank), F.col("copies").alias(times)).where(F.col(times) > 0)
+    met = ranked.join(taken, F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col(rank) == F.col(its_rank)))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
