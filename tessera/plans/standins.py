@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from tessera.sources.shared import table
 
 
 def subjects(spark: SparkSession, d: str) -> DataFrame:
@@ -40,3 +38,5 @@ def trace_events(spark: SparkSession, d: str) -> DataFrame:
     phase = F.when(F.col("event_id") % 3 == 0, "STARTED").when(F.col("event_id") % 3 == 1, "COMPLETED").otherwise("FAILED")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     return e.select(F.col("user_id").alias("trace"), F.col("event_id").alias("sequence"), ms.alias("at_ms"), F.col("ts").alias("at"), phase.alias("phase"), "event_type", F.floor(F.col("event_id") / 3).alias("invocation"), "value")
+
+__all__ = ["part_values", "records", "subjects", "table", "trace_events", "values"]
