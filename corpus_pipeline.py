@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.shared import cut, table
 from tessera.llm.stages import STAGES
+from tessera.sources.shared import cut, table
 
 __all__ = ["ORACLE_SQL", "STAGES", "run"]
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessera.llm.shared import new_path
+from tessera.sources.shared import new_path
 
 WIDTH = 64
 RANGE_BYTES = 16 << 20

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import cut, new_path
+from tessera.sources.shared import cut, new_path
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
