@@ -6,8 +6,8 @@ too, from sequences that switch language between stretches of training texts. Fo
 word's label probabilities in the context of its whole text; a text's language has the highest mean over
 its words with letters, and that mean is the score.
 
-The field is fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled rows, those with the least hash
-of (doc_id, text), with their whole texts. Everything else covers all rows and whole texts. All texts of a
+The field is fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled rows, those of each language with
+the least hash of (doc_id, text), with their whole texts. Everything else covers all rows and whole texts. All texts of a
 slice move together, so a long one is read in whole.
 
 Edge cases: null text or text without a letter is ``und`` with score 0. Without any labelled row every text
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.text import mix, ragged, slices, words
@@ -119,8 +119,14 @@ class Field:
 
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """text, lang of at most ``rows`` labelled rows: of each language those with the least hash, dealt out
+    evenly, so that a rare language has its share."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
-    return known.select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text", "lang").limit(rows).select("text", "lang")
+    hashed = known.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = hashed.select("lang", "h").withColumn("place", place).where(F.col("place") <= rows).orderBy("place", "h", "lang").limit(rows).select("lang", "h").distinct()
+    # no more than ``rows`` keys go out; texts move only once they are chosen
+    return hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("h", "lang").select("text", "lang")
 
 
 def fit(sample: pa.Table) -> Field | None:
