@@ -1,9 +1,9 @@
 """Operator 6: toxicity by class-conditional Kneser-Ney models over the letters of words.
 
 Two models, toxic and ordinary, give each byte of a word its probability after the ``ORDER - 1`` bytes
-before it (a word starts after padding and ends with a mark). Their highest order counts per class; all
-lower orders are continuation counts of both classes together, so a rare expression costs both classes
-the same. A document's evidence is the difference of the two log-likelihoods over its number of bytes, and
+before it (a word starts after padding and ends with a mark). Orders above ``SHARED_ORDER`` count per class;
+the orders from there down are continuation counts of both classes together, so that what neither has seen
+costs both the same. A document's evidence is the difference of the two log-likelihoods over its number of bytes, and
 a logistic curve, fitted to all training documents by bins of that evidence, turns it into a score.
 
 Counts cover every labelled training row and are summed by Spark. What the executors get is a table of
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.text import mix, ragged, slices, words
 from tessera.sources.shared import cut
 
-ORDER = 5
+ORDER, SHARED_ORDER = 5, 2
 TOP_BITS, LOW_BITS = 20, 18
 FOLDS, HELD_OUT = 5, 0
 CURVE_BINS = 4000
@@ -101,22 +101,24 @@ class Level:
 
 @dataclass
 class Model:
-    toxic: Level
-    ordinary: Level
-    shared: list[Level]  # from order - 1 down to 2
+    toxic: list[Level]  # from ORDER down to SHARED_ORDER + 1
+    ordinary: list[Level]
+    shared: list[Level]  # from SHARED_ORDER down to 2
     letters: np.ndarray  # probability of each byte
     prior: float = 0.0
     curve: tuple[float, float] = (0.0, 1.0)
 
-    def ratios(self, keys: np.ndarray) -> np.ndarray:
-        """log P(byte | toxic) - log P(byte | ordinary) of each gram."""
+    def probability(self, keys: np.ndarray, levels: list[Level]) -> np.ndarray:
+        """P(byte | the bytes before it) of each gram, by a class's levels over the shared ones."""
         low = self.letters[keys & 255]
-        for k in range(len(self.shared) - 1, -1, -1):
-            order = ORDER - 1 - k
-            p, back = self.shared[k].terms(keys & ((1 << 8 * order) - 1))
+        for order, level in enumerate([*self.shared[::-1], *levels[::-1]], 2):
+            p, back = level.terms(keys & ((1 << 8 * order) - 1))
             low = p + back * low
-        (t, tb), (o, ob) = self.toxic.terms(keys), self.ordinary.terms(keys)
-        return np.log(t + tb * low) - np.log(o + ob * low)
+        return low
+
+    def ratios(self, keys: np.ndarray) -> np.ndarray:
+        """log P(byte | toxic) - log P(byte | ordinary) of each gram."""
+        return np.log(self.probability(keys, self.toxic)) - np.log(self.probability(keys, self.ordinary))
 
 
 def _level(rows: DataFrame, c: str, bits: int) -> Level:
@@ -150,6 +152,21 @@ def _slotted(bits: int, columns: tuple[str, ...]):
     return run
 
 
+def _last(order: int) -> Column:
+    """The last ``order`` bytes of a gram."""
+    return F.col("g").bitwiseAND(F.lit((1 << 8 * order) - 1))
+
+
+def _class_levels(grams: DataFrame, c: str) -> list[Level]:
+    """A class's levels: its counts at the top, and below how many different bytes come before a gram."""
+    above, column, levels = grams.where(F.col(c) > 0).select("g", c), c, []
+    for order in range(ORDER, SHARED_ORDER, -1):
+        if order < ORDER:
+            above, column = cut(above.groupBy(_last(order).alias("g")).agg(F.count(F.lit(1)).alias("n")), "continuations"), "n"
+        levels.append(_level(above, column, TOP_BITS if order == ORDER else LOW_BITS))
+    return levels
+
+
 def evidence(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Each slice with its documents' length-normalised log-likelihood differences."""
     for batch in batches:
@@ -200,14 +217,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
         return float(1 in classes)
     train = train.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
     grams = cut(train.select("text", "toxic").mapInArrow(_counts, "g long, t long, o long").groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "grams")
+    toxic, ordinary = (_class_levels(grams, c) for c in "to")
     shared, above = [], grams
-    for order in range(ORDER - 1, 1, -1):
-        above = cut(above.groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("g")).agg(F.count(F.lit(1)).alias("c")), "continuations")
+    for order in range(SHARED_ORDER, 1, -1):
+        wider = above.select(_last(order + 1).alias("g")).distinct()
+        above = wider.groupBy(_last(order).alias("g")).agg(F.count(F.lit(1)).alias("c"))
         shared.append(_level(above, "c", LOW_BITS))
     letters = np.ones(256)
-    for r in above.groupBy(F.col("g").bitwiseAND(F.lit(255)).alias("g")).agg(F.count(F.lit(1)).alias("c")).collect():
+    for r in above.groupBy(_last(1).alias("g")).agg(F.count(F.lit(1)).alias("c")).collect():
         letters[r["g"]] += r["c"]
-    model = Model(_level(grams, "t", TOP_BITS), _level(grams, "o", TOP_BITS), shared, letters / letters.sum(), classes[1] / sum(classes.values()))
+    model = Model(toxic, ordinary, shared, letters / letters.sum(), classes[1] / sum(classes.values()))
     held = train.sparkSession.sparkContext.broadcast(model)
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
