@@ -72,10 +72,10 @@ def a6_selection_summary(s, d):
     return sm.numeric_summary(ar.lookup(values(s, d).where("state = 'VALUE'"), "subject_id", chosen), "mean", ["endpoint_id"]).select("endpoint_id", "valid", "mean", "median")
 
 
-@query(f"WITH {_DELTAS}, e AS (SELECT subject_a AS node, subject_b AS other, transform_id, delta FROM d UNION ALL SELECT subject_b, subject_a, transform_id, delta FROM d) SELECT node AS centre, other, count(*) AS edges, count(DISTINCT transform_id) AS transforms, {h('avg(delta)')} AS mean_delta, {h('median(delta)')} AS median_delta, {h('min(delta)')} AS min_delta, {h('max(delta)')} AS max_delta FROM e WHERE node % 50 = 0 GROUP BY 1, 2")
+@query(f"WITH {_DELTAS}, e AS (SELECT subject_a AS node, subject_b AS other, transform_id, delta FROM d UNION ALL SELECT subject_b, subject_a, transform_id, delta FROM d) SELECT node AS centre, other, count(*) AS edges, count(DISTINCT transform_id) AS transforms, {h('avg(delta)')} AS mean_delta, {h('median(delta)')} AS median_delta, {h('min(delta)')} AS min_delta, {h('max(delta)')} AS max_delta FROM e GROUP BY 1, 2")
 def a14_collapsed_neighbours(s, d):
     edges = _deltas(s, d).select(F.col("subject_a").alias("source"), F.col("subject_b").alias("target"), "transform_id", "delta")
-    return gr.collapsed(edges, part_values(s, d).where("subject % 50 = 0").select(F.col("subject").alias("node")))
+    return gr.collapsed(edges, part_values(s, d).select(F.col("subject").alias("node")))
 
 
 @query()
@@ -116,8 +116,8 @@ def t10_most_measured(s, d):
     return ar.most_measured(values(s, d), "endpoint_id", "n").select("endpoint_id", "subject_id", "n", "rank", "effective_date")
 
 
-@query(f"WITH {_COS}, b AS (SELECT source AS node, target AS other FROM edges UNION SELECT target, source FROM edges), g AS (SELECT node, count(*) AS degree FROM b GROUP BY 1), n AS (SELECT b.node AS centre, other, degree, {h('abs(CAST(y.label AS DOUBLE) - x.label)')} AS gap FROM b JOIN g ON g.node = other JOIN embeddings x ON x.vec_id = b.node JOIN embeddings y ON y.vec_id = other WHERE b.node % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY gap, degree DESC, other) AS rank FROM n) SELECT centre, other, degree, gap, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+@query(f"WITH {_COS}, b AS (SELECT source AS node, target AS other FROM edges UNION SELECT target, source FROM edges), g AS (SELECT node, count(*) AS degree FROM b GROUP BY 1), n AS (SELECT b.node AS centre, other, degree, {h('abs(CAST(y.label AS DOUBLE) - x.label)')} AS gap FROM b JOIN g ON g.node = other JOIN embeddings x ON x.vec_id = b.node JOIN embeddings y ON y.vec_id = other), r AS (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY gap, degree DESC, other) AS rank FROM n) SELECT centre, other, degree, gap, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def t12_nearest_in_value(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("value"))
-    near = gr.neighbourhood(_edges(s, d), v.where("node % 20 = 0").select("node"), 1000).select("centre", "other", "degree")
+    near = gr.neighbourhood(_edges(s, d), v.select("node"), 1000).select("centre", "other", "degree")
     return ar.nearest_in_value(near, v, 5)

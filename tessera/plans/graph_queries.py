@@ -41,9 +41,9 @@ def j1_mined_pairs(s, d):
     return pa.mine_pairs(records(s, d)).groupBy("transform_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("key").alias("keys"))
 
 
-@query(f"WITH {_DELTAS} SELECT cut_count, key, subject_a, subject_b, {h('delta')} AS delta FROM d WHERE key % 10 = 3")
+@query(f"WITH {_DELTAS} SELECT cut_count, key, subject_a, subject_b, {h('delta')} AS delta FROM d")
 def j2_pair_deltas(s, d):
-    return _deltas(s, d).where("key % 10 = 3").select("cut_count", "key", "subject_a", "subject_b", pa.half_up(F.col("delta")).alias("delta"))
+    return _deltas(s, d).select("cut_count", "key", "subject_a", "subject_b", pa.half_up(F.col("delta")).alias("delta"))
 
 
 @query(f"WITH {_DELTAS} {_STATS}")
@@ -67,14 +67,14 @@ def a13_transform_summary(s, d):
 
 
 _REC = f"""WITH {_DELTAS}, st AS (SELECT cut_count, from_value, to_value, transform_id, count(*) AS support, {h('avg(delta)')} AS mean FROM d GROUP BY ALL HAVING count(*) >= 2),
-q AS (SELECT p_partkey AS query_id, 1 AS cut_count, p_name AS key, p_brand AS from_value FROM part WHERE p_size = 7),
+q AS (SELECT p_partkey AS query_id, 1 AS cut_count, p_name AS key, p_brand AS from_value FROM part),
 t AS (SELECT * FROM q JOIN st USING (cut_count, from_value) WHERE from_value <> to_value), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, key, to_value ORDER BY mean DESC, support DESC, transform_id) AS r FROM t),
 k AS (SELECT query_id, transform_id, mean, support, CAST(row_number() OVER (PARTITION BY query_id ORDER BY mean DESC, support DESC, transform_id, key) AS INTEGER) AS rank FROM o WHERE r = 1)"""
 
 
 def _recommended(s, d):
     stats = pa.transform_stats(_deltas(s, d), ["cut_count", "from_value", "to_value", "transform_id"])
-    part = table(s, d, "part").where("p_size = 7")
+    part = table(s, d, "part")
     fragments = part.select(F.col("p_partkey").alias("query_id"), F.lit(1).alias("cut_count"), F.col("p_name").alias("key"), F.col("p_brand").alias("from_value"))
     return pa.recommend(fragments, stats, "up", 10)
 
@@ -133,9 +133,9 @@ def a12_similarity_stats(s, d):
     return gr.similarity_stats(_edges(s, d)).select("edges", "mutual", "min", "p25", "p50", "p75", "max")
 
 
-@query(f"WITH {_COS}, b AS (SELECT source AS node, target AS other FROM edges UNION SELECT target, source FROM edges), g AS (SELECT node, count(*) AS degree FROM b GROUP BY 1), k AS (SELECT b.node AS centre, other, degree, CAST(row_number() OVER (PARTITION BY b.node ORDER BY degree DESC, other) AS INTEGER) AS rank FROM b JOIN g ON g.node = other WHERE b.node % 20 = 0) SELECT * FROM k WHERE rank <= 10")
+@query(f"WITH {_COS}, b AS (SELECT source AS node, target AS other FROM edges UNION SELECT target, source FROM edges), g AS (SELECT node, count(*) AS degree FROM b GROUP BY 1), k AS (SELECT b.node AS centre, other, degree, CAST(row_number() OVER (PARTITION BY b.node ORDER BY degree DESC, other) AS INTEGER) AS rank FROM b JOIN g ON g.node = other) SELECT * FROM k WHERE rank <= 10")
 def g3_neighbourhood(s, d):
-    centres = table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("node"))
+    centres = table(s, d, "embeddings").select(F.col("vec_id").alias("node"))
     return gr.neighbourhood(_edges(s, d), centres, 10)
 
 
