@@ -10,7 +10,10 @@ sets makes a link.
 Large groups: within a band's bucket, members are first compared with one pivot (a star). Linked members
 share a component, which makes the pairs among them needless; further rounds compare only members of
 different components, with another pivot each, and a last pass all pairs left between different components.
-So nothing is dropped and a group of copies costs about its size.
+Before these, shingles that few candidates have bound each member's similarity. Pairs that share such a rare
+shingle are looked up by it and compared; a copy with so many rare shingles that nothing else in its bucket
+can reach the threshold then leaves the bucket, which loses no link. So a group of copies costs about its
+size.
 
 Edge cases: null or empty text (or only white space) has an empty set: 0 shingles, linked with nothing.
 Null doc_id: takes part, never kept, never a component's id unless no member has one. Rows that repeat a
@@ -35,6 +38,7 @@ from tessera.sources.shared import cut
 BINS = 128
 BAND_ROWS = 5
 PIVOT_ROUNDS = 3
+RARE = 8
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -101,7 +105,7 @@ def _sketched(shingle: int, band_rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=8 << 20):
                 offsets, hashes = shingle_sets(part.column("text"), shingle)
                 keys = band_keys(sketches(offsets, hashes), band_rows)
                 n = np.diff(offsets)
@@ -122,6 +126,33 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("ma") + F.size("mb") - shared)).select("a", "b")
 
 
+def within(percent: int, n: str, u: str, other_n: str, other_u: str, shared: str | None = None) -> Column:
+    """Whether two sets of n and other_n members, u and other_u of them rare, can be as similar if they share
+    no rare member, or ``shared`` of them."""
+    most = F.least(F.col(n) - F.col(u), F.col(other_n) - F.col(other_u)) + (F.col(shared) if shared else F.lit(0))
+    return 100 * most >= percent * (F.col(n) + F.col(other_n) - most)
+
+
+def reachable(live: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, fp, n, c) of ``live`` with u, the members of the set that ``RARE`` sets of ``live`` have
+    at most, without those that no set of their bucket's sizes can match unless it shares a rare member; and
+    the pairs (fp, q) of different components that share rare members and may be similar. A rare member is
+    in few sets, so it makes few pairs."""
+    nodes = live.select("fp", "n", "c").distinct()
+    rows = sets.join(nodes.select("fp"), "fp", "left_semi").select("fp", F.explode("members").alias("x"))
+    few = rows.groupBy("x").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") <= RARE)
+    rare = cut(rows.join(few, "x"), "rare")
+    counted = nodes.join(rare.groupBy("fp").agg(F.count(F.lit(1)).alias("u")), "fp", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    held = rare.where("m > 1").groupBy("x").agg(F.sort_array(F.collect_list("fp")).alias("f")).select("f", F.posexplode("f").alias("i", "fp"))
+    met = held.select("fp", F.explode(F.slice("f", F.col("i") + 2, F.lit(RARE))).alias("q")).groupBy("fp", "q").agg(F.count(F.lit(1)).alias("shared"))
+    other = counted.select(F.col("fp").alias("q"), F.col("n").alias("qn"), F.col("u").alias("qu"), F.col("c").alias("qc"))
+    sharing = met.join(counted, "fp").join(other, "q").where((F.col("c") != F.col("qc")) & within(percent, "n", "u", "qn", "qu", "shared")).select("fp", "q")
+    least = live.groupBy("key").agg(F.min("n").alias("least"))
+    marked = live.join(counted.select("fp", "u"), "fp").join(least, "key")
+    most = F.col("n") - F.col("u")
+    return marked.where(100 * most >= percent * (F.col("n") + F.greatest("least", most) - most)).drop("least"), sharing
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, band_rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     if shingle < 1 or not 0 < percent <= 100:
@@ -160,15 +191,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, band_r
         live = cut(held.join(apart, "key", "left_semi"), "buckets")
         if live.isEmpty():
             break
+        if turn == 0:
+            live, sharing = reachable(live, sets, percent)
+            live = cut(live, "reachable")
         if turn < PIVOT_ROUNDS:
-            other = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", "key", F.lit(turn)), F.col("fp").alias("q"), F.col("n").alias("qn"), F.col("c").alias("qc"))).alias("p")).select("key", "p.q", "p.qn", "p.qc")
+            # first the member with the fewest shingles of its own, the likeliest centre; then any
+            place = F.col("u") if turn == 0 else F.xxhash64("fp", "key", F.lit(turn))
+            other = live.groupBy("key").agg(F.min(F.struct(place.alias("place"), F.col("fp").alias("q"), F.col("n").alias("qn"), F.col("u").alias("qu"), F.col("c").alias("qc"))).alias("p")).select("key", "p.q", "p.qn", "p.qu", "p.qc")
             across = F.col("c") != F.col("qc")
         else:
-            other = live.select("key", F.col("fp").alias("q"), F.col("n").alias("qn"), F.col("c").alias("qc"))
+            other = live.select("key", F.col("fp").alias("q"), F.col("n").alias("qn"), F.col("u").alias("qu"), F.col("c").alias("qc"))
             across = F.col("c") < F.col("qc")
-        met = live.alias("l").join(other.alias("o"), (F.col("l.key") == F.col("o.key")) & across & near("n", "qn"))
-        pairs = cut(pairs_of(met, "q").join(tested, ["a", "b"], "left_anti"), "pairs")
-        live = live.select("key", "fp", "n")
+        met = live.alias("l").join(other.alias("o"), (F.col("l.key") == F.col("o.key")) & across & near("n", "qn") & within(percent, "n", "u", "qn", "qu"))
+        found = met.select("fp", "q").unionByName(sharing) if turn == 0 else met.select("fp", "q")
+        pairs = cut(pairs_of(found, "q").join(tested, ["a", "b"], "left_anti"), "pairs")
+        live = live.select("key", "fp", "n", "u")
         tested = tested.unionByName(pairs)
         links = cut(verified(pairs, sets, percent), "links")
         if not links.isEmpty():
