@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.text import ragged, slices, words
 from tessera.sources.shared import cut
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 FANOUT = 10
 BRANCHES = 3
 

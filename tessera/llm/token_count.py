@@ -29,7 +29,7 @@ from tessera.llm.text import slices, words
 
 MARK = "▁"
 UNIT = 1_000_000  # weights are whole millionths, so that sums are exact
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 
 class Pieces:
