@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ TOP_BITS, LOW_BITS = 20, 18
 FOLDS, HELD_OUT = 5, 0
 CURVE_BINS = 4000
 EVIDENCE_RANGE = 2.0
+RATIO_BLOCK = 1 << 17
+SLICE = 5 << 20  # bytes of text at once
 
 
 def fold(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -66,7 +69,7 @@ def slot(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             offsets, codes, vocabulary = words(part.column("text"))
             if not len(codes):
                 continue
@@ -105,8 +108,6 @@ class Model:
     ordinary: list[Level]
     shared: list[Level]  # from SHARED_ORDER down to 2
     letters: np.ndarray  # probability of each byte
-    prior: float = 0.0
-    curve: tuple[float, float] = (0.0, 1.0)
 
     def probability(self, keys: np.ndarray, levels: list[Level]) -> np.ndarray:
         """P(byte | the bytes before it) of each gram, by a class's levels over the shared ones."""
@@ -117,8 +118,12 @@ class Model:
         return low
 
     def ratios(self, keys: np.ndarray) -> np.ndarray:
-        """log P(byte | toxic) - log P(byte | ordinary) of each gram."""
-        return np.log(self.probability(keys, self.toxic)) - np.log(self.probability(keys, self.ordinary))
+        """log P(byte | toxic) - log P(byte | ordinary) of each gram, in blocks that keep interim arrays small."""
+        out = np.empty(len(keys))
+        for a in range(0, len(keys), RATIO_BLOCK):
+            part = keys[a : a + RATIO_BLOCK]
+            out[a : a + RATIO_BLOCK] = np.log(self.probability(part, self.toxic)) - np.log(self.probability(part, self.ordinary))
+        return out
 
 
 def _level(rows: DataFrame, c: str, bits: int) -> Level:
@@ -152,6 +157,14 @@ def _slotted(bits: int, columns: tuple[str, ...]):
     return run
 
 
+@dataclass
+class Fitted:
+    """A model that the executors hold once, and the curve from its evidence to scores."""
+
+    held: Broadcast
+    curve: tuple[float, float]
+
+
 def _last(order: int) -> Column:
     """The last ``order`` bytes of a gram."""
     return F.col("g").bitwiseAND(F.lit((1 << 8 * order) - 1))
@@ -170,7 +183,7 @@ def _class_levels(grams: DataFrame, c: str) -> list[Level]:
 def evidence(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Each slice with its documents' length-normalised log-likelihood differences."""
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             offsets, codes, vocabulary = words(part.column("text"))
             if not len(codes):
                 yield part, np.zeros(part.num_rows)
@@ -209,7 +222,7 @@ def fit_curve(x: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[float, float
     return float(w[0]), float(w[1] / scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame) -> Fitted | float:
     """The model, or the share of toxic labels where one class is missing."""
     train = cut(training_rows(docs, labels), "labelled")
     classes = {r["toxic"]: r["n"] for r in train.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -226,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     letters = np.ones(256)
     for r in above.groupBy(_last(1).alias("g")).agg(F.count(F.lit(1)).alias("c")).collect():
         letters[r["g"]] += r["c"]
-    model = Model(toxic, ordinary, shared, letters / letters.sum(), classes[1] / sum(classes.values()))
+    model = Model(toxic, ordinary, shared, letters / letters.sum())
     held = train.sparkSession.sparkContext.broadcast(model)
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,21 +248,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
             yield pa.RecordBatch.from_arrays([pa.array(b), part.column("toxic")], names=["b", "toxic"])
 
     bins = train.select("text", "toxic").mapInArrow(binned, "b long, toxic int").groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).toPandas()
-    model.curve = fit_curve((bins["b"].to_numpy() + 0.5) / CURVE_BINS * 2 * EVIDENCE_RANGE - EVIDENCE_RANGE, bins["n"].to_numpy(float), bins["t"].to_numpy(float))
-    return model
+    x = (bins["b"].to_numpy() + 0.5) / CURVE_BINS * 2 * EVIDENCE_RANGE - EVIDENCE_RANGE
+    return Fitted(held, fit_curve(x, bins["n"].to_numpy(float), bins["t"].to_numpy(float)))
 
 
-def scored(docs: DataFrame, model: Model | float, into: str = "score") -> DataFrame:
+def scored(docs: DataFrame, model: Fitted | float, into: str = "score") -> DataFrame:
     """``docs`` with its columns and ``into`` (0 to 1), which must be a new one."""
     if into in docs.columns:
         raise ValueError(f"{into} is a column already")
     if isinstance(model, float):
         return docs.withColumn(into, F.lit(model))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, (a, b) = model.held, model.curve
     fields = docs.schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = held.value.curve
         for part, x in evidence(batches, held.value):
             score = 1 / (1 + np.exp(-np.clip(a + b * x, -60, 60)))
             yield pa.RecordBatch.from_arrays([*(part.column(f) for f in fields), pa.array(score)], names=[*fields, into])

@@ -258,7 +258,7 @@ def test_toxicity_learns_from_labels(spark):
 def test_shared_backoff_sums_to_one(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["abc abd", "abe xyz", "abc", "qqq abz"] * 20)], "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
-    model = toxicity.fit(docs, labels)
+    model = toxicity.fit(docs, labels).held.value
     for context in (b"\x02\x02\x02\x02", b"\x02\x02ab", b"\x02abc"):
         key = int.from_bytes(context, "big") << 8
         keys = key + np.arange(256)
