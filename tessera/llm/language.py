@@ -42,7 +42,7 @@ def word_features(vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = pc.utf8_lower(vocabulary).cast(pa.binary())
     n = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
     starts = np.cumsum(n + 4) - (n + 4)
-    padded = np.full(int((n + 4).sum()), 2, np.uint64)
+    padded = np.full(int((n + 4).sum()) + 1, 2, np.uint64)  # one more, for an empty word at the end
     padded[ragged(starts + 2, n)] = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
     first, last = starts + 2, starts + 1 + n
     affixes, head, tail = [], np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)

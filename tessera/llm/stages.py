@@ -29,8 +29,7 @@ def _new(docs: DataFrame, name: str) -> str:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below ``TOXIC_AT`` by models of the labelled rows outside the held-out fold."""
     score = _new(docs, "toxicity_score")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, score).where(F.col(score) < TOXIC_AT).select(*docs.columns)
+    return toxicity.scored(docs, table(spark, sf_dir, "labels"), docs.columns, score).where(F.col(score) < TOXIC_AT).select(*docs.columns)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,9 +6,11 @@ the orders from there down are continuation counts of both classes together, so
 costs both the same. A document's evidence is the difference of the two log-likelihoods over its number of bytes, and
 a logistic curve, fitted to all training documents by bins of that evidence, turns it into a score.
 
-Counts cover every labelled training row and are summed by Spark. What the executors get is a table of
-``2**TOP_BITS`` hashed slots (and smaller ones for the lower orders), so its size is fixed: grams that meet
-in a slot share their counts.
+Counts cover every labelled training row, are exact and stay in Spark tables, by gram and by context. Documents are
+read once, into slices that hold each document's words as codes of the slice's vocabulary. Labels go to the slices for
+counting; the different grams of all slices meet the model's tables by joins on their keys, and each slice gets the
+ratios of its own grams back. No table has a fixed size, and a task holds a slice and its grams. Only the order of two
+bytes, 65,536 grams at most, is held as arrays.
 
 Edge cases: null and empty texts (no word) have no evidence and get the score of evidence 0. A null doc_id
 has no label and isn't held out. Several labels of one doc_id: toxic if any says so; null labels don't
@@ -19,25 +21,24 @@ read in whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.text import mix, ragged, slices, words
+from tessera.llm.text import ragged, rows_of, slices, words
 from tessera.sources.shared import cut
 
 ORDER, SHARED_ORDER = 5, 2
-TOP_BITS, LOW_BITS = 20, 18
 FOLDS, HELD_OUT = 5, 0
 CURVE_BINS = 4000
 EVIDENCE_RANGE = 2.0
-RATIO_BLOCK = 1 << 17
 SLICE = 5 << 20  # bytes of text at once
 
 
@@ -63,105 +64,152 @@ def word_grams(vocabulary: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np
     return n + 1, keys
 
 
-def slot(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(keys.astype(np.uint64), 3) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, most=SLICE):
-            offsets, codes, vocabulary = words(part.column("text"))
-            if not len(codes):
-                continue
-            toxic = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False).astype(np.float64), np.diff(offsets))
-            both = np.bincount(codes, minlength=len(vocabulary))
-            bad = np.bincount(codes, weights=toxic, minlength=len(vocabulary)).astype(np.int64)
-            n, keys = word_grams(vocabulary)
-            found, place = np.unique(keys, return_inverse=True)
-            t = np.bincount(place, weights=np.repeat(bad, n))
-            a = np.bincount(place, weights=np.repeat(both, n))
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(t.astype(np.int64)), pa.array((a - t).astype(np.int64))], names=["g", "t", "o"])
+@dataclass
+class Sliced:
+    """Documents cut into slices: ``rows`` (doc, slice, row) has each one's fields, ``parts`` (slice, sizes, codes,
+    vocabulary) the words of each slice."""
 
+    rows: DataFrame
+    parts: DataFrame
 
-@dataclass
-class Level:
-    """Hashed counts of one order: of grams, and of contexts with the number of their different followers."""
 
-    count: np.ndarray
-    total: np.ndarray
-    kinds: np.ndarray
-    discount: float
-    bits: int
+def sliced(docs: DataFrame, fields: list[str]) -> Sliced:
+    """Every row of ``docs`` with its ``fields``. Slices get random keys, so they are written once."""
+    keep = docs.select(*fields).schema
+    schema = T.StructType([T.StructField("doc", keep), T.StructField("slice", T.LongType()), T.StructField("row", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("sizes", "codes", "vocabulary"))])
+    names = schema.names
 
-    def terms(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(discounted probability, weight of the order below)."""
-        g, h = slot(keys, self.bits), slot(keys >> 8, self.bits)
-        total = self.total[h].astype(np.float64)
-        seen = total > 0
-        total[~seen] = 1
-        return np.where(seen, np.maximum(self.count[g] - self.discount, 0) / total, 0.0), np.where(seen, self.discount * self.kinds[h] / total, 1.0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, most=SLICE):
+                n, key = part.num_rows, uuid.uuid4().int >> 65
+                offsets, codes, vocabulary = words(part.column("text"))
+                # frequent words get small codes
+                order = np.argsort(-np.bincount(codes, minlength=len(vocabulary)), kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                blobs = [np.diff(offsets).astype(np.uint32).tobytes(), _packed(place[codes], offsets), b" ".join(vocabulary.take(pa.array(order)).cast(pa.binary()).to_pylist())]
+                doc = pa.StructArray.from_arrays([part.column(f) for f in fields], fields=[part.schema.field(f) for f in fields])
+                none = pa.nulls(n, pa.binary())
+                yield pa.RecordBatch.from_arrays([doc, pa.array([key] * n), pa.array(np.arange(n, dtype=np.int32)), none, none, none], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, doc.type), pa.array([key]), pa.nulls(1, pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=names)
+
+    made = cut(docs.select(*dict.fromkeys([*fields, "text"])).mapInArrow(run, schema), "slices")
+    return Sliced(made.where("row is not null").select("doc", "slice", "row"), made.where("row is null").select("slice", "sizes", "codes", "vocabulary"))
+
+
+def _packed(codes: np.ndarray, offsets: np.ndarray) -> bytes:
+    """The codes of each row in ascending order, as differences; bytes of equal weight stand together."""
+    owner = rows_of(offsets) << 32
+    codes = np.sort(owner | codes) - owner
+    codes[1:] -= codes[:-1].copy()
+    return pa.compress(np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").reshape(-1), dtype=np.int64)
+
+
+def _words_of(part: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(offsets, codes, vocabulary) of a slice."""
+    sizes, codes, vocabulary = (part.column(c)[0].as_py() for c in ("sizes", "codes", "vocabulary"))
+    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.uint32).astype(np.int64))])
+    known = pa.array(vocabulary.split(b" ") if vocabulary else [], pa.binary()).cast(pa.string())
+    return offsets, _unpacked(codes, int(offsets[-1])), known
+
+
+def _counts(part: pa.Table, marks: pa.Table) -> pa.Table:
+    """Grams of a slice's labelled rows with their counts in toxic and in ordinary ones."""
+    if not part.num_rows or not marks.num_rows:
+        return pa.table({c: pa.array([], pa.int64()) for c in "gto"})
+    offsets, codes, vocabulary = _words_of(part)
+    times = np.zeros((2, len(offsets) - 1))
+    times[marks.column("toxic").to_numpy(), marks.column("row").to_numpy()] = 1
+    owner = rows_of(offsets)
+    by_word = [np.bincount(codes, weights=w[owner], minlength=len(vocabulary)) for w in times]
+    n, keys = word_grams(vocabulary)
+    found, at = np.unique(keys, return_inverse=True)
+    o, t = (np.bincount(at, weights=np.repeat(w, n), minlength=len(found)).astype(np.int64) for w in by_word)
+    met = t + o > 0
+    return pa.table({"g": found[met], "t": t[met], "o": o[met]})
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slice, g): the different grams of each slice."""
+    for batch in batches:
+        for key, vocabulary in zip(batch.column("slice").to_pylist(), batch.column("vocabulary")):
+            held = vocabulary.as_py()
+            if held:
+                found = np.unique(word_grams(pa.array(held.split(b" "), pa.binary()).cast(pa.string()))[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], names=["slice", "g"])
+
+
+def _weighed(part: pa.Table, ratios: pa.Table) -> pa.Table:
+    """(slice, row, evidence) of a slice's rows: length-normalised log-likelihood differences."""
+    if not part.num_rows:
+        return pa.table({"slice": pa.array([], pa.int64()), "row": pa.array([], pa.int32()), "evidence": pa.array([], pa.float64())})
+    offsets, codes, vocabulary = _words_of(part)
+    out = np.zeros(len(offsets) - 1)
+    if len(codes):
+        order = np.argsort(ratios.column("g").to_numpy())
+        g, ratio = ratios.column("g").to_numpy()[order], ratios.column("ratio").to_numpy()[order]
+        n, keys = word_grams(vocabulary)
+        ends = np.concatenate([[0], np.cumsum(ratio[np.searchsorted(g, keys)])])
+        stop = np.cumsum(n)
+        per_word = ends[stop] - ends[stop - n]
+        owner = rows_of(offsets)
+        out = np.bincount(owner, weights=per_word[codes], minlength=len(out)) / np.maximum(1, np.bincount(owner, weights=n[codes], minlength=len(out)))
+    key = part.column("slice")[0].as_py()
+    return pa.table({"slice": pa.array(np.full(len(out), key)), "row": pa.array(np.arange(len(out), dtype=np.int32)), "evidence": out})
 
 
 @dataclass
 class Model:
-    toxic: list[Level]  # from ORDER down to SHARED_ORDER + 1
-    ordinary: list[Level]
-    shared: list[Level]  # from SHARED_ORDER down to 2
-    letters: np.ndarray  # probability of each byte
-
-    def probability(self, keys: np.ndarray, levels: list[Level]) -> np.ndarray:
-        """P(byte | the bytes before it) of each gram, by a class's levels over the shared ones."""
-        low = self.letters[keys & 255]
-        for order, level in enumerate([*self.shared[::-1], *levels[::-1]], 2):
-            p, back = level.terms(keys & ((1 << 8 * order) - 1))
-            low = p + back * low
-        return low
-
-    def ratios(self, keys: np.ndarray) -> np.ndarray:
-        """log P(byte | toxic) - log P(byte | ordinary) of each gram, in blocks that keep interim arrays small."""
-        out = np.empty(len(keys))
-        for a in range(0, len(keys), RATIO_BLOCK):
-            part = keys[a : a + RATIO_BLOCK]
-            out[a : a + RATIO_BLOCK] = np.log(self.probability(part, self.toxic)) - np.log(self.probability(part, self.ordinary))
-        return out
-
-
-def _level(rows: DataFrame, c: str, bits: int) -> Level:
-    """A level from rows (g, c) of different grams; no more than 2**bits slots reach the driver."""
-
-    def slots(df: DataFrame, *columns: str) -> list[np.ndarray]:
-        got = df.mapInArrow(_slotted(bits, columns), "s long, " + ", ".join(f"{x} long" for x in columns)).groupBy("s").agg(*[F.sum(x).alias(x) for x in columns]).toArrow()
-        out = []
-        for x in columns:
-            filled = np.zeros(1 << bits, np.float32)
-            filled[got["s"].to_numpy()] = got[x].to_numpy()
-            out.append(filled)
-        return out
-
-    seen = rows.where(F.col(c) > 0).select("g", F.col(c).alias("c"))
-    (count,) = slots(seen, "c")
-    total, kinds = slots(seen.groupBy(F.shiftright("g", 8).alias("g")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("k")), "c", "k")
-    few = {r["c"]: r["n"] for r in seen.where("c <= 2").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    once, twice = few.get(1, 0), few.get(2, 0)
-    return Level(count, total, kinds, min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5, bits)
-
-
-def _slotted(bits: int, columns: tuple[str, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = slot(b.column("g").to_numpy(zero_copy_only=False), bits)
-            found, place = np.unique(s, return_inverse=True)
-            sums = [pa.array(np.bincount(place, weights=b.column(x).to_numpy(zero_copy_only=False)).astype(np.int64)) for x in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(found), *sums], names=["s", *columns])
+    """Exact tables of each order from ``ORDER`` down to ``SHARED_ORDER + 1``: ``grams`` (g, t, o) counts per class,
+    ``contexts`` (g, t_total, t_kinds, o_total, o_kinds) sums and different followers; and their discounts."""
+
+    spark: SparkSession
+    grams: dict[int, DataFrame]
+    contexts: dict[int, DataFrame]
+    discounts: dict[int, dict[str, float]]
+    shared: np.ndarray  # probability of each byte after each byte
+    toxic: str = "t"
+    ordinary: str = "o"
+
+    def probabilities(self, keys: DataFrame) -> DataFrame:
+        """g, t, o for each of the different grams ``keys`` (g): P(byte | the bytes before it) by both classes."""
+        below = self.spark.createDataFrame(pa.table({"b": np.arange(len(self.shared)), "lt": self.shared, "lo": self.shared}))
+        for order in range(SHARED_ORDER + 1, ORDER + 1):
+            here = keys.select(_last(order).alias("g")).distinct() if order < ORDER else keys.select("g")
+            here = here.withColumns({"h": F.shiftright("g", 8), "b": _last(order - 1)})
+            met = here.join(self.grams[order], "g", "left").join(self.contexts[order].withColumnRenamed("g", "h"), "h", "left").join(below, "b")
+            p = {}
+            for c in "to":
+                d, total = self.discounts[order][c], F.col(f"{c}_total")
+                own = F.greatest(F.coalesce(c, F.lit(0)) - F.lit(d), F.lit(0.0)) / total + d * F.col(f"{c}_kinds") / total * F.col(f"l{c}")
+                p[c] = F.when(total > 0, own).otherwise(F.col(f"l{c}"))
+            below = met.select("g", p["t"].alias("lt"), p["o"].alias("lo"))
+            below = below.withColumnRenamed("g", "b") if order < ORDER else below.select("g", F.col("lt").alias("t"), F.col("lo").alias("o"))
+        return below
+
+    def probability(self, keys: np.ndarray, levels: str) -> np.ndarray:
+        """P(byte | the bytes before it) of each of a few grams, by the class ``levels``."""
+        found, at = np.unique(keys, return_inverse=True)
+        got = self.probabilities(self.spark.createDataFrame(pa.table({"g": found}))).select("g", levels).orderBy("g").toArrow()
+        return got[levels].to_numpy()[at]
 
-    return run
+
+@dataclass
+class Held:
+    value: Model
 
 
 @dataclass
 class Fitted:
-    """A model that the executors hold once, and the curve from its evidence to scores."""
+    """A model and the curve from its evidence to scores."""
 
-    held: Broadcast
+    held: Held
     curve: tuple[float, float]
 
 
@@ -170,38 +218,53 @@ def _last(order: int) -> Column:
     return F.col("g").bitwiseAND(F.lit((1 << 8 * order) - 1))
 
 
-def _class_levels(grams: DataFrame, c: str) -> list[Level]:
-    """A class's levels: its counts at the top, and below how many different bytes come before a gram."""
-    above, column, levels = grams.where(F.col(c) > 0).select("g", c), c, []
-    for order in range(ORDER, SHARED_ORDER, -1):
-        if order < ORDER:
-            above, column = cut(above.groupBy(_last(order).alias("g")).agg(F.count(F.lit(1)).alias("n")), "continuations"), "n"
-        levels.append(_level(above, column, TOP_BITS if order == ORDER else LOW_BITS))
-    return levels
+def _discount(once: int | None, twice: int | None) -> float:
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
 
-def evidence(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Each slice with its documents' length-normalised log-likelihood differences."""
-    for batch in batches:
-        for part in slices(batch, most=SLICE):
-            offsets, codes, vocabulary = words(part.column("text"))
-            if not len(codes):
-                yield part, np.zeros(part.num_rows)
-                continue
-            n, keys = word_grams(vocabulary)
-            ends = np.concatenate([[0], np.cumsum(model.ratios(keys))])
-            stop = np.cumsum(n)
-            per_word = ends[stop] - ends[stop - n]
-            sums = np.concatenate([[0.0], np.cumsum(per_word[codes])])
-            size = np.concatenate([[0], np.cumsum(n[codes])])
-            yield part, (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(1, size[offsets[1:]] - size[offsets[:-1]])
-
-
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic of every labelled row outside the held-out fold. Labels grow with the documents,
+def _shared(wider: DataFrame) -> np.ndarray:
+    """P(byte | byte) of both classes together, from the different grams of three bytes; over continuation counts
+    of single bytes."""
+    rows = wider.groupBy(_last(2).alias("g")).agg(F.count(F.lit(1)).alias("c")).toArrow()
+    count = np.zeros((256, 256))
+    count.reshape(-1)[rows["g"].to_numpy()] = rows["c"].to_numpy()
+    letters = 1.0 + (count > 0).sum(axis=0)
+    d = _discount(int((count == 1).sum()), int((count == 2).sum()))
+    total, kinds = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
+    low = letters / letters.sum()
+    return np.where(total > 0, (np.maximum(count - d, 0) + d * kinds * low) / np.maximum(1, total), low).reshape(-1)
+
+
+def model_of(grams: DataFrame) -> Model:
+    """From the grams (g, t, o) of both classes. Below the top an order counts how many different bytes come before."""
+    levels, contexts, discounts = {ORDER: grams}, {}, {}
+    for order in range(ORDER, SHARED_ORDER, -1):
+        if order < ORDER:
+            above = levels[order + 1]
+            levels[order] = cut(above.groupBy(_last(order).alias("g")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in "to"]), "continuations")
+        at = levels[order]
+        sums = [x for c in "to" for x in (F.sum(c).alias(f"{c}_total"), F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds"))]
+        contexts[order] = cut(at.groupBy(F.shiftright("g", 8).alias("g")).agg(*sums), "contexts")
+        few = at.agg(*[F.sum((F.col(c) == k).cast("long")).alias(f"{c}{k}") for c in "to" for k in (1, 2)]).first()
+        discounts[order] = {c: _discount(few[f"{c}1"], few[f"{c}2"]) for c in "to"}
+    return Model(grams.sparkSession, levels, contexts, discounts, _shared(levels[SHARED_ORDER + 1].select("g")))
+
+
+def evidence(parts: DataFrame, model: Model) -> DataFrame:
+    """slice, row, evidence of every row of every slice."""
+    grams = cut(parts.select("slice", "vocabulary").mapInArrow(_grams, "slice long, g long"), "slice_grams")
+    p = model.probabilities(grams.select("g").distinct())
+    ratios = grams.join(p.select("g", (F.log("t") - F.log("o")).alias("ratio")), "g")
+    met = parts.groupBy("slice").cogroup(ratios.groupBy("slice"))
+    return cut(met.applyInArrow(_weighed, "slice long, row int, evidence double"), "evidence")
+
+
+def training_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """slice, row, toxic (0 or 1) of every labelled row outside the held-out fold. Labels grow with the documents,
     so both sides are dealt by doc_id at every size."""
-    known = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where(fold(F.col("doc_id")) != HELD_OUT)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(fold(F.col("doc_id")) != HELD_OUT).join(known.hint("merge"), "doc_id")
+    known = labels.where("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("toxic")).where(fold(F.col("doc_id")) != HELD_OUT)
+    named = rows.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "slice", "row").where(fold(F.col("doc_id")) != HELD_OUT)
+    return named.join(known.hint("merge"), "doc_id").select("slice", "row", "toxic")
 
 
 def fit_curve(x: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[float, float]:
@@ -224,54 +287,41 @@ def fit_curve(x: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[float, float
 
 def fit(docs: DataFrame, labels: DataFrame) -> Fitted | float:
     """The model, or the share of toxic labels where one class is missing."""
-    train = cut(training_rows(docs, labels), "labelled")
-    classes = {r["toxic"]: r["n"] for r in train.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return fit_and_weigh(sliced(docs, ["doc_id"]), labels)[0]
+
+
+def fit_and_weigh(docs: Sliced, labels: DataFrame) -> tuple[Fitted | float, DataFrame | None]:
+    """The model, and the evidence of all of ``docs`` by it."""
+    train = cut(training_rows(docs.rows, labels), "labelled")
+    classes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(classes) < 2:
-        return float(1 in classes)
-    train = train.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
-    grams = cut(train.select("text", "toxic").mapInArrow(_counts, "g long, t long, o long").groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "grams")
-    toxic, ordinary = (_class_levels(grams, c) for c in "to")
-    shared, above = [], grams
-    for order in range(SHARED_ORDER, 1, -1):
-        wider = above.select(_last(order + 1).alias("g")).distinct()
-        above = wider.groupBy(_last(order).alias("g")).agg(F.count(F.lit(1)).alias("c"))
-        shared.append(_level(above, "c", LOW_BITS))
-    letters = np.ones(256)
-    for r in above.groupBy(_last(1).alias("g")).agg(F.count(F.lit(1)).alias("c")).collect():
-        letters[r["g"]] += r["c"]
-    model = Model(toxic, ordinary, shared, letters / letters.sum())
-    held = train.sparkSession.sparkContext.broadcast(model)
-
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, x in evidence(batches, held.value):
-            b = np.floor(np.clip((x + EVIDENCE_RANGE) / (2 * EVIDENCE_RANGE), 0, 1 - 1e-9) * CURVE_BINS).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(b), part.column("toxic")], names=["b", "toxic"])
-
-    bins = train.select("text", "toxic").mapInArrow(binned, "b long, toxic int").groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).toPandas()
+        return float(1 in classes), None
+    counted = docs.parts.groupBy("slice").cogroup(train.groupBy("slice")).applyInArrow(_counts, "g long, t long, o long")
+    model = model_of(cut(counted.groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "grams"))
+    weighed = evidence(docs.parts, model)
+    share = F.least(F.greatest((F.col("evidence") + EVIDENCE_RANGE) / (2 * EVIDENCE_RANGE), F.lit(0.0)), F.lit(1 - 1e-9))
+    bins = weighed.join(train, ["slice", "row"]).groupBy(F.floor(share * CURVE_BINS).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).toPandas()
     x = (bins["b"].to_numpy() + 0.5) / CURVE_BINS * 2 * EVIDENCE_RANGE - EVIDENCE_RANGE
-    return Fitted(held, fit_curve(x, bins["n"].to_numpy(float), bins["t"].to_numpy(float)))
+    return Fitted(Held(model), fit_curve(x, bins["n"].to_numpy(float), bins["t"].to_numpy(float))), weighed
 
 
-def scored(docs: DataFrame, model: Fitted | float, into: str = "score") -> DataFrame:
-    """``docs`` with its columns and ``into`` (0 to 1), which must be a new one."""
+def scored(docs: DataFrame, labels: DataFrame, fields: list[str], into: str = "score") -> DataFrame:
+    """The ``fields`` (doc_id among them) of every row of ``docs`` and ``into`` (0 to 1), which must be a new one, by
+    a model of the labelled rows."""
     if into in docs.columns:
         raise ValueError(f"{into} is a column already")
-    if isinstance(model, float):
-        return docs.withColumn(into, F.lit(model))
-    held, (a, b) = model.held, model.curve
-    fields = docs.schema.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, x in evidence(batches, held.value):
-            score = 1 / (1 + np.exp(-np.clip(a + b * x, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*(part.column(f) for f in fields), pa.array(score)], names=[*fields, into])
-
-    return docs.mapInArrow(run, docs.withColumn(into, F.lit(0.0)).schema)
+    held = sliced(docs, fields)
+    model, weighed = fit_and_weigh(held, labels)
+    if weighed is None:
+        return held.rows.select("doc.*", F.lit(model).alias(into))
+    a, b = model.curve
+    score = 1 / (1 + F.exp(-F.greatest(F.least(a + b * F.col("evidence"), F.lit(60.0)), F.lit(-60.0))))
+    return held.rows.join(weighed, ["slice", "row"]).select("doc.*", score.alias(into))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = scored(rows, fit(rows, labels))
+    made = scored(rows, labels, ["doc_id"])
     held_out = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
     return made.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -6,7 +6,7 @@ import os
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -266,6 +266,50 @@ def test_shared_backoff_sums_to_one(spark):
             assert abs(model.probability(keys, levels).sum() - 1) < 0.05
 
 
+def test_every_gram_has_counts_of_its_own(spark):
+    rng = random.Random(12)
+    made = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(6000)]
+    rows = [(i, " ".join(made[20 * i : 20 * i + 20]), int(i % 3 == 0)) for i in range(300)]
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 0]
+    grams = {}
+    for _, t, bad in train:
+        for w in t.split():
+            w = "\x02" * 4 + w + "\x03"
+            for k in range(len(w) - 4):
+                grams.setdefault(w[k : k + 5], [0, 0])[bad] += 1
+
+    def levels(bad):
+        at = {g: n[bad] for g, n in grams.items() if n[bad]}
+        out = [at]
+        for _ in range(2):
+            at = dict(Counter(g[1:] for g in at))
+            out.append(at)
+        return out[::-1]
+
+    def stats(at):
+        total, kinds = Counter(), Counter()
+        for g, n in at.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        once, twice = (sum(n == k for n in at.values()) for k in (1, 2))
+        return at, total, kinds, min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+
+    pairs = Counter(g[1:] for g in {g[2:] for g in grams})
+    letters = Counter(g[1:] for g in pairs)
+    model = toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")).held.value
+    asked = sorted(grams)
+    for bad, name in ((1, model.toxic), (0, model.ordinary)):
+        tables = [stats(pairs), *map(stats, levels(bad))]
+        got = model.probability(np.array([int.from_bytes(g.encode(), "big") for g in asked]), name)
+        for g, p in zip(asked, got):
+            want = (1 + letters[g[-1]]) / (256 + sum(letters.values()))
+            for order, (at, total, kinds, d) in enumerate(tables, 2):
+                key = g[-order:]
+                if total[key[:-1]]:
+                    want = (max(0, at.get(key, 0) - d) + d * kinds[key[:-1]] * want) / total[key[:-1]]
+            assert abs(p - want) < 1e-9
+
+
 # -- 7
 
 
