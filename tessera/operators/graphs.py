@@ -34,10 +34,12 @@ def similarity_stats(edges: DataFrame) -> DataFrame:
     return out.select("edges", "mutual", half_up(F.col("lo")).alias("min"), *[half_up(F.col("q")[i]).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], half_up(F.col("hi")).alias("max"))
 
 
-def neighbourhood(edges: DataFrame, centres: DataFrame, limit: int = 50) -> DataFrame:
-    """centre, other, degree, rank: neighbours by degree (of the whole graph), then id."""
+def neighbourhood(edges: DataFrame, centres: DataFrame, limit: int | None = 50) -> DataFrame:
+    """centre, other, degree, rank: neighbours by degree (of the whole graph), then id. Without a limit all, unranked."""
     near = both_ways(edges).join(centres.select(F.col("node")), "node", "left_semi").distinct()
     ranked = near.join(degrees(edges).select(F.col("node").alias("other"), "degree"), "other")
+    if limit is None:
+        return ranked.select(F.col("node").alias("centre"), "other", "degree")
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("degree"), "other"))
     return ranked.withColumn("rank", rank).where(F.col("rank") <= limit).select(F.col("node").alias("centre"), "other", "degree", "rank")
 

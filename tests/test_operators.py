@@ -262,3 +262,9 @@ def test_trace_files_and_stream(spark, tmp_path):
     assert {(r.invocation_id, r.outcome) for r in spark.table("opened").collect()} == {(f"i{i}", "COMPLETED") for i in range(3)}
     traces.write_traces(traces.read_traces(spark, str(folder)), str(tmp_path / "out"))
     assert traces.read_traces(spark, str(tmp_path / "out")).count() == 6
+
+
+def test_all_neighbours_are_ranked_by_value(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 1102)] + [(i, i + 1) for i in range(1, 1100)], "source long, target long")
+    near = graphs.neighbourhood(edges, spark.createDataFrame([(0,)], "node long"), None)
+    assert near.count() == 1101 and "rank" not in near.columns
