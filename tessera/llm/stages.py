@@ -1,7 +1,7 @@
 """The corpus pipeline's stages: (spark, docs, sf_dir) -> DataFrame, each over all rows it is given.
 
 All but the last return the columns of ``docs``, whatever they are. Rows without a doc_id pass the filters
-and leave at the near-duplicate stage, which can't name them.
+and leave at the near-duplicate stage.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from tessera.llm import language, toxicity
 from tessera.llm.mixing import mix
 from tessera.llm.near_dup import near_duplicates
 from tessera.llm.packing import pack
-from tessera.sources.shared import table
+from tessera.sources.shared import cut, table
 
 TOXIC_AT = 0.5
 SURE_LANGUAGE = 0.3
@@ -33,21 +33,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter whose language is one of the learned ones, at ``SURE_LANGUAGE`` at least."""
+    """Documents with a letter whose language is one of the learned ones, at ``SURE_LANGUAGE`` at least; every
+    document with a letter where no labelled row could be learned from."""
     into = (_new(docs, "language_found"), _new(docs, "language_score"))
     field = language.fit(language.training_sample(docs).toArrow())
     if field is None:
-        return docs.where(F.lit(False))
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language.identified(docs, field, into)
     return found.where((F.col(into[0]) != language.UNDETERMINED) & (F.col(into[1]) >= SURE_LANGUAGE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group; of rows that repeat it, that of the least text."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    rank = _new(docs, "rank_in_id")
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in ("text", "source")])
-    return docs.join(kept, "doc_id", "left_semi").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*docs.columns)
+    """The row of the least doc_id of each group of near-equal texts. Rows have a stored key of their own, so
+    different texts of one doc_id all stay. Rows without a doc_id leave."""
+    key, group = _new(docs, "row_key"), _new(docs, "group_of_row")
+    keyed = cut(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), F.col("component_id").alias(group))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), key)
+    kept = found.join(keyed.select(key, place.alias("place")), key).groupBy(group).agg(F.min("place").alias("place")).select(F.col("place")[key].alias(key))
+    return keyed.where("doc_id is not null").join(kept, key, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -512,3 +512,15 @@ def test_stages_keep_clean_documents_and_drop_copies(spark):
     few = docs.where(F.col("doc_id").isin([i for i, _ in rows]))
     assert {r.doc_id for r in stages.drop_near_duplicates(spark, few, SMALL).collect()} == {c for _, c in brute_components(rows).values()}
     assert left.count() < docs.count()
+
+
+def test_near_duplicate_stage_keeps_different_texts_of_one_id(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"]
+    df = spark.createDataFrame([(7, texts[0], "s"), (7, texts[1], "s"), (8, texts[0], "s"), (None, texts[1], "s")], "doc_id long, text string, source string")
+    left = stages.drop_near_duplicates(spark, df, SMALL).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(7, texts[0]), (7, texts[1])]
+
+
+def test_language_stage_without_labelled_rows_keeps_documents_with_letters(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in stages.keep_known_languages(spark, df, SMALL).collect()] == [1]
