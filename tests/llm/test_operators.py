@@ -255,59 +255,99 @@ def test_toxicity_learns_from_labels(spark):
     assert toxicity.toxicity(docs, labels.where("toxic = 0")).agg(F.max("score")).first()[0] == 0.0
 
 
-def test_shared_backoff_sums_to_one(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["abc abd", "abe xyz", "abc", "qqq abz"] * 20)], "doc_id long, text string")
-    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
-    model = toxicity.fit(docs, labels).held.value
-    for context in (b"\x02\x02\x02\x02", b"\x02\x02ab", b"\x02abc"):
-        key = int.from_bytes(context, "big") << 8
-        keys = key + np.arange(256)
-        for levels in (model.toxic, model.ordinary):
-            assert abs(model.probability(keys, levels).sum() - 1) < 0.05
-
-
-def test_every_gram_has_counts_of_its_own(spark):
+def _spelled(w):
+    b = w.encode()
+    return [b[:k] for k in toxicity.STEMS if len(b) > k] + [b + b"$"]
+
+
+def _brute_kneser_ney(train):
+    """P(word) by class of every word in ``train`` (doc_id, words, toxic), and the probability that the model
+    gives to all steps of each depth, from the formula in the module's docstring."""
+    rows = [set(ws) for _, ws, _ in train]
+    toxic = [y for _, _, y in train]
+    scale = sum(toxic) / (len(toxic) - sum(toxic))
+    n, above, depth = defaultdict(lambda: [0.0, 0.0]), {}, {}
+    for ws, y in zip(rows, toxic):
+        for u in {u for w in ws for u in _spelled(w)}:
+            n[u][0 if y else 1] += 1 if y else scale
+    for ws in rows:
+        for w in ws:
+            for d, u in enumerate(_spelled(w)):
+                above[u], depth[u] = (_spelled(w)[d - 1] if d else b""), d
+    e = {u: [max(0, c[i] - toxicity.LEAST - toxicity.TIED * c[1 - i]) for i in (0, 1)] for u, c in n.items()}
+    siblings = defaultdict(float)
+    for u, c in n.items():
+        siblings[above[u], depth[u]] += sum(c)
+    p, sums = {b"": [1.0, 1.0]}, []
+    for d in range(3):
+        at = [u for u in n if depth[u] == d]
+        q = [sum(p[above[u]][i] * sum(n[u]) / siblings[above[u], d] for u in at) for i in (0, 1)]
+        total, beyond = ([sum(x[u][i] for u in at) for i in (0, 1)] for x in (n, e))
+        for u in at:
+            shared = sum(n[u]) / siblings[above[u], d]
+            left = 1 - max(beyond[i] / total[i] if total[i] else 0 for i in (0, 1))
+            p[u] = [(q[i] * e[u][i] / total[i] if total[i] else 0) + left * p[above[u]][i] * shared for i in (0, 1)]
+        sums.append(([sum(p[u][i] for u in at) for i in (0, 1)], q))
+    return p, sums
+
+
+def test_kneser_ney_against_brute_force(spark):
     rng = random.Random(12)
-    made = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(6000)]
-    rows = [(i, " ".join(made[20 * i : 20 * i + 20]), int(i % 3 == 0)) for i in range(300)]
-    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 0]
-    grams = {}
-    for _, t, bad in train:
-        for w in t.split():
-            w = "\x02" * 4 + w + "\x03"
-            for k in range(len(w) - 4):
-                grams.setdefault(w[k : k + 5], [0, 0])[bad] += 1
-
-    def levels(bad):
-        at = {g: n[bad] for g, n in grams.items() if n[bad]}
-        out = [at]
-        for _ in range(2):
-            at = dict(Counter(g[1:] for g in at))
-            out.append(at)
-        return out[::-1]
-
-    def stats(at):
-        total, kinds = Counter(), Counter()
-        for g, n in at.items():
-            total[g[:-1]] += n
-            kinds[g[:-1]] += 1
-        once, twice = (sum(n == k for n in at.values()) for k in (1, 2))
-        return at, total, kinds, min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-
-    pairs = Counter(g[1:] for g in {g[2:] for g in grams})
-    letters = Counter(g[1:] for g in pairs)
-    model = toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")).held.value
-    asked = sorted(grams)
-    for bad, name in ((1, model.toxic), (0, model.ordinary)):
-        tables = [stats(pairs), *map(stats, levels(bad))]
-        got = model.probability(np.array([int.from_bytes(g.encode(), "big") for g in asked]), name)
-        for g, p in zip(asked, got):
-            want = (1 + letters[g[-1]]) / (256 + sum(letters.values()))
-            for order, (at, total, kinds, d) in enumerate(tables, 2):
-                key = g[-order:]
-                if total[key[:-1]]:
-                    want = (max(0, at.get(key, 0) - d) + d * kinds[key[:-1]] * want) / total[key[:-1]]
-            assert abs(p - want) < 1e-9
+    made = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 12))) for _ in range(80)]
+    rows = []
+    for i in range(300):
+        bad = int(i % 3 == 0)
+        ws = [rng.choice(made) for _ in range(20)] + [rng.choice(["insult", "insults", "insulting", "oaf"])] * bad + (["insulin", "oats"] if i % 7 == 0 and not bad else [])
+        rows.append((i, ws, bad))
+    rows += [(1000 + i, *rows[0][1:]) for i in range(40)]  # copies of a text count once
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    held = toxicity.sliced(docs, ["doc_id"])
+    train = toxicity.training_rows(held.rows, labels)
+    classes = Counter((r.toxic, r.part) for r in train.collect())
+    model = toxicity.model_of(toxicity.counted(held, train), classes)
+    entries = {c: np.array(v) for c, v in model.entries.toPandas().to_dict("list").items()}
+    once = {}
+    for i, ws, y in sorted(rows):
+        if zlib.crc32(str(i).encode()) % 5:
+            once.setdefault(tuple(ws), (i, ws, y))
+    asked = sorted({w for _, ws, _ in rows for w in ws} | {"insultant", "insulted", "unseen"})
+    for k in (0, 2):
+        train = [r for r in once.values() if not k or zlib.crc32(str(r[0]).encode()) % 5 != k]
+        p, sums = _brute_kneser_ney(train)
+        for total, q in sums:
+            assert all(a <= b + 1e-9 for a, b in zip(total, q)) and min(b - a for a, b in zip(total, q)) < 1e-9
+        got = toxicity.word_ratios(toxicity.steps(pa.array(asked)), entries, model.kept[k], k)
+        assert max(got) > 1
+        for w, ratio in zip(asked, got):
+            if _spelled(w)[-1] in p:
+                t, o = p[_spelled(w)[-1]]
+                assert abs(ratio - (math.log(t) - math.log(o))) < 1e-9, w
+    assert got[asked.index("insultant")] > 0.5  # by its stem
+
+
+def test_toxicity_edges(spark):
+    rng = random.Random(5)
+    clean = ["river", "stone", "cloud", "meadow"]
+    rows = [(i, " ".join([rng.choice(clean) for _ in range(20)] + ["oaf,", "(oafish)"] * (i % 4 == 0)), int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame([(i, t, 1, "a", "b") for i, t, _ in rows] + [(5000, " ".join(["stone"] * 40_000 + ["oaf"] * 20_000), 0, "", ""), (5001, "x" * 300_000, 0, "", ""), (5001, "x" * 300_000, 0, "", "")], "doc_id long, text string, toxic int, t string, slice string")
+    labels = spark.createDataFrame([(i, 0, x, "u") for i, _, x in rows] + [(i, 0, 0, "u") for i, _, _ in rows], "doc_id long, quality int, toxic int, o string")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(rows) + 3 and all(0 <= r.score <= 1 for r in got)
+    by = {r.doc_id: r.predicted for r in got}
+    assert by[5000] == 1 and by[5001] == 0 and all(by[i] == x for i, _, x in rows)
+    assert len({r.score for r in got if r.doc_id == 5001}) == 1
+
+
+def test_toxicity_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = toxicity.toxicity(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").collect()
+    rank = {r.doc_id: i for i, r in enumerate(sorted(got, key=lambda r: (r.score, r.doc_id)))}
+    bad = [rank[r.doc_id] for r in got if r.toxic]
+    auc = (sum(bad) - len(bad) * (len(bad) - 1) / 2) / (len(bad) * (len(got) - len(bad)))
+    assert auc > 0.95
+    assert sum(r.predicted for r in got if not r.toxic) < 0.02 * len(got) and sum(r.predicted for r in got if r.toxic) > 0.85 * len(bad)
 
 
 # -- 7
