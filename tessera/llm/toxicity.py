@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -270,15 +270,16 @@ def model_of(counts: DataFrame, classes: dict[tuple[int, int], int]) -> Model:
         made[f"no{k}"] = (total("o") - F.col(f"o{k}") if k else total("o")) * F.lit(n[1] / n[0] if n[0] else 0.0)
         t, o = F.col(f"nt{k}"), F.col(f"no{k}")
         beyond |= {f"et{k}": F.greatest(t - TIED * o - LEAST, F.lit(0.0)), f"eo{k}": F.greatest(o - TIED * t - LEAST, F.lit(0.0))}
-    siblings = Window.partitionBy("h", "depth")
-    sums = {f"all{k}": F.sum(F.col(f"nt{k}") + F.col(f"no{k}")).over(siblings) for k in PARTS}
-    known = cut(counts.select("u", "h", "depth", *[v.alias(c) for c, v in made.items()]).withColumns(beyond).withColumns(sums), "steps")
+    known = cut(counts.select("u", "h", "depth", *[v.alias(c) for c, v in made.items()]).withColumns(beyond), "steps")
+    siblings = cut(known.groupBy("depth", "h").agg(*[F.sum(F.col(f"nt{k}") + F.col(f"no{k}")).alias(f"all{k}") for k in PARTS]), "siblings")
     above = counts.sparkSession.range(1).select(F.lit(0).cast("long").alias("h"), *[F.lit(1.0).alias(f"{c}{k}") for k in PARTS for c in ("shared", "xt", "xo")])
     kept: list[list[float]] = [[] for _ in PARTS]
     entries = []
     for depth in range(len(STEMS) + 1):
         shared = {f"shared{k}": F.coalesce(F.try_divide(F.col(f"nt{k}") + F.col(f"no{k}"), F.col(f"all{k}")), F.lit(0.0)) * F.col(f"shared{k}") for k in PARTS}
-        here = known.where(F.col("depth") == depth).join(above, "h").withColumns(shared)
+        before = siblings.where(F.col("depth") == depth).drop("depth").join(above, "h")
+        # all first steps follow the root: one row
+        here = known.where(F.col("depth") == depth).join(before if depth else F.broadcast(before), "h").withColumns(shared)
         sums = here.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(n) for k in PARTS for c in "to" for n, x in ((f"n{c}{k}", F.col(f"n{c}{k}")), (f"e{c}{k}", F.col(f"e{c}{k}")), (f"q{c}{k}", F.col(f"shared{k}") * F.col(f"x{c}{k}")))]).first()
         own, reached = {}, {}
         for k in PARTS:
