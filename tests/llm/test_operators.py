@@ -126,6 +126,41 @@ def test_top_k_with_many_equal_rows(spark):
     assert got == want
 
 
+def _brute_top_k(rows, k=5):
+    """The ranking of each query id over whole integer scores, rows one by one."""
+    q = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    out = {}
+    for i in {i for i, _ in q if i % 50 == 0}:
+        found = sorted((-sum(x * y for x, y in zip(a, b)), j) for n, a in q if n == i for j, b in q if j != i and len(a) == len(b))
+        out |= {(i, r): (j, -s) for r, (s, j) in enumerate(found[:k], 1)}
+    return out
+
+
+def test_top_k_in_many_blocks_with_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 180)), [float(x) for x in rng.normal(size=6)]) for _ in range(420)]  # repeated ids, other vectors
+    rows += [(200, [1.0] * 6), (201, [1.0] * 6), (201, [1.0] * 6), (202, [-3.0] * 6), (50, []), (203, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = _brute_top_k(rows)
+    for block_values in (300, 6):
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k.top_k(v, F.col("vec_id") % 50 == 0, block_values=block_values).collect()}
+        assert got == want
+
+
+def test_top_k_keeps_the_best_of_rows_that_repeat_an_id(spark):
+    v = spark.createDataFrame([(50, [1.0, 0.0]), (2, [0.1, 0.0]), (2, [0.9, 0.0]), (3, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in top_k.top_k(v, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(2, 58880), (3, 32768), (2, 6400)]
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 5.0]), (3, [2.0, 1e7]), (4, [1e9, -1e9]), (50, [1e7, 2e9]), (5, [0.5, 0.25])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k.top_k(v, F.col("vec_id") % 50 == 0).collect()}
+    assert got[0, 1] == (1, 2**63 - 1) and (2, -(2**63)) not in [got[0, r] for r in range(1, 6)]
+    exact = {(i, r): x for (i, r), x in _brute_top_k([r for r in rows if r[0] > 2]).items() if abs(x[1]) < 2**63}
+    assert exact and all(x in [got[50, r] for r in range(1, 6)] for (i, _), x in exact.items() if i == 50)
+
+
 # -- 3
 
 
