@@ -13,7 +13,9 @@ words that a draw adds or takes away move the probabilities of the shorter docum
 source misses its target by about its reserve's shortest documents. Every draw keeps its expectation.
 
 All randomness comes from the source's number, the block and ``seed``, and rows walk from the longest
-document to the shortest (then by doc_id): reruns agree, and what is left to land is short.
+document to the shortest (then by doc_id): reruns agree, and what is left to land is short. Rows are dealt to blocks by
+their id, size and their number among rows that are equal in these, so a block stays near ``block`` rows however often
+a row repeats.
 
 Edge cases: null or empty text has size 0: it costs nothing and its ``taken`` is 0. A source without words
 has target 0. A null source is a source of its own; null doc_ids sort first; repeated rows are documents
@@ -66,6 +68,18 @@ def flight(p: np.ndarray, z: np.ndarray, rng: np.random.Generator) -> np.ndarray
     return np.array(values)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (source, doc_id, size, part, place) with ``again``: the number of each among its equals in source, id and
+    size. ``part`` and ``place`` are a stored part's number and a row's place in it, so many equals are numbered part by part."""
+    same = ["source", "doc_id", "size"]
+    counts = rows.groupBy(*same, "part").agg(F.count(F.lit(1)).alias("held"))
+    earlier = F.sum("held").over(Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = counts.withColumn("ahead", F.coalesce(earlier, F.lit(0))).where("ahead > 0").drop("held")
+    own = rows.withColumn("again", F.row_number().over(Window.partitionBy(*same, "part").orderBy("place")))
+    met = own.alias("o").join(ahead.alias("a"), reduce(lambda x, y: x & y, [F.col(f"o.{c}").eqNullSafe(F.col(f"a.{c}")) for c in [*same, "part"]]), "left")
+    return met.select("o.*", "a.ahead").withColumn("again", F.col("again") + F.coalesce("ahead", F.lit(0))).drop("ahead")
+
+
 def _rng(key: tuple, seed: int) -> np.random.Generator:
     return np.random.default_rng([seed, *(int(k) & 0xFFFFFFFF for k in key)])
 
@@ -157,17 +171,18 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...]
     """doc_id, size, source_size, target, taken, copies and the columns of ``keep`` for every row of ``docs``
     (doc_id, text, source)."""
     keep = keep or []
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", *keep, F.regexp_count("text", F.lit(WORD)).cast("long").alias("size")).withColumn("size", F.coalesce("size", F.lit(0)).cast("long")), "sizes")
-    aims = cut(targets(rows, weights, cap), "targets")
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.shiftright("place", 33)), "sizes")
+    rows = numbered(rows)
+    aims = cut(targets(rows.select("source", "size"), weights, cap), "targets")
     rated = rows.join(aims, rows["source"].eqNullSafe(aims["source"])).select(
-        "doc_id", *keep, "size", "source_no", "source_size", "target", "n",
+        "doc_id", *keep, "size", "again", "source_no", "source_size", "target", "n",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"),
     )
     whole = rated.withColumn("sure", F.floor(F.col("rate") + EPS).cast("int"))
     split = whole.withColumn("p", F.when(F.col("size") > 0, F.greatest(F.col("rate") - F.col("sure"), F.lit(0.0))).otherwise(F.lit(0.0)))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.lit(1))
-    dealt = split.withColumn("b", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), blocks))
-    dealt = dealt.withColumn("reserved", (F.col("p") > 0) & (F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), F.greatest("n", F.lit(1))) < reserve)).drop("n", "rate")
+    dealt = split.withColumn("b", F.pmod(F.xxhash64("doc_id", "size", "again", F.lit(seed)), blocks))
+    dealt = dealt.withColumn("reserved", (F.col("p") > 0) & (F.pmod(F.xxhash64("doc_id", "size", "again", F.lit(seed + 1)), F.greatest("n", F.lit(1))) < reserve)).drop("n", "rate", "again")
     schema = dealt.schema
     kept_back = dealt.where("reserved")
     dealt = dealt.where("not reserved")
