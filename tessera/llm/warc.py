@@ -89,6 +89,8 @@ def write_warc(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     keyed = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.concat(F.sha1("payload"), F.lit(":"), F.octet_length("payload").cast("string"))))
     groups = keyed.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "largest")
+    # pages that take no part in revisits have keys of their own, so they don't meet in one task
+    keyed = keyed.withColumn("digest", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("page_id", "url", "payload").cast("string"))))
     roles = keyed.join(groups, "digest", "left").select("page_id", "url", "payload", F.when(~F.col("largest").eqNullSafe(F.col("page_id")), F.col("largest")).alias("refers_to"))
     return cut(roles.mapInArrow(_write(folder), "path string, bytes long, records long"), "archives")
 
