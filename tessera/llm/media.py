@@ -183,7 +183,7 @@ def fetch(fs: pafs.FileSystem, path: str, member: zipfile.ZipInfo, attempts: int
                 _open[path] = fs.open_input_file(path)
             file = _open[path]
             head = file.read_at(30, member.header_offset)
-            if head[:4] != b"PK\x03\x04":
+            if len(head) < 30 or head[:4] != b"PK\x03\x04":
                 raise OSError("no member header")
             name, extra = struct.unpack_from("<HH", head, 26)
             body = file.read_at(member.compress_size, member.header_offset + 30 + name + extra)
