@@ -7,7 +7,7 @@ word's label probabilities in the context of its whole text; a text's language h
 its words with letters, and that mean is the score.
 
 The field is fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled rows, those of each language with
-the least hash of (doc_id, text), with their whole texts. Everything else covers all rows and whole texts. All texts of a
+the least hash of (doc_id, text), and of their texts at most ``SAMPLE_STRETCHES`` stretches of ``STRETCH`` words. Everything else covers all rows and whole texts. All texts of a
 slice move together, so a long one is read in whole.
 
 Edge cases: null text or text without a letter is ``und`` with score 0. Without any labelled row every text
@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.text import mix, ragged, slices, words
 from tessera.llm.toxicity import HELD_OUT, fold
+from tessera.sources.shared import cut
 
 SAMPLE_ROWS = 480
+SAMPLE_STRETCHES = 20_000
+FEW_LANGUAGES = 10_000
 SLOT_BITS = 15
 LEXICON = 400
 STEPS = 24
@@ -118,13 +121,28 @@ class Field:
         return sums + (self.member @ self.lexical)[known]
 
 
+def switches(before: np.ndarray, step: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Expected numbers of label pairs: sums of before x step x after, each normalised, a block of words at a time."""
+    k, out = len(step), np.zeros_like(step)
+    block = max(1, (1 << 22) // (k * k))
+    for a in range(0, len(before), block):
+        joint = before[a : a + block, :, None] * step[None] * after[a : a + block, None, :]
+        out += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    return out
+
+
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """text, lang of at most ``rows`` labelled rows: of each language those with the least hash, dealt out
     evenly, so that a rare language has its share."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     hashed = known.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
+    # a frequent language's hashes are cut to about four times ``rows`` before they meet in one window
+    counts = cut(known.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")), "languages")
+    few = counts.count() <= FEW_LANGUAGES
+    below = (F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("n") <= 4 * rows + 32
+    least = hashed.select("lang", "h").join(F.broadcast(counts) if few else counts, "lang").where(below).select("lang", "h")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = hashed.select("lang", "h").withColumn("place", place).where(F.col("place") <= rows).orderBy("place", "h", "lang").limit(rows).select("lang", "h").distinct()
+    chosen = least.withColumn("place", place).where(F.col("place") <= rows).orderBy("place", "h", "lang").limit(rows).select("lang", "h").distinct()
     # no more than ``rows`` keys go out; texts move only once they are chosen
     return hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("h", "lang").select("text", "lang")
 
@@ -160,7 +178,7 @@ def fit(sample: pa.Table) -> Field | None:
     row = np.repeat(np.arange(len(n)), stretches)
     begin = offsets[row] + ragged(np.zeros(len(n), np.int64), stretches) * STRETCH
     length = np.minimum(STRETCH, offsets[row + 1] - begin)
-    shuffle = np.argsort(mix(np.arange(len(begin), dtype=np.uint64), 5))
+    shuffle = np.argsort(mix(np.arange(len(begin), dtype=np.uint64), 5))[:SAMPLE_STRETCHES]
     begin, length = begin[shuffle], length[shuffle]
     order = ragged(begin, length)
     codes, label = codes[order], label[order]
@@ -186,9 +204,7 @@ def fit(sample: pa.Table) -> Field | None:
         w_grad = np.stack([np.bincount(at, weights=by_word[word, j], minlength=1 << SLOT_BITS) for j in range(k)], 1)
         l_grad = member[known].T @ by_word
         later = np.exp(x - x.max(axis=1, keepdims=True)) * p / np.maximum(seen, 1e-12)
-        joint = seen[prev][:, :, None] * field.step[None] * later[here][:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        s_grad = truth[prev].T @ truth[here] - joint.sum(axis=0)
+        s_grad = truth[prev].T @ truth[here] - switches(seen[prev], field.step, later[here])
         grads = [w_grad - 0.05 * params[0], l_grad - 0.05 * params[1], s_grad - 0.5 * step_log, gap[chains[:-1]].sum(axis=0) - 0.5 * start_log]
         for q, g, m, v in zip(params, grads, first_moment, second_moment):
             g = g / len(label)
