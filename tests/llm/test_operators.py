@@ -101,6 +101,48 @@ def test_flight_keeps_both_totals():
     assert abs(out.sum() - p.sum()) < 1e-6 and abs(out @ z - p @ z) < 1e-3
 
 
+def test_equal_rows_are_dealt_over_blocks(spark, monkeypatch):
+    acc = spark.sparkContext.accumulator(0)
+    real = mixing.flight
+
+    def counted(p, z, rng):
+        if len(p) > 512:
+            acc.add(1)
+        return real(p, z, rng)
+
+    monkeypatch.setattr(mixing, "flight", counted)
+    same = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text of five words").alias("text"), F.when(F.col("id") < 15_000, "a").otherwise("b").alias("source"))
+    got = mixing.mix(same, block=256)
+    rows = Counter((r.source_size, r.copies) for r in got.select("source_size", "copies").collect())
+    assert sum(rows.values()) == 20_000 and acc.value == 0
+    taken = {s: sum(n * c for (x, c), n in rows.items() if x == s) * 5 for s in (75_000, 25_000)}
+    assert abs(taken[75_000] - 100_000 / 3) < 50 and abs(taken[25_000] - 200_000 / 3) < 50
+
+
+def _water_level(sizes, weights=(1, 2, 3), cap=3.0):
+    """Targets by repeated sharing out: what is above a cap is dealt again to those below, by weight."""
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        left = total - sum(cap * sizes[s] for s in full)
+        rest = sum(w[s] for s in names if s not in full)
+        share = {s: cap * sizes[s] if s in full else left * w[s] / rest for s in names} if rest else {s: cap * sizes[s] for s in names}
+        over = {s for s in names if s not in full and share[s] > cap * sizes[s] + 1e-9}
+        if not over:
+            return share
+        full |= over
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_against_repeated_sharing(spark, seed):
+    rng = random.Random(seed)
+    sizes = {**{f"s{i}": rng.choice([0, 1, 5, 40, 900, 10_000]) for i in range(rng.randrange(1, 9))}, None: 7}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    want = _water_level(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
 def test_mix_edges(spark):
     got = mixing.mix(docs_with_edges(spark)).collect()
     assert len(got) == 67 and all(r.taken == 0 for r in got if r.size == 0)
@@ -205,6 +247,12 @@ def test_a_member_is_fetched_again_after_a_failure(tmp_path, monkeypatch):
 
     monkeypatch.setattr(media.time, "sleep", lambda s: None)
     assert media.fetch(Flaky(), path, member) == b"abc" and len(calls) == 2
+    with open(path, "r+b") as f:
+        f.truncate(10)
+    with pytest.raises(OSError, match="no member header"):
+        media.fetch(pafs.LocalFileSystem(), path, member)
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("x", b"abc")
     member.CRC ^= 1
     with pytest.raises(OSError, match="checksum"):
         media.fetch(pafs.LocalFileSystem(), path, member)
@@ -484,6 +532,13 @@ def test_forward_backward_against_enumeration():
             assert np.allclose(got[a:b], want / want.sum(axis=1, keepdims=True), atol=1e-5)
 
 
+def test_switches_in_blocks():
+    rng = np.random.default_rng(2)
+    b, s, a = rng.random((50, 3)), rng.random((3, 3)), rng.random((50, 3))
+    want = sum((x[:, None] * s * y[None]) / (x[:, None] * s * y[None]).sum() for x, y in zip(b, a))
+    assert np.allclose(language.switches(b, s, a), want)
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.language(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -573,7 +628,7 @@ def test_pipeline_stages(spark):
         assert docs.columns == before.columns, name
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     kept = {r.doc_id for r in docs.collect()}
-    assert not kept & {9001, 9002, 9003, 9005, None}
+    assert not kept & {9001, 9002, 9003, 9005}
     placed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert {r.doc_id for r in placed.select("doc_id").distinct().collect()} == kept
 
@@ -585,7 +640,7 @@ def test_stages_keep_clean_documents_and_drop_copies(spark):
     left = stages.drop_near_duplicates(spark, docs, SMALL)
     rows = [(r.doc_id, r.text) for r in docs.limit(300).collect()]
     few = docs.where(F.col("doc_id").isin([i for i, _ in rows]))
-    assert {r.doc_id for r in stages.drop_near_duplicates(spark, few, SMALL).collect()} == {c for _, c in brute_components(rows).values()}
+    assert {r.doc_id for r in stages.drop_near_duplicates(spark, few, SMALL).collect()} == {c for _, c in brute_components(rows, 80).values()}
     assert left.count() < docs.count()
 
 
@@ -596,6 +651,43 @@ def test_near_duplicate_stage_keeps_different_texts_of_one_id(spark):
     assert sorted((r.doc_id, r.text) for r in left) == [(7, texts[0]), (7, texts[1])]
 
 
+def test_near_duplicate_stage_keeps_a_row_of_every_group(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for j in range(rng.randrange(1, 5)):
+            ws = list(base)
+            ws[-1] = f"edit{j}"
+            rows.append((rng.choice([None, 1, 2, 100 * g + j]), " ".join(ws), g))
+    rows += [(None, None, 98), (None, "", 99), (5, " ", 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key long")
+    left = stages.drop_near_duplicates(spark, df, SMALL).collect()
+    assert sorted(r.row_key for r in left) == [*range(12), 98, 99, 100]
+    assert all(r in [tuple(x) for x in rows] for r in map(tuple, left))
+
+
+def test_mixing_stage_without_ids(spark):
+    rows = [(None, f"some words number {i} " * (i % 7 + 1), "en", "ab"[i % 2]) for i in range(200)] + [(None, "the same text", None, None)] * 50 + [(None, None, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = Counter(map(tuple, stages.mix_sources(spark, df, SMALL).collect()))
+    assert set(taken) <= set(rows) and all(n <= 3 * rows.count(r) for r, n in taken.items()) and sum(taken.values()) > 200
+
+
+def test_stages_on_empty_and_unlabelled_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for t in ("documents", "labels"):
+        pq.write_table(small(t).slice(0, 0), tmp_path / f"{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rows = [(i, f"word{i} and other words of text {i}", None, "s") for i in range(30)] + [(None, "no id here at all", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted(map(repr, docs.collect())) == sorted(repr(r) for r in spark.createDataFrame(rows, docs.schema).collect())
+
+
 def test_language_stage_without_labelled_rows_keeps_documents_with_letters(spark):
     df = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in stages.keep_known_languages(spark, df, SMALL).collect()] == [1]
