@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def half_up(x: Column, places: int = 6) -> Column:
-    """Round half towards plus infinity, also below zero (``round`` goes away from zero there)."""
-    unit = float(10**places)
-    return F.floor(x * unit + 0.5).cast("double") / unit
+    """Round half towards plus infinity, also below zero (``round`` goes away from zero there). NaN, infinities and
+    values too large to have so many places stay what they are."""
+    unit, d = float(10**places), x.cast("double")
+    return F.when(F.isnan(d) | (F.abs(d) * unit >= 2.0**53), d).otherwise(F.floor(d * unit + 0.5).cast("double") / unit)
 
 
 def finite(x: Column) -> Column:
@@ -44,6 +45,12 @@ def base64_url(x: Column) -> Column:
     return F.rtrim(F.translate(F.base64(x), "+/", "-_"), F.lit("="))
 
 
+def text_list(x: Column) -> Column:
+    """The texts of a field that ``|`` joins, each in URL-safe Base64; empty for an empty field."""
+    plain = lambda t: F.unbase64(F.rpad(F.translate(t, "-_", "+/"), ((F.length(t) + 3) / 4).cast("int") * 4, "=")).cast("string")
+    return F.when(blank_to_null(x).isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.split(x, r"\|"), plain))
+
+
 def digest(*parts: Column) -> Column:
     """SHA-256 of the parts joined by ``|``, nulls as empty."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
