@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite, half_up
+from tessera.operators.rowsets import at_most
 
 #: pairs that must be decided before a direction can be tested
 TESTABLE = 6
@@ -19,10 +20,13 @@ def transform_id(cut_count: Column, from_value: Column, to_value: Column) -> Col
     return F.concat(cut_count.cast("string"), F.lit("|"), from_value, F.lit(">>"), to_value)
 
 
-def mine_pairs(records: DataFrame) -> DataFrame:
+def mine_pairs(records: DataFrame, most_per_key: int | None = None) -> DataFrame:
     """Both directions of every pair. The self-join keeps one order of each pair; the other is its mirror,
-    so the join makes half the rows."""
+    so the join makes half the rows. By default all pairs are made; with ``most_per_key`` a key that may make more
+    directed pairs is an error before any is made, never a cut."""
     r = records.select("subject", "cut_count", "key", "value").distinct()
+    if most_per_key is not None:
+        at_most(r.groupBy("cut_count", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * (F.col("n") - 1) > most_per_key), 0, f"keys with {most_per_key} pairs")
     a = r.select("cut_count", "key", F.col("subject").alias("subject_a"), F.col("value").alias("from_value"))
     b = r.select("cut_count", "key", F.col("subject").alias("subject_b"), F.col("value").alias("to_value"))
     once = a.join(b, ["cut_count", "key"]).where((F.col("subject_a") < F.col("subject_b")) & (F.col("from_value") != F.col("to_value")))

@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2048
-PAIRS = "source long, target long, similarity double"
+from tessera.operators.rowsets import at_most
+from tessera.sources.shared import cut
+
+BLOCK_ROWS = 1024
+PAIRS = "source long, target long, similarity double, near boolean"
 
 
 def _blocks(vectors: DataFrame, row_id: str, vector: str, blocks: int) -> DataFrame:
@@ -36,30 +39,16 @@ def _rounded(x: np.ndarray) -> np.ndarray:
     return np.floor(x * 1e6 + 0.5) / 1e6
 
 
-def over_threshold(vectors: DataFrame, row_id: str, vector: str, least: float) -> DataFrame:
-    """source < target, similarity (6 places) of all pairs with at least ``least``."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for i, j, a, b in zip(part["i"], part["j"], part["a"], part["b"]):
-                (x, u), (y, v) = _unit(a), _unit(b)
-                s = _rounded(u @ v.T)
-                p, q = np.nonzero((s >= least) & ((x[:, None] < y[None, :]) if i == j else (x[:, None] != y[None, :])))
-                yield pd.DataFrame({"source": np.minimum(x[p], y[q]), "target": np.maximum(x[p], y[q]), "similarity": s[p, q]})
-
-    return _met(vectors, row_id, vector).mapInPandas(run, PAIRS)
-
-
-def nearest(vectors: DataFrame, row_id: str, vector: str, k: int) -> DataFrame:
-    """source, target, similarity, rank: the k most similar rows of each row, ties to the smaller id. Each
-    pair of blocks sends k candidates per row, so the ranking sees a bounded number for each."""
+def _scan(vectors: DataFrame, row_id: str, vector: str, k: int | None, least: float | None) -> DataFrame:
+    """source, target, similarity, near in one pass over all pairs of blocks: with ``k`` the ``k`` best targets of each
+    row in a block (near, directed), with ``least`` every pair source < target of at least that similarity (not near)."""
 
     def best(ids: np.ndarray, others: np.ndarray, s: np.ndarray) -> pd.DataFrame:
         s = np.where(ids[:, None] == others[None, :], -np.inf, s)
         order = np.lexsort((np.broadcast_to(others, s.shape), -s), axis=1)[:, :k]
         p = np.repeat(np.arange(len(ids)), order.shape[1])
         q = order.reshape(-1)
-        found = pd.DataFrame({"source": ids[p], "target": others[q], "similarity": s[p, q]})
+        found = pd.DataFrame({"source": ids[p], "target": others[q], "similarity": s[p, q], "near": True})
         return found[np.isfinite(found["similarity"])]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,28 +56,45 @@ def nearest(vectors: DataFrame, row_id: str, vector: str, k: int) -> DataFrame:
             for i, j, a, b in zip(part["i"], part["j"], part["a"], part["b"]):
                 (x, u), (y, v) = _unit(a), _unit(b)
                 s = _rounded(u @ v.T)
-                yield best(x, y, s)
-                if i != j:
-                    yield best(y, x, s.T)
+                if k is not None:
+                    yield best(x, y, s)
+                    if i != j:
+                        yield best(y, x, s.T)
+                if least is not None:
+                    p, q = np.nonzero((s >= least) & ((x[:, None] < y[None, :]) if i == j else (x[:, None] != y[None, :])))
+                    yield pd.DataFrame({"source": np.minimum(x[p], y[q]), "target": np.maximum(x[p], y[q]), "similarity": s[p, q], "near": False})
+
+    return _met(vectors, row_id, vector).mapInPandas(run, PAIRS)
+
+
+def over_threshold(vectors: DataFrame, row_id: str, vector: str, least: float) -> DataFrame:
+    """source < target, similarity (6 places) of all pairs with at least ``least``."""
+    return _scan(vectors, row_id, vector, None, least).drop("near")
+
 
-    met = _met(vectors, row_id, vector).mapInPandas(run, PAIRS)
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each row; each task keeps k of a row before rows meet."""
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("similarity"), "target"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.select("source", "target", "similarity").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, row_id: str, vector: str, k: int) -> DataFrame:
+    """source, target, similarity, rank: the k most similar rows of each row, ties to the smaller id. Each
+    pair of blocks sends k candidates per row, so the ranking sees a bounded number for each."""
+    return _ranked(_scan(vectors, row_id, vector, k, None), k)
 
 
-def graph(vectors: DataFrame, row_id: str, vector: str, mode: str = "hybrid", k: int = 5, least: float = 0.85, mutual_only: bool = False) -> DataFrame:
+def graph(vectors: DataFrame, row_id: str, vector: str, mode: str = "hybrid", k: int = 5, least: float = 0.85, mutual_only: bool = False, most_edges: int | None = None) -> DataFrame:
     """Undirected edges source < target with similarity, whether both rank the other (mutual), and whether
-    they come from the k nearest, the threshold, or both (hybrid)."""
+    they come from the k nearest, the threshold, or both (hybrid). More than ``most_edges`` are an error. Blocks are
+    multiplied once and what they find is kept, so the edges may be used many times."""
     if mode not in ("knn", "threshold", "hybrid"):
         raise ValueError(mode)
-    found = []
-    if mode != "threshold":
-        ranked = nearest(vectors, row_id, vector, k).select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "similarity", F.lit(1).alias("near"), F.lit(0).alias("above"))
-        found.append(ranked)
-    if mode != "knn":
-        found.append(over_threshold(vectors, row_id, vector, least).select("source", "target", "similarity", F.lit(0).alias("near"), F.lit(1).alias("above")))
-    rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    kept = cut(_scan(vectors, row_id, vector, None if mode == "threshold" else k, None if mode == "knn" else least), "similar")
+    ranked = _ranked(kept.where("near"), k).select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "similarity", F.lit(1).alias("near"), F.lit(0).alias("above"))
+    rows = ranked.unionByName(kept.where("not near").select("source", "target", "similarity", F.lit(0).alias("near"), F.lit(1).alias("above")))
     edges = rows.groupBy("source", "target").agg(F.max("similarity").alias("similarity"), F.sum("near").alias("near"), F.max("above").alias("above"))
     origin = F.when((F.col("near") > 0) & (F.col("above") > 0), "hybrid").when(F.col("near") > 0, "knn").otherwise("threshold")
     out = edges.select("source", "target", "similarity", (F.col("near") == 2).alias("mutual"), origin.alias("origin"))
-    return out.where("mutual or origin = 'threshold'") if mutual_only else out
+    out = out.where("mutual or origin = 'threshold'") if mutual_only else out
+    return out if most_edges is None else at_most(out, most_edges, "edges")

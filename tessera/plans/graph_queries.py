@@ -96,7 +96,8 @@ def t7_sorted_summary(s, d):
 
 
 _COS = """e AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
-sims AS (SELECT a.id AS source, b.id AS target, floor(list_cosine_similarity(a.v, b.v) * 1e6 + 0.5) / 1e6 AS similarity FROM e a JOIN e b ON a.id <> b.id),
+once AS MATERIALIZED (SELECT a.id AS source, b.id AS target, floor(list_cosine_similarity(a.v, b.v) * 1e6 + 0.5) / 1e6 AS similarity FROM e a JOIN e b ON a.id < b.id),
+sims AS (SELECT source, target, similarity FROM once UNION ALL SELECT target, source, similarity FROM once),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY similarity DESC, target) AS INTEGER) AS rank FROM sims),
 knn AS (SELECT * FROM ranked WHERE rank <= 5),
 near AS (SELECT least(source, target) AS source, greatest(source, target) AS target, max(similarity) AS similarity, count(*) AS near FROM knn GROUP BY 1, 2),
