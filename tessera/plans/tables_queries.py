@@ -284,9 +284,9 @@ def s6_tsv_lines(s, d):
     return src.tsv_lines(table(s, d, "customer"), ["c_custkey", "c_name", "c_acctbal"])
 
 
-@query(f"WITH {V}, p AS (SELECT c_custkey AS subject_id FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 200) SELECT p.subject_id, c_mktsegment AS series, max(mean) FILTER (endpoint_id = '1-URGENT' AND state = 'VALUE') AS \"1-URGENT\" FROM p JOIN customer ON c_custkey = p.subject_id LEFT JOIN v ON v.subject_id = p.subject_id GROUP BY 1, 2")
+@query(f"WITH {V}, p AS (SELECT c_custkey AS subject_id FROM customer WHERE c_acctbal >= 2000) SELECT p.subject_id, c_mktsegment AS series, max(mean) FILTER (endpoint_id = '1-URGENT' AND state = 'VALUE') AS \"1-URGENT\" FROM p JOIN customer ON c_custkey = p.subject_id LEFT JOIN v ON v.subject_id = p.subject_id GROUP BY 1, 2")
 def s11_export_selection(s, d):
-    chosen = rs.page(subjects(s, d), [F.desc("balance"), F.asc("subject_id")], 0, 200).select("subject_id")
+    chosen = subjects(s, d).where("balance >= 2000").select("subject_id")
     return src.export_selection(chosen, subjects(s, d).select("subject_id", "series"), values(s, d), ["1-URGENT"])
 
 
