@@ -31,6 +31,10 @@ def categories(rows: DataFrame, column: str, top: int = 10, group: list[str] | N
     """The ``top`` values by count, then by value; blank text is missing. Each with its share of valid rows."""
     ids = group or []
     counts = rows.select(*ids, blank_to_null(F.col(column).cast("string")).alias("value")).where("value is not null").groupBy(*ids, "value").agg(F.count(F.lit(1)).alias("n"))
+    if not ids:  # the top by a distributed sort with a limit, the totals as one row
+        best = counts.orderBy(F.desc("n"), "value").limit(top).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
+        totals = counts.agg(F.sum("n").alias("valid"), F.count(F.lit(1)).alias("distinct_values"))
+        return best.join(F.broadcast(totals)).select("rank", "value", "n", half_up(F.col("n") / F.col("valid")).alias("fraction"), "distinct_values")
     whole = Window.partitionBy(*ids)
     ranked = counts.withColumns({"valid": F.sum("n").over(whole), "distinct_values": F.count(F.lit(1)).over(whole), "rank": F.row_number().over(whole.orderBy(F.desc("n"), "value"))})
     return ranked.where(F.col("rank") <= top).select(*ids, "rank", "value", "n", half_up(F.col("n") / F.col("valid")).alias("fraction"), "distinct_values")
@@ -39,9 +43,9 @@ def categories(rows: DataFrame, column: str, top: int = 10, group: list[str] | N
 def with_other(rows: DataFrame, column: str, top: int) -> DataFrame:
     """Counts of the ``top`` values, of all other values together, and of missing ones."""
     counts = rows.groupBy(blank_to_null(F.col(column).cast("string")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(F.col("value").isNull()).orderBy(F.desc("n"), "value")))
-    label = F.when(F.col("value").isNull(), F.lit("(missing)")).when(F.col("rank") <= top, F.col("value")).otherwise(F.lit("(other)"))
-    return ranked.groupBy(label.alias("bucket")).agg(F.sum("n").alias("n"))
+    best = counts.where("value is not null").orderBy(F.desc("n"), "value").limit(top).select("value", F.lit(True).alias("best"))
+    label = F.when(F.col("value").isNull(), F.lit("(missing)")).when(F.col("best"), F.col("value")).otherwise(F.lit("(other)"))
+    return counts.join(F.broadcast(best), "value", "left").groupBy(label.alias("bucket")).agg(F.sum("n").alias("n"))
 
 
 def qc(rows: DataFrame, group: list[str], state: str, mean: str, n: str) -> DataFrame:

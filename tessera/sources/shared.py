@@ -11,9 +11,12 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a folder of our own only where that is unset and Spark runs in this
+    process (tests): executors elsewhere would not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_folder:
             _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import base64_url, one_line
+from tessera.sources.shared import cut
 
 #: the files of a dataset folder and their columns
 DATASET = {
@@ -21,9 +22,13 @@ DATASET = {
 PACK_TYPES = {"number": "double", "integer": "long", "boolean": "boolean"}
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A tab-separated file with a header; columns are taken by name, those that it lacks are null."""
+def read_tsv(spark: SparkSession, path: str, schema: str | None = None, required: list[str] | None = None) -> DataFrame:
+    """A tab-separated file, or a folder of them, with a header each; columns are taken by name, those that it lacks are
+    null unless they are ``required``: then that is an error."""
     raw = spark.read.csv(path, sep="\t", header=True, quote="", escape="")
+    missing = [c for c in required or [] if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
     if schema is None:
         return raw
     wanted = [c.strip().rpartition(" ") for c in schema.split(",")]
@@ -58,13 +63,24 @@ def wide(values: DataFrame, ids: list[str], state: str = "state", mean: str = "m
 
 
 def read_structures(spark: SparkSession, path: str) -> DataFrame:
-    """row, structure, id from text lines: blanks and ``#`` comments go, tokens are split at white space,
-    comma or semicolon, a first line that begins with ``smiles`` is a header, the id defaults to the row."""
-    lines = spark.read.text(path).withColumn("o", F.monotonically_increasing_id()).where("trim(value) <> '' and not trim(value) like '#%'")
+    """row (1, 2, ... over all files), structure, id from text lines: blanks and ``#`` comments go, tokens are split at
+    white space, comma or semicolon, a file's first line is a header if it begins with ``smiles``, the id defaults to
+    ``s`` and the row. Rows are numbered split by split, so no task sees all of them."""
+    lines = cut(_lines(spark, path).where("trim(value) <> '' and not trim(value) like '#%'"), "lines")
     tokens = F.split(F.trim("value"), r"[\s,;]+")
-    first = lines.agg(F.min("o").alias("first_o"))
-    rows = lines.join(first).where(~((F.col("o") == F.col("first_o")) & (F.lower(tokens[0]) == "smiles")))
-    return rows.select(F.col("o").alias("row"), tokens[0].alias("structure"), F.coalesce(F.get(tokens, F.lit(1)), F.concat(F.lit("s"), F.col("o").cast("string"))).alias("id"))
+    first = lines.groupBy("file").agg(F.min("place").alias("first"))
+    rows = lines.join(first, "file").where(~((F.col("place") == F.col("first")) & (F.lower(tokens[0]) == "smiles")))
+    split = ["file", F.col("place.start")]
+    sizes = rows.groupBy("file", F.col("place.start").alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = rows.withColumn("own", F.row_number().over(Window.partitionBy(*split).orderBy("place"))).withColumn("start", F.col("place.start"))
+    numbered = own.join(sizes.select("file", "start", before.alias("before")), ["file", "start"]).withColumn("row", F.col("before") + F.col("own"))
+    return numbered.select("row", tokens[0].alias("structure"), F.coalesce(F.get(tokens, F.lit(1)), F.concat(F.lit("s"), F.col("row").cast("string"))).alias("id"))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, place (start of its split, order in it) of every text line."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("o")).alias("place"))
 
 
 def tsv_lines(rows: DataFrame, columns: list[str], places: int = 4) -> DataFrame:
@@ -83,11 +99,11 @@ def tsv_lines(rows: DataFrame, columns: list[str], places: int = 4) -> DataFrame
 
 
 def write_tsv(rows: DataFrame, path: str, columns: list[str]) -> None:
-    """``tsv_lines`` as text files, gzipped if the path ends so; the header is a file of its own."""
+    """``tsv_lines`` as a folder of files that ``read_tsv`` reads, gzipped if the path ends so; each has the header."""
     packed = {"compression": "gzip"} if path.endswith(".gz") else {}
-    tsv_lines(rows, columns).write.mode("overwrite").options(**packed).text(path)
-    header = rows.sparkSession.createDataFrame([("\t".join(columns),)], "value string")
-    header.coalesce(1).write.mode("overwrite").text(f"{path}.header")
+    line = F.split("value", "\t")
+    fields = tsv_lines(rows, columns).select(*[line[i].alias(c) for i, c in enumerate(columns)])
+    fields.write.mode("overwrite").options(**packed).csv(path, sep="\t", header=True, quote="", escape="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def unique_names(names: list[str]) -> list[str]:
@@ -102,8 +118,9 @@ def unique_names(names: list[str]) -> list[str]:
 
 
 def save_artifact(rows: DataFrame, path: str, run: str = "run_id") -> None:
-    """Replace the rows of the runs in ``rows`` and leave other runs as they are."""
-    rows.repartition(F.col(run)).sortWithinPartitions(run).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)
+    """Replace the rows of the runs in ``rows`` and leave other runs as they are. Rows gather by run, and a run with many
+    of them is split over tasks."""
+    rows.hint("rebalance", run).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(path)
 
 
 def open_artifact(spark: SparkSession, folder: str, tables: list[str]) -> dict[str, DataFrame]:
@@ -118,9 +135,10 @@ def open_artifact(spark: SparkSession, folder: str, tables: list[str]) -> dict[s
 
 
 def export_selection(selection: DataFrame, subjects: DataFrame, values: DataFrame, endpoints: list[str]) -> DataFrame:
-    """The chosen subjects in order, with their fields and a column per endpoint."""
+    """The chosen subjects with their fields and a column per endpoint, in the order of ``ordinal`` if the selection has one."""
     table = wide(values.where(F.col("endpoint_id").isin(endpoints)), endpoints)
-    return selection.join(subjects, "subject_id", "left").join(table, "subject_id", "left")
+    out = selection.join(subjects, "subject_id", "left").join(table, "subject_id", "left")
+    return out.orderBy("ordinal") if "ordinal" in selection.columns else out
 
 
 def register(existing: DataFrame, new: DataFrame) -> DataFrame:

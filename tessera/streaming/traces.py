@@ -12,9 +12,29 @@ GAP_MS = 1200
 
 
 def read_traces(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
-    """Events of JSON-lines files; a torn last line is dropped, as are header lines."""
-    reader = (spark.readStream if stream else spark.read).schema(EVENT).option("mode", "PERMISSIVE")
-    return reader.json(folder).where("sequence is not null")
+    """Events of JSON-lines files. Each file may begin with a header, whose version must be 1, and end with a torn line,
+    which is dropped; any other line that is no event is an error on use. A stream knows no last line, so it drops
+    what is no event."""
+    if stream:
+        return spark.readStream.schema(EVENT).option("mode", "PERMISSIVE").json(folder).where("sequence is not null")
+    lines = spark.read.text(folder).where("trim(value) <> ''").select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("o")).alias("place"))
+    ends = lines.groupBy("file").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    read = lines.join(ends, "file").withColumn("e", F.from_json("value", f"{EVENT}, version int, record_type string"))
+    event = F.col("e.sequence").isNotNull()
+    header = ~event & (F.col("place") == F.col("first")) & (F.col("e.version").isNotNull() | F.col("e.record_type").isNotNull())
+    wrong = F.when(header & (F.coalesce("e.version", F.lit(1)) != 1), F.lit("unknown version of ")).when(~event & ~header & (F.col("place") != F.col("last")), F.lit("no event in a line of "))
+    checked = read.withColumn("ok", F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.col("file"))).cast("boolean")).otherwise(event))
+    return checked.where("ok").select("e.*").drop("version", "record_type")
+
+
+def trace_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """trace_id, problem of traces whose sequence doesn't rise strictly, or whose invocations end before or without
+    a start."""
+    events = read_traces(spark, folder)
+    again = events.groupBy("trace_id", "sequence").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trace_id", F.lit("repeated sequence").alias("problem"))
+    life = events.groupBy("trace_id", "invocation_id").agg(F.min(F.when(F.col("phase") == "STARTED", F.col("sequence"))).alias("started"), F.min(F.when(F.col("phase") != "STARTED", F.col("sequence"))).alias("ended"))
+    early = life.where("ended is not null and (started is null or ended < started)").select("trace_id", F.lit("ended before its start").alias("problem"))
+    return again.unionByName(early).distinct()
 
 
 def write_traces(events: DataFrame, folder: str) -> None:

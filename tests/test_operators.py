@@ -4,6 +4,7 @@ import json
 import math
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,14 @@ def test_rounding_goes_up_at_halves(spark):
     assert [x.y for x in r] == [0.0, 1e-6, 1.234568]
 
 
+def test_rounding_keeps_what_has_no_such_places(spark):
+    rows = [1e15, -1e300, float("inf"), float("-inf"), 123456789.1234565, None]
+    got = [r.y for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x double").select("i", sc.half_up(F.col("x")).alias("y")).orderBy("i").collect()]
+    assert got == [1e15, -1e300, float("inf"), float("-inf"), 123456789.123457, None]
+    (nan,) = spark.range(1).select(sc.half_up(F.lit(float("nan"))).alias("y")).collect()
+    assert nan.y != nan.y
+
+
 def test_text_hash_matches_its_definition(spark):
     def expected(s):
         v = 0
@@ -160,6 +169,30 @@ def test_mutual_edges(spark):
     assert got == {(1, 2): (True, "knn"), (2, 3): (False, "knn")}
 
 
+def test_similarity_in_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 5))
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    whole = sorted(similarity.graph(v, "id", "v", "hybrid", 3, 0.6).collect())
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 17)
+    assert sorted(similarity.graph(v, "id", "v", "hybrid", 3, 0.6).collect()) == whole
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.floor(u @ u.T * 1e6 + 0.5) / 1e6
+    above = {(i, j) for i in range(120) for j in range(i + 1, 120) if s[i, j] >= 0.6}
+    near = {(i, j) for i in range(120) for j in sorted((j for j in range(120) if j != i), key=lambda j: (-s[i, j], j))[:3]}
+    assert {(r.source, r.target) for r in whole} == above | {(min(p), max(p)) for p in near}
+    assert {(r.source, r.target) for r in whole if r.mutual} == {(i, j) for i, j in near if i < j and (j, i) in near}
+    with pytest.raises(ValueError, match="edges"):
+        similarity.graph(v, "id", "v", "hybrid", 3, 0.6, most_edges=5)
+
+
+def test_a_key_beyond_the_limit_is_an_error(spark):
+    records = spark.createDataFrame([(i, 1, "k", f"v{i}") for i in range(30)], "subject long, cut_count int, key string, value string")
+    assert pairs.mine_pairs(records).count() == pairs.mine_pairs(records, 870).count() == 870
+    with pytest.raises(ValueError, match="keys"):
+        pairs.mine_pairs(records, 869)
+
+
 def test_buckets(spark):
     rows = spark.createDataFrame([("a",), ("a, b",), ("",), (None,)], "r1 string")
     got = [tuple(r)[1:] for r in pivots.bucketed(rows, "r1").collect()]
@@ -183,6 +216,24 @@ def test_structure_lines(spark, tmp_path):
     assert got == [("CCO", "a"), ("CCN", "b"), ("CCC", "s")]
 
 
+def test_structure_rows_are_numbered_over_files(spark, tmp_path):
+    (tmp_path / "a.smi").write_text("smiles\n" + "\n".join(f"A{i}" for i in range(40)) + "\n")
+    (tmp_path / "b.smi").write_text("SMILES;name\n\nB0\nB1 own\n")
+    got = [tuple(r) for r in tables.read_structures(spark, str(tmp_path)).orderBy("row").collect()]
+    assert got == [(i + 1, f"A{i}", f"s{i + 1}") for i in range(40)] + [(41, "B0", "s41"), (42, "B1", "own")]
+
+
+def test_tables_come_back_from_their_files(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), i / 8, [f"ä|{i}", "x"] if i % 3 else []) for i in range(50)] + [("a\tb", None, None), ("", 2.0, [])], "s string, d double, l array<string>")
+    for name in ("t", "t.gz"):
+        tables.write_tsv(rows.repartition(5), str(tmp_path / name), ["s", "d", "l"])
+        back = tables.read_tsv(spark, str(tmp_path / name), "s string, d double, l string", required=["s", "d"]).select("s", "d", sc.text_list(F.col("l")).alias("l")).collect()
+        want = [(str(i), i / 8, [f"ä|{i}", "x"] if i % 3 else []) for i in range(50)] + [("a b", None, []), (None, 2.0, [])]
+        assert sorted(map(repr, map(tuple, back))) == sorted(map(repr, want))
+    with pytest.raises(ValueError, match="no column z"):
+        tables.read_tsv(spark, str(tmp_path / "t"), "s string, z string", required=["z"])
+
+
 def test_dataset_and_repeated_values(spark, tmp_path):
     for n, c in tables.DATASET.items():
         names = [x.strip().rpartition(" ")[0] for x in c.split(",")]
@@ -226,6 +277,24 @@ def test_export_and_names(spark, tmp_path):
     assert tables.unique_names(["Log D", "log-d", "?"]) == ["log_d", "log_d_2", "field"]
 
 
+def test_exports_keep_their_order(spark):
+    chosen = spark.createDataFrame([("c", 1), ("a", 2), ("b", 3)], "subject_id string, ordinal int")
+    subjects = spark.createDataFrame([(x, x * 2) for x in "abc"], "subject_id string, name string")
+    values = spark.createDataFrame([("a", "e", "VALUE", 1.0)], "subject_id string, endpoint_id string, state string, mean double")
+    assert [(r.subject_id, r.e) for r in tables.export_selection(chosen, subjects, values, ["e"]).collect()] == [("c", None), ("a", 1.0), ("b", None)]
+
+
+def test_a_broken_middle_line_is_an_error(spark, tmp_path):
+    line = lambda i, phase="STARTED": json.dumps({"trace_id": "t", "sequence": i, "invocation_id": f"i{i}", "phase": phase})
+    for name, text, error in (("middle", f'{line(1)}\n{{"trace\n{line(2)}\n', "no event"), ("version", f'{{"version": 2}}\n{line(1)}\n', "version"), ("second", f'{line(1)}\n{{"version": 1}}\n{line(2)}\n', "no event")):
+        (tmp_path / f"{name}.jsonl").write_text(text)
+        with pytest.raises(Exception, match=error):
+            traces.read_traces(spark, str(tmp_path / f"{name}.jsonl")).collect()
+    (tmp_path / "good.jsonl").write_text(f'{{"version": 1}}\n{line(1)}\n{line(2, "COMPLETED")}\n{line(2)}\n{{"torn')
+    assert traces.read_traces(spark, str(tmp_path / "good.jsonl")).count() == 3
+    assert {r.problem for r in traces.trace_problems(spark, str(tmp_path / "good.jsonl")).collect()} == {"repeated sequence"}
+
+
 def test_registering_structures(spark):
     old = spark.createDataFrame([("s1", "C")], "id string, structure string")
     assert tables.register(old, spark.createDataFrame([("s2", "N")], "id string, structure string")).count() == 2
