@@ -101,20 +101,14 @@ def test_flight_keeps_both_totals():
     assert abs(out.sum() - p.sum()) < 1e-6 and abs(out @ z - p @ z) < 1e-3
 
 
-def test_equal_rows_are_dealt_over_blocks(spark, monkeypatch):
-    acc = spark.sparkContext.accumulator(0)
-    real = mixing.flight
-
-    def counted(p, z, rng):
-        if len(p) > 512:
-            acc.add(1)
-        return real(p, z, rng)
-
-    monkeypatch.setattr(mixing, "flight", counted)
+def test_equal_rows_are_dealt_over_blocks(spark):
     same = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text of five words").alias("text"), F.when(F.col("id") < 15_000, "a").otherwise("b").alias("source"))
     got = mixing.mix(same, block=256)
     rows = Counter((r.source_size, r.copies) for r in got.select("source_size", "copies").collect())
-    assert sum(rows.values()) == 20_000 and acc.value == 0
+    assert sum(rows.values()) == 20_000
+    parts = same.select("source", "doc_id", F.lit(5).cast("long").alias("size"), F.monotonically_increasing_id().alias("place")).withColumn("part", F.shiftright("place", 33))
+    counts = {r.source: (r.n, r.d, r.m) for r in mixing.numbered(parts).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("again").alias("d"), F.max("again").alias("m")).collect()}
+    assert counts == {"a": (15_000,) * 3, "b": (5_000,) * 3}
     taken = {s: sum(n * c for (x, c), n in rows.items() if x == s) * 5 for s in (75_000, 25_000)}
     assert abs(taken[75_000] - 100_000 / 3) < 50 and abs(taken[25_000] - 200_000 / 3) < 50
 
