@@ -9,8 +9,10 @@ sets makes a link.
 
 Large groups: within a band's bucket, members are first compared with one pivot (a star). Linked members
 share a component, which makes the pairs among them needless; further rounds compare only members of
-different components, with another pivot each, and a last pass all pairs left between different components.
-Before these, shingles that few candidates have bound each member's similarity. Pairs that share such a rare
+different components, with another pivot each. What is left then meets by prefixes, not by buckets: with each
+set's shingles ordered from rare to common, two sets as similar as asked for share one of the first
+n - ceil(n * percent / 100) + 1, so a passage or template that many documents hold makes no pairs.
+Before the pivots, shingles that few candidates have bound each member's similarity. Pairs that share such a rare
 shingle are looked up by it and compared; a copy with so many rare shingles that nothing else in its bucket
 can reach the threshold then leaves the bucket, which loses no link. So a group of copies costs about its
 size.
@@ -23,12 +25,13 @@ read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import merged
@@ -153,6 +156,26 @@ def reachable(live: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
     return marked.where(100 * most >= percent * (F.col("n") + F.greatest("least", most) - most)).drop("least"), sharing
 
 
+def prefix_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (fp, q) of sets in ``live`` (fp, n, u, c) whose components differ and that may be similar, all similar
+    ones among them: they share a member of both prefixes and, from the first such member on, have enough members
+    left. Prefix rows meet by member and size class, so very different sizes never meet."""
+    nodes = live.select("fp", "n", "u", "c").distinct()
+    rows = sets.join(nodes.select("fp"), "fp", "left_semi").select("fp", F.explode("members").alias("x"))
+    counts = rows.groupBy("x").agg(F.count(F.lit(1)).alias("m"))
+    place = F.row_number().over(Window.partitionBy("fp").orderBy("m", "x")) - 1
+    ranked = rows.join(counts, "x").withColumn("i", place).join(nodes, "fp")
+    first = ranked.where((F.col("m") > 1) & (F.col("i") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100")))
+    step = math.log(100 / percent) * 1.001 if percent < 100 else 1.0  # a little wide: rounding loses no pair
+    size = F.floor(F.log("n") / step) if percent < 100 else F.col("n")
+    held = cut(first.select("x", "fp", "n", "u", "c", "i", size.alias("s")), "prefixes")
+    near = held.withColumn("z", F.explode(F.array("s", F.col("s") + 1)))
+    other = held.select("x", F.col("s").alias("z"), *[F.col(k).alias(f"q{k}") for k in ("n", "u", "c", "i")], F.col("fp").alias("q"))
+    met = near.join(other, ["x", "z"]).where((F.col("c") != F.col("qc")) & ((F.col("z") > F.col("s")) | (F.col("fp") < F.col("q"))))
+    most = F.least(F.col("n") - F.col("i"), F.col("qn") - F.col("qi"))
+    return met.where((100 * most >= percent * (F.col("n") + F.col("qn") - most)) & within(percent, "n", "u", "qn", "qu")).select("fp", "q")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, band_rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     if shingle < 1 or not 0 < percent <= 100:
@@ -198,12 +221,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, band_r
             # first the member with the fewest shingles of its own, the likeliest centre; then any
             place = F.col("u") if turn == 0 else F.xxhash64("fp", "key", F.lit(turn))
             other = live.groupBy("key").agg(F.min(F.struct(place.alias("place"), F.col("fp").alias("q"), F.col("n").alias("qn"), F.col("u").alias("qu"), F.col("c").alias("qc"))).alias("p")).select("key", "p.q", "p.qn", "p.qu", "p.qc")
-            across = F.col("c") != F.col("qc")
+            met = live.alias("l").join(other.alias("o"), (F.col("l.key") == F.col("o.key")) & (F.col("c") != F.col("qc")) & near("n", "qn") & within(percent, "n", "u", "qn", "qu"))
+            found = met.select("fp", "q").unionByName(sharing) if turn == 0 else met.select("fp", "q")
         else:
-            other = live.select("key", F.col("fp").alias("q"), F.col("n").alias("qn"), F.col("u").alias("qu"), F.col("c").alias("qc"))
-            across = F.col("c") < F.col("qc")
-        met = live.alias("l").join(other.alias("o"), (F.col("l.key") == F.col("o.key")) & across & near("n", "qn") & within(percent, "n", "u", "qn", "qu"))
-        found = met.select("fp", "q").unionByName(sharing) if turn == 0 else met.select("fp", "q")
+            found = prefix_pairs(live, sets, percent)
         pairs = cut(pairs_of(found, "q").join(tested, ["a", "b"], "left_anti"), "pairs")
         live = live.select("key", "fp", "n", "u")
         tested = tested.unionByName(pairs)

@@ -587,6 +587,22 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("percent", [60, 85, 100])
+def test_prefix_pairs_lose_no_similar_pair(spark, percent):
+    rng = random.Random(percent)
+    template = list(range(40))  # every set holds it; most pairs stay below the threshold
+    made = [sorted({*template, *rng.sample(range(100, 160), rng.choice([3, 8, 20, 60]))}) for _ in range(60)]
+    made += [sorted(set(rng.sample(range(100, 130), 25)) | {1000 + i % 2}) for i in range(20)]
+    made = [list(m) for m in {tuple(m) for m in made}]
+    sets = spark.createDataFrame([(bytes([i]), m) for i, m in enumerate(made)], "fp binary, members array<long>")
+    live = spark.createDataFrame([(bytes([i]), len(m), 0, bytes([i])) for i, m in enumerate(made)], "fp binary, n long, u long, c binary")
+    got = {tuple(sorted((bytes(r.fp), bytes(r.q)))) for r in near_dup.prefix_pairs(live, sets, percent).collect()}
+    alike = lambda a, b: 100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b))
+    assert got >= {(bytes([i]), bytes([j])) for j, b in enumerate(made) for i, a in enumerate(made[:j]) if alike(a, b)}
+    one = live.withColumn("c", F.lit(b"x"))
+    assert near_dup.prefix_pairs(one, sets, percent).isEmpty()
+
+
 def test_near_duplicate_edges(spark):
     rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (None, "a b c d e f"), (3, "a b c d e f"), (None, "p q r s t"), (1, "a b c d e f")]
     got = sorted(map(repr, (tuple(r) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
