@@ -58,3 +58,14 @@ def needing_prediction(rows: DataFrame, measured: str, predicted: str) -> DataFr
 
 def run_summary(rows: DataFrame, status: str, group: list[str]) -> DataFrame:
     return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(status) == s).alias(s.lower()) for s in ("SUCCESS", "OUT_OF_DOMAIN", "FAILURE")])
+
+
+def published(rows: DataFrame, predicted: DataFrame, row_id: str, name: str) -> DataFrame:
+    """``rows`` with a prediction run's result (value, uncertainty, applicability, status by row id) as columns of its name."""
+    columns = [F.col(c).alias(f"{name}_{c}") for c in ("value", "uncertainty", "applicability", "status")]
+    return rows.join(predicted.select(row_id, *columns), row_id, "left")
+
+
+def with_status(rows: DataFrame, row_id: str, status: str, wanted: str) -> DataFrame:
+    """The row set of a run's failures or of its out-of-domain rows: row_id, ordinal (the id itself)."""
+    return rows.where(F.col(status) == wanted).select(F.col(row_id).alias("row_id"), F.col(row_id).alias("ordinal")).distinct()

@@ -89,3 +89,23 @@ def piecewise(x: Column, points: Sequence[tuple[float, float]]) -> Column:
 def min_max_scaled(x: Column, low: Column, high: Column) -> Column:
     """0 to 1 over [low, high]; one half where both are equal."""
     return F.when(high > low, (x - low) / (high - low)).when(x.isNotNull(), F.lit(0.5))
+
+
+def terminated_digest(*parts: Column, end: str = "\0") -> Column:
+    """SHA-256 of the parts, each followed by ``end``, nulls as empty."""
+    return F.sha2(F.concat(*[p for x in parts for p in (F.coalesce(x.cast("string"), F.lit("")), F.lit(end))]), 256)
+
+
+def merged_counts(a: Column, b: Column) -> Column:
+    """Two count maps as one; a key of both has the sum."""
+    return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+
+def put_if_absent(m: Column, key: Column, value: Column) -> Column:
+    """The map with the entry, unless it has the key."""
+    return F.when(F.map_contains_key(m, key), m).otherwise(F.map_concat(m, F.create_map(key, value)))
+
+
+def details_json(**fields: Column) -> Column:
+    """JSON text of the named fields; null ones are left out."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))

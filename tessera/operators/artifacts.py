@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite, half_up
 from tessera.operators.rowsets import page
+from tessera.sources.tables import save_artifact
 
 #: the total order of each kind of row
 ORDERS = {
@@ -59,6 +62,12 @@ def run_counts(runs: DataFrame, pairs: DataFrame, stats: DataFrame) -> DataFrame
     return met.fillna(0, ["pair_count", "stats_count"])
 
 
+def store_run_counts(runs: DataFrame, pairs: DataFrame, stats: DataFrame, path: str) -> DataFrame:
+    """Write the runs with their counts to the artifact table at ``path``; rows of other runs there stay."""
+    save_artifact(run_counts(runs, pairs, stats), path)
+    return runs.sparkSession.read.parquet(path).withColumn("run_id", F.col("run_id").cast(runs.schema["run_id"].dataType))
+
+
 def merged_capabilities(*sources: DataFrame) -> DataFrame:
     """Capabilities (name, priority, ...) where a later source takes the place of an earlier one's name."""
     tagged = None
@@ -94,3 +103,9 @@ def column_roles(columns: list[tuple[str, str, str]]) -> list[tuple[str, str]]:
         role = "structure" if meaning == "chemical_structure" or low in ("smiles", "structure") else "identifier" if meaning.endswith("_id") or low == "id" or low.endswith(("_id", "key")) else "endpoint" if kind in ("double", "float", "int", "bigint") else "field"
         roles.append((name, role))
     return roles
+
+
+def counts_by(columns: list[tuple[str, str, str]]) -> dict[str, dict[str, int]]:
+    """How many of the columns (name, type, meaning) have each role, type and meaning."""
+    roles = column_roles(columns)
+    return {"role": dict(Counter(r for _, r in roles)), "type": dict(Counter(t for _, t, _ in columns)), "meaning": dict(Counter(m for _, _, m in columns))}

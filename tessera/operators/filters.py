@@ -98,3 +98,25 @@ def first_candidate(sets: DataFrame, patterns: list[str], text: str) -> DataFram
         rank = F.when(F.lower("subject_set_id") == p.format(text.lower()), F.lit(i)).otherwise(rank)
     ranked = sets.withColumn("rank", F.coalesce(rank, F.when(has_text(F.col("name"), text), F.lit(len(patterns))))).where("rank is not null")
     return ranked.orderBy("rank", "subject_set_id").limit(1)
+
+
+def fragment_sizes(key: Column, value: Column, total: Column, least_key: int = 1, least_value: int = 0, most_value: int | None = None, most_fraction: float = 1.0) -> Column:
+    """Whether a cut leaves a key and a value of allowed sizes; the value has at most a fraction of the whole."""
+    test = (key >= least_key) & (value >= least_value) & (value <= total * most_fraction)
+    if most_value is not None:
+        test = test & (value <= most_value)
+    return F.coalesce(test, F.lit(False))
+
+
+def within_limits(limits: dict[str, tuple[float | None, float | None]]) -> Column:
+    """Whether every named column lies in its limits (low, high), either of which may be open."""
+    test = F.lit(True)
+    for name, (low, high) in limits.items():
+        test = test & in_range(F.col(name), low, high)
+    return test
+
+
+def with_cuts(cut_count: Column, allowed: Iterable[int]) -> Column:
+    """Whether a transform was made by an allowed number of cuts; all numbers, if none is named."""
+    allowed = list(allowed)
+    return F.coalesce(cut_count.isin(allowed), F.lit(False)) if allowed else F.lit(True)

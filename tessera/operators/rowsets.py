@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import cut
+
 
 def row_set(rows: DataFrame, row_id: str, order: Column) -> DataFrame:
     """Row ids with the place of their first occurrence in ``order``; the place is the order value itself,
@@ -65,5 +67,18 @@ def hash_sample(rows: DataFrame, key: str, k: int, seed: int, group: list[str] |
 
 
 def hash_share(key: Column, seed: int, rate: float) -> Column:
-    """Whether a row belongs to a share of about ``rate``, by its key alone."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(rate * 1_000_000)
+    """Whether a row belongs to a share of about ``rate``: its SHA-256 of ``key|seed`` lies in that part of all hashes."""
+    if not 0 <= rate <= 1:
+        raise ValueError("a rate lies in 0..1")
+    place = F.substring(F.sha2(F.concat_ws("|", key.cast("string"), F.lit(str(seed))), 256), 1, 8)
+    return place < f"{int(rate * 2**32):08x}" if rate < 1 else F.lit(True)
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """``rows`` with their place 1, 2, ... in a total order. Ranges of the order are numbered side by side; only their
+    sizes meet in one task."""
+    ranges = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = ranges.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return own.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")

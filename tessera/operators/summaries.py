@@ -89,3 +89,16 @@ def status_counts(rows: DataFrame, group: list[str], status: str, values: list[s
     """One count column for each status value."""
     counted: list[Column] = [F.count_if(F.col(status) == v).alias(v.lower()) for v in values]
     return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("total"), *counted)
+
+
+def label_frequencies(rows: DataFrame, label: str, signature: str) -> DataFrame:
+    """How often each signature stands at each label, with its share of the label's rows."""
+    counts = rows.groupBy(label, signature).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("fraction", half_up(F.col("n") / F.sum("n").over(Window.partitionBy(label))))
+
+
+def signature_summary(rows: DataFrame, kind: str, signature: str) -> DataFrame:
+    """Per kind: its rows, and its signatures by falling frequency."""
+    counts = rows.groupBy(kind, signature).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(kind)
+    return counts.withColumns({"kind_total": F.sum("n").over(whole), "rank": F.row_number().over(whole.orderBy(F.desc("n"), signature))})

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import base64_url, one_line
-from tessera.sources.shared import cut
+from tessera.functions.scalars import base64_url, blank_to_null, one_line
+from tessera.operators.rowsets import numbered
+from tessera.sources.shared import cut, new_path
 
 #: the files of a dataset folder and their columns
 DATASET = {
@@ -45,7 +50,10 @@ def open_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def open_pack(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
-    """The table and manifest of a pack folder; its schema file names each column's type and meaning."""
+    """The table and manifest of a pack: a folder, or an archive (``.zip``, ``.prismpack``) of one. Its schema file names
+    each column's type and meaning."""
+    if folder.endswith((".zip", ".prismpack")):
+        folder = _unpacked(spark, folder)
     manifest = json.loads(spark.read.text(f"{folder}/*-pack.json", wholetext=True).first()[0])
     declared = json.loads(spark.read.text(f"{folder}/schema/dataframe.schema.json", wholetext=True).first()[0])
     columns = declared["columns"]
@@ -56,12 +64,38 @@ def open_pack(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
     return table, manifest
 
 
+def _unpacked(spark: SparkSession, path: str) -> str:
+    """A shared folder with the pack files of an archive. A task reads the archive line by line; the lines of each
+    member are written by Spark."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                archive = zipfile.ZipFile(io.BytesIO(content))
+                for name in archive.namelist():
+                    if name.endswith(("/dataframe.tsv", "/dataframe.schema.json", "-pack.json")):
+                        rows = io.TextIOWrapper(archive.open(name), "utf-8", newline="\n")
+                        while part := rows.readlines(1 << 20):
+                            yield pd.DataFrame({"name": name.rpartition("/")[2], "value": [x.rstrip("\r\n") for x in part]})
+
+    read = cut(spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "name string, value string"), "pack")
+    folder = new_path(spark, "pack")
+    for name, to in (("dataframe.tsv", "data/dataframe.tsv"), ("dataframe.schema.json", "schema/dataframe.schema.json"), ("-pack.json", "all-pack.json")):
+        read.where(F.col("name").endswith(name)).select("value").coalesce(1).write.text(f"{folder}/{to}")
+    return folder
+
+
 def wide(values: DataFrame, ids: list[str], state: str = "state", mean: str = "mean") -> DataFrame:
     """One row per subject with a column per endpoint; only measured values show."""
     shown = F.first(F.when(F.col(state) == "VALUE", F.col(mean)), ignorenulls=True)
     return values.groupBy("subject_id").pivot("endpoint_id", ids).agg(shown)
 
 
+def wide_terms(rows: DataFrame, subject: str, path: str, paths: list, columns: dict[str, str]) -> DataFrame:
+    """One row per subject with the named columns of each path as ``<path>_<name>``; the least, if a path repeats."""
+    return rows.groupBy(subject).pivot(path, paths).agg(*[F.min(c).alias(n) for n, c in columns.items()])
+
+
 def read_structures(spark: SparkSession, path: str) -> DataFrame:
     """row (1, 2, ... over all files), structure, id from text lines: blanks and ``#`` comments go, tokens are split at
     white space, comma or semicolon, a file's first line is a header if it begins with ``smiles``, the id defaults to
@@ -141,6 +175,29 @@ def export_selection(selection: DataFrame, subjects: DataFrame, values: DataFram
     return out.orderBy("ordinal") if "ordinal" in selection.columns else out
 
 
+def export_snapshot(spark: SparkSession, tables: dict[str, DataFrame], folder: str, about: dict | None = None) -> None:
+    """Tables as Parquet in a new folder, then a manifest (JSON) that lists them: without it a snapshot isn't whole."""
+    for name, rows in tables.items():
+        rows.write.mode("errorifexists").parquet(f"{folder}/{name}")
+    text = json.dumps({"version": 1, "tables": {n: t.schema.simpleString() for n, t in tables.items()}, **(about or {})}, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{folder}/manifest.json")
+
+
+def open_snapshot(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict]:
+    """The tables and manifest of an exported snapshot."""
+    manifest = json.loads(spark.read.text(f"{folder}/manifest.json").first()[0])
+    return open_artifact(spark, folder, list(manifest["tables"])), manifest
+
+
+def with_ids(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` structures (id, structure) where those without an id get ``s`` and a number that goes on from the number of
+    existing ones, in the order of their structures."""
+    start = existing.count()
+    none = numbered(new.where(blank_to_null(F.col("id")).isNull()), ["structure"])
+    made = none.select(F.concat(F.lit("s"), (F.col("number") + start).cast("string")).alias("id"), "structure")
+    return new.where(blank_to_null(F.col("id")).isNotNull()).select("id", "structure").unionByName(made)
+
+
 def register(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Structures (id, structure) with ``new`` ones added; new ids that exist already are an error on use."""
     clash = new.join(existing.select("id"), "id", "left_semi").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +41,22 @@ def trace_problems(spark: SparkSession, folder: str) -> DataFrame:
     return again.unionByName(early).distinct()
 
 
-def write_traces(events: DataFrame, folder: str) -> None:
-    """Append-only JSON lines; the folder must be new."""
-    events.write.mode("errorifexists").json(folder)
+def write_traces(events: DataFrame, folder: str, header: dict | None = None) -> None:
+    """Append-only JSON lines; the folder must be new. With a header, each file begins with it and its version."""
+    if header is None:
+        events.write.mode("errorifexists").json(folder)
+        return
+    first = json.dumps({"record_type": "header", "version": 1, **header})
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        started = False
+        for batch in batches:
+            if not started and len(batch):
+                started = True
+                yield pd.DataFrame({"value": [first]})
+            yield batch
+
+    events.select(F.to_json(F.struct(*events.columns)).alias("value")).mapInPandas(headed, "value string").write.mode("errorifexists").text(folder)
 
 
 def sequence_breaks(events: DataFrame, trace: str, order: str, rising: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import zipfile
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as sc
 from tessera.functions.predictions import Capability, Registry, needing_prediction, reference_predictor
-from tessera.operators import clusters, filters, graphs, pairs, pivots, rowsets, similarity, summaries
+from tessera.operators import artifacts, clusters, filters, graphs, pairs, pivots, rowsets, similarity, summaries
 from tessera.sources import tables
 from tessera.streaming import traces
 
@@ -337,3 +338,62 @@ def test_all_neighbours_are_ranked_by_value(spark):
     edges = spark.createDataFrame([(0, i) for i in range(1, 1102)] + [(i, i + 1) for i in range(1, 1100)], "source long, target long")
     near = graphs.neighbourhood(edges, spark.createDataFrame([(0,)], "node long"), None)
     assert near.count() == 1101 and "rank" not in near.columns
+
+
+def test_pack_archive(spark, tmp_path):
+    path = tmp_path / "a.prismpack"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("x/table-pack.json", json.dumps({"version": 1}))
+        z.writestr("x/schema/dataframe.schema.json", json.dumps({"columns": [{"id": "compound_id", "type": "text"}, {"id": "pIC50", "type": "number"}]}, indent=1))
+        z.writestr("x/data/dataframe.tsv", "compound_id\tpIC50\nC1\t7.2\nC2\t\n")
+        z.writestr("x/other.bin", b"\xff\xfe")
+    table, manifest = tables.open_pack(spark, str(path))
+    assert manifest["version"] == 1 and [tuple(r) for r in table.orderBy("compound_id").collect()] == [("C1", 7.2), ("C2", None)]
+
+
+def test_snapshots_are_new_and_whole(spark, tmp_path):
+    t = spark.createDataFrame([(1, "a"), (2, None)], "id long, s string")
+    tables.export_snapshot(spark, {"t": t}, str(tmp_path / "s"), {"name": "first"})
+    back, manifest = tables.open_snapshot(spark, str(tmp_path / "s"))
+    assert sorted(map(tuple, back["t"].collect()), key=str) == [(1, "a"), (2, None)] and manifest["name"] == "first"
+    with pytest.raises(Exception, match="(?i)exists"):
+        tables.export_snapshot(spark, {"t": t}, str(tmp_path / "s"))
+
+
+def test_traces_with_a_header(spark, tmp_path):
+    events = spark.createDataFrame([("t", i, "STARTED") for i in range(20)], "trace_id string, sequence long, phase string")
+    traces.write_traces(events.repartition(3), str(tmp_path / "t"), {"trace_id": "t"})
+    assert sorted(r.sequence for r in traces.read_traces(spark, str(tmp_path / "t")).collect()) == list(range(20))
+    with pytest.raises(Exception, match="(?i)exists"):
+        traces.write_traces(events, str(tmp_path / "t"), {})
+
+
+def test_structures_without_ids_go_on_counting(spark):
+    held = spark.createDataFrame([("a", "X"), ("b", "Y")], "id string, structure string")
+    new = spark.createDataFrame([(None, "Q"), ("own", "R"), (" ", "P")], "id string, structure string")
+    assert sorted(map(tuple, tables.with_ids(held, new).collect())) == [("own", "R"), ("s3", "P"), ("s4", "Q")]
+
+
+def test_numbers_over_ranges(spark):
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("x"))
+    got = {r.x: r.number for r in rowsets.numbered(rows, ["x"]).collect()}
+    assert got == {x: x + 1 for x in range(5000)}
+    assert rowsets.numbered(rows.limit(0), ["x"]).count() == 0
+
+
+def test_sizes_limits_and_cuts(spark):
+    rows = spark.createDataFrame([(10, 5, 15, 1), (1, 14, 15, 2), (None, 5, 15, None)], "k int, v int, t int, c int")
+    assert [r[0] for r in rows.select(filters.fragment_sizes(F.col("k"), F.col("v"), F.col("t"), 2, 1, 8, 0.5)).collect()] == [True, False, False]
+    assert [r[0] for r in rows.select(filters.within_limits({"k": (0, 9), "v": (None, 20)})).collect()] == [False, True, False]
+    assert [r[0] for r in rows.select(filters.with_cuts(F.col("c"), [1])).collect()] == [True, False, False]
+    assert [r[0] for r in rows.select(filters.with_cuts(F.col("c"), [])).collect()] == [True] * 3
+
+
+def test_roles_are_counted():
+    got = artifacts.counts_by([("id", "bigint", ""), ("smiles", "string", ""), ("a", "double", "endpoint_value"), ("b", "double", "endpoint_value")])
+    assert got["role"] == {"identifier": 1, "structure": 1, "endpoint": 2} and got["type"]["double"] == 2 and got["meaning"]["endpoint_value"] == 2
+
+
+def test_share_follows_its_rate(spark):
+    n = spark.range(20_000).where(rowsets.hash_share(F.col("id"), 3, 0.1)).count()
+    assert 1_800 < n < 2_200 and spark.range(9).where(rowsets.hash_share(F.col("id"), 3, 1.0)).count() == 9
