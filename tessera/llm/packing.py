@@ -3,9 +3,12 @@
 A document is its token ids and one ``end_id``; only longer ones are cut, into pieces of ``capacity``
 tokens, the last of which may be shorter. Full pieces are sequences of their own. The other pieces are
 dealt at random into groups of about ``group_pieces``, and each group is packed by branch and bound:
-best-fit decreasing gives the first incumbent; then the largest piece left is completed with undominated
-fillings, best fill first, and a branch ends where its waste can't beat the incumbent or the lower bound
-is met. ``node_share`` bounds the nodes a group may visit, as a share of its pieces.
+best-fit decreasing gives the first incumbent; then the largest piece left is completed with every
+undominated filling, least waste first, and a branch ends where its waste can't beat the incumbent or the
+lower bound is met. The emptiest bins of ``MERGED`` groups are then packed together once more, and so on
+until one group is left, so that dealing into groups doesn't cost bins; a group keeps its bins where that
+finds no fewer. No list of fillings is cut; ``steps_a_piece`` bounds the whole search of a group, whose best
+bins stand when it ends.
 
 Edge cases: a null or empty text is one piece that holds ``end_id`` alone; null and repeated doc_ids are
 packed like any others (each row is a document); other columns are not read; an empty table packs into
@@ -33,8 +36,9 @@ from tessera.llm.text import ragged, slices, words
 from tessera.sources.shared import cut
 
 CACHED_WORDS = 100_000
-FANOUT = 10
-BRANCHES = 3
+#: groups whose emptiest bins, one in so many, are packed together in the next round
+MERGED = 8
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @functools.cache
@@ -150,7 +154,7 @@ def _cut_up(path: str, capacity: int, end_id: int, with_ids: bool):
                     columns.append(pa.array([little[a:b].tobytes() for a, b in zip(at, at + length)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return run, "doc_id long, piece int, start long, length long, ids_crc32 long, deal long" + ", ids binary" * with_ids
+    return run, PIECE + ", deal long" + ", ids binary" * with_ids
 
 
 def lower_bound(lengths: list[int], capacity: int) -> int:
@@ -191,53 +195,64 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _dominated(b: list[int], a: list[int]) -> bool:
-    """Whether the pieces of b fit into the places of a's pieces."""
-    rooms = list(a)
-    for x in b:
-        for i, r in enumerate(rooms):
-            if x <= r:
-                rooms[i] -= x
-                break
-        else:
-            return False
-    return True
-
-
-def _fillings(room: int, left: list[int], held: int) -> list[list[int]]:
-    """Undominated fillings of ``room``, fullest first, from the pieces that are left (held: their bits)."""
-    found, first = [], held & ((2 << room) - 1)
-    for _ in range(FANOUT):
-        if not first:
-            break
-        a = first.bit_length() - 1
-        first ^= 1 << a
-        filling, r, taken = [a], room - a, {a: 1}
-        while r and (fits := held & ((2 << r) - 1)):
-            b = fits.bit_length() - 1
-            while b > 0 and taken.get(b, 0) >= left[b]:
-                fits ^= 1 << b
-                b = fits.bit_length() - 1
-            if b <= 0:
-                break
-            filling.append(b)
-            taken[b] = taken.get(b, 0) + 1
-            r -= b
-        found.append((r, filling))
-        if not r:
-            break
-    found.sort(key=lambda f: (f[0], -f[1][0]))
-    kept: list[list[int]] = []
-    for _, f in found:
-        if len(kept) == BRANCHES:
-            break
-        if not any(_dominated(f, k) for k in kept):
-            kept.append(f)
-    return kept
-
-
-def complete_bins(lengths: list[int], capacity: int, nodes: int) -> list[list[int]]:
-    """Bins of the fewest pieces found: bin completion with best-fit's bins as the first incumbent."""
+def _sums(total: int, last: int, used: int, left: list[int], held: int, least: int, steps: list[int]) -> Iterator[list[int]]:
+    """Multisets of pieces no longer than ``last`` that sum to ``total``, longest piece first. ``used`` pieces of
+    length ``last`` are spoken for; ``held`` has the bits of the lengths at hand, ``least`` is the shortest."""
+    fits = held & ((2 << min(total, last)) - 1)
+    while fits and steps[0] > 0:
+        a = fits.bit_length() - 1
+        fits ^= 1 << a
+        steps[0] -= 1
+        taken = used if a == last else 0
+        if left[a] > taken:
+            if a == total:
+                yield [a]
+            else:
+                for rest in _sums(total - a, a, taken + 1, left, held, least, steps):
+                    yield [a, *rest]
+        if a > total - least:  # what is left must hold one piece more
+            fits &= (2 << max(0, total - least)) - 1
+
+
+def _undominated(filling: list[int], slack: int, unused: int) -> bool:
+    """Whether no unused piece could take the place of some of the filling's pieces, none included, and fill it as
+    well or better; a piece of the same length in place of one alone is no gain."""
+    one, more = 0, 0  # bits: sums of one piece, of several
+    for x in filling:
+        more |= (one | more) << x
+        one |= 1 << x
+    spread, width = more, 0
+    single, reach = one << 1 if slack else 0, 1
+    while width < slack:
+        step = min(width + 1, slack - width)
+        spread, width = spread | spread << step, width + step
+    while reach < slack:
+        step = min(reach, slack - reach)
+        single, reach = single | single << step, reach + step
+    return not unused & (spread | single | ((2 << slack) - 1))
+
+
+def _fillings(x: int, room: int, left: list[int], held: int, steps: list[int]) -> Iterator[list[int]]:
+    """All undominated fillings of the room beside a piece of length x, least waste first. While one is in use,
+    its pieces may be out of ``left``; they have to be back when the next is asked for."""
+    fits = held & ((2 << room) - 1)
+    least = (fits & -fits).bit_length() - 1 if fits else room + 1
+    for slack in range(room + 1):
+        total = room - slack
+        for filling in _sums(total, x, 1, left, held, least, steps) if total else [[]]:
+            unused = held
+            for a in {x, *filling}:
+                if left[a] == filling.count(a) + (a == x):
+                    unused &= ~(1 << a)
+            if _undominated(filling, slack, unused):
+                yield filling
+        if steps[0] <= 0:
+            return
+
+
+def complete_bins(lengths: list[int], capacity: int, most_steps: int) -> list[list[int]]:
+    """Bins of the fewest pieces found: bin completion with best-fit's bins as the first incumbent. A step is one
+    piece tried in a filling."""
     best = best_fit(lengths, capacity)
     bound = lower_bound(lengths, capacity)
     if len(best) <= bound:
@@ -247,6 +262,7 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int) -> list[list[in
         left[x] += 1
         held |= 1 << x
     spare = (len(best) - 1) * capacity - sum(lengths)  # waste that a better solution may have
+    steps = [most_steps]
 
     def take(pieces: list[int]) -> None:
         nonlocal held
@@ -263,60 +279,62 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int) -> list[list[in
 
     def branch() -> Iterator[list[int]]:
         x = held.bit_length() - 1
-        take([x])
-        choices = [[x, *f] for f in _fillings(capacity - x, left, held)] or [[x]]
-        put_back([x])
-        return iter(choices)
+        return ([x, *f] for f in _fillings(x, capacity - x, left, held, steps))
 
     path: list[list[int]] = []
     stack, waste = [branch()], 0
-    while stack and nodes > 0:
+    while stack:
         bin_ = next(stack[-1], None)
-        if bin_ is None:
+        if steps[0] <= 0:
+            break
+        # fillings come by rising waste: the first that wastes too much ends its branch
+        if bin_ is None or waste + capacity - sum(bin_) > spare:
             stack.pop()
             if path:
                 undone = path.pop()
                 put_back(undone)
                 waste -= capacity - sum(undone)
             continue
-        nodes -= 1
-        more = capacity - sum(bin_)
-        if waste + more > spare:
-            continue
         take(bin_)
         path.append(bin_)
-        waste += more
+        waste += capacity - sum(bin_)
         if held:
             stack.append(branch())
             continue
-        if len(path) < len(best):
-            best = [list(b) for b in path]
-            spare = (len(best) - 1) * capacity - sum(lengths)
-            if len(best) <= bound:
-                break
+        best = [list(b) for b in path]
+        spare = (len(best) - 1) * capacity - sum(lengths)
+        if len(best) <= bound:
+            break
         undone = path.pop()
         put_back(undone)
         waste -= capacity - sum(undone)
     return best
 
 
-def _packed(capacity: int, node_share: float):
+def _packed(capacity: int, steps_a_piece: int, turn: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "deal"], ascending=[False, True], kind="stable").reset_index(drop=True)
         lengths = group["length"].tolist()
-        rows: dict[int, list[int]] = {}
-        for i, x in enumerate(lengths):
-            rows.setdefault(x, []).append(i)
-        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for number, bin_ in enumerate(complete_bins(lengths, capacity, int(node_share * len(lengths)) + 64)):
-            at = 0
-            for x in bin_:
-                i = rows[x].pop()
-                sequence[i], offset[i] = number, at
-                at += x
-        return group[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=int(key[0]) << 32 | sequence, offset=offset)
-
-    return run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        bins = complete_bins(lengths, capacity, steps_a_piece * len(lengths) + 1024)
+        if turn and len(bins) >= group["sequence_id"].nunique():
+            sequence, offset = group["sequence_id"].to_numpy(), group["offset"].to_numpy()
+        else:
+            rows: dict[int, list[int]] = {}
+            for i, x in enumerate(lengths):
+                rows.setdefault(x, []).append(i)
+            sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            for number, bin_ in enumerate(bins):
+                at = 0
+                for x in bin_:
+                    i = rows[x].pop()
+                    sequence[i], offset[i] = turn << 56 | int(key[0]) << 32 | number, at
+                    at += x
+        out = group[["doc_id", "piece", "start", "length", "ids_crc32", "deal", "g"]].assign(sequence_id=sequence, offset=offset)
+        fill = out.groupby("sequence_id")["length"].sum().sort_values(kind="stable")
+        again = fill.index[: -(-len(fill) // MERGED)]
+        return out.assign(again=out["sequence_id"].isin(again))
+
+    return run, PIECE + ", deal long, g long, sequence_id long, offset long, again boolean"
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -325,15 +343,22 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, group_pieces: int = 8192, node_share: float = 1.5) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, group_pieces: int = 8192, steps_a_piece: int = 24) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: the place of every piece."""
     if capacity < 2:
         raise ValueError("capacity must be 2 at least")
     pieces = cut(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    place = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    out = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("deal"), "offset": F.lit(0).cast("long")}).select(*place)
     rest = pieces.where(F.col("length") < capacity)
-    groups = max(1, -(-rest.count() // group_pieces))
-    run, schema = _packed(capacity, node_share)
+    groups, turn = max(1, -(-rest.count() // group_pieces)), 0
     dealt = rest.withColumn("g", F.pmod(F.xxhash64("deal"), F.lit(groups)))
-    shared = dealt.groupBy("g").applyInPandas(run, schema)
-    whole = pieces.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("deal")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return shared.unionByName(whole)
+    while True:
+        run, schema = _packed(capacity, steps_a_piece, turn)
+        packed = dealt.groupBy("g").applyInPandas(run, schema)
+        if groups == 1:
+            return out.unionByName(packed.select(*place))
+        packed = cut(packed, "packed")
+        out = out.unionByName(packed.where("not again").select(*place))
+        groups, turn = -(-groups // MERGED), turn + 1
+        dealt = packed.where("again").drop("again").withColumn("g", F.floor(F.col("g") / MERGED))

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and edge cases."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -484,6 +485,45 @@ def test_bin_completion_finds_the_optimum_of_small_cases(seed):
     assert len(packing.complete_bins(lengths, 12, 50_000)) == optimum(sorted(lengths, reverse=True), [])
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_fillings_are_all_undominated_ones(seed):
+    rng = random.Random(seed)
+    x, room = 12, 18
+    lengths = sorted((rng.randrange(1, 13) for _ in range(8)), reverse=True)
+    want = set()
+    for bits in itertools.product([0, 1], repeat=len(lengths)):
+        filling = tuple(v for v, b in zip(lengths, bits) if b)
+        unused = [v for v, b in zip(lengths, bits) if not b]
+        slack = room - sum(filling)
+        parts = [c for k in range(len(filling) + 1) for c in itertools.combinations(filling, k)]
+        if slack >= 0 and not any(sum(c) <= y <= sum(c) + slack and c != (y,) for c in parts for y in unused):
+            want.add(filling)
+    left, held = [0] * 31, 0
+    for v in [x, *lengths]:
+        left[v] += 1
+        held |= 1 << v
+    got = [tuple(f) for f in packing._fillings(x, room, left, held, [10**6])]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert [room - sum(f) for f in got] == sorted(room - sum(f) for f in got)
+
+
+def test_packing_in_many_groups_packs_their_emptiest_bins_again(spark):
+    rng = random.Random(11)
+    texts = [" ".join(["word"] * rng.randrange(1, 60)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = packing.pack(df, path, capacity=64, group_pieces=12).toPandas()
+    assert sorted(got["doc_id"]) == list(range(400))
+    got = got.sort_values(["sequence_id", "offset"])
+    assert (got.groupby("sequence_id")["length"].cumsum() - got["length"] == got["offset"]).all()
+    assert got.groupby("sequence_id")["length"].sum().max() <= 64
+    rest = packing.token_pieces(df, path, 64).where("length < 64")
+    alone = rest.withColumn("g", F.pmod(F.xxhash64("deal"), F.lit(-(-rest.count() // 12)))).toPandas()
+    bins = sum(len(packing.complete_bins(g["length"].tolist(), 64, 10**5)) for _, g in alone.groupby("g"))
+    full = int((got["length"] == 64).sum())
+    assert packing.lower_bound(got["length"].tolist(), 64) <= got["sequence_id"].nunique() < bins + full
+
+
 # -- 8
 
 
