@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite, half_up
+from tessera.operators import ranks
 from tessera.sources.shared import cut
 
 
@@ -28,10 +29,9 @@ def isolated(rows: DataFrame, row_id: str, edges: DataFrame) -> DataFrame:
 
 
 def similarity_stats(edges: DataFrame) -> DataFrame:
-    s = finite(F.col("similarity"))
-    q = F.percentile(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = edges.agg(F.count(s).alias("edges"), F.count_if("mutual").alias("mutual"), F.min(s).alias("lo"), q.alias("q"), F.max(s).alias("hi"))
-    return out.select("edges", "mutual", half_up(F.col("lo")).alias("min"), *[half_up(F.col("q")[i]).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], half_up(F.col("hi")).alias("max"))
+    values = ranks.ranked_values(edges, [], finite(F.col("similarity")), {"both": F.count_if("mutual")})
+    quartiles = [half_up(ranks.quantile(p)).alias(name) for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))]
+    return values.agg(ranks.count().alias("edges"), F.coalesce(F.sum("both"), F.lit(0)).alias("mutual"), half_up(F.min("x")).alias("min"), *quartiles, half_up(F.max("x")).alias("max"))
 
 
 def neighbourhood(edges: DataFrame, centres: DataFrame, limit: int | None = 50) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite, half_up
+from tessera.operators import ranks
 from tessera.operators.rowsets import at_most
 
 #: pairs that must be decided before a direction can be tested
@@ -44,10 +45,11 @@ def with_deltas(pairs: DataFrame, values: DataFrame) -> DataFrame:
 
 def transform_stats(pairs: DataFrame, by: list[str] | None = None, least: int = 2) -> DataFrame:
     """Support, mean, exact median, population deviation, range and direction of each transform's deltas."""
-    d = F.col("delta")
-    out = pairs.where(d.isNotNull()).groupBy(*(by or ["transform_id"])).agg(
-        F.count(F.lit(1)).alias("support"), half_up(F.avg(d)).alias("mean"), half_up(F.median(d)).alias("median"), half_up(F.stddev_pop(d)).alias("sd"),
-        half_up(F.min(d)).alias("min"), half_up(F.max(d)).alias("max"), F.count_if(d > 0).alias("up"), F.count_if(d < 0).alias("down"), F.count_if(d == 0).alias("tie"),
+    group, x = by or ["transform_id"], F.col("x")
+    values = ranks.ranked_values(pairs.where("delta is not null"), group, F.col("delta").cast("double"))
+    out = values.groupBy(*group).agg(
+        ranks.count().alias("support"), half_up(ranks.mean()).alias("mean"), half_up(ranks.quantile(0.5)).alias("median"), half_up(ranks.deviation()).alias("sd"),
+        half_up(F.min(x)).alias("min"), half_up(F.max(x)).alias("max"), ranks.count(x > 0).alias("up"), ranks.count(x < 0).alias("down"), ranks.count(x == 0).alias("tie"),
     )
     return out.where(F.col("support") >= least).withColumn("positive_fraction", half_up(F.col("up") / F.col("support")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import half_up
+from tessera.operators import ranks
 
 #: order of the buckets of a position
 UNSUBSTITUTED, SUBSTITUENT, MULTIPLE, UNMATCHED = range(4)
@@ -56,8 +57,13 @@ def fragment_summary(fragments: DataFrame, path: str, fragment: str) -> DataFram
 def fragment_histogram(fragments: DataFrame, fragment: str, structure: str, value: str | None = None) -> DataFrame:
     """Per fragment: different structures that hold it, and the statistics of their values."""
     once = fragments.select(fragment, structure, *([value] if value else [])).distinct()
-    measures = [F.count(value).alias("measured"), half_up(F.avg(value)).alias("mean"), half_up(F.median(value)).alias("median")] if value else []
-    return once.groupBy(fragment).agg(F.count_distinct(structure).alias("support"), *measures)
+    support = once.select(fragment, structure).distinct().groupBy(fragment).agg(F.count(structure).alias("support"))
+    if not value:
+        return support
+    values = ranks.ranked_values(once, [fragment], F.col(value).cast("double"))
+    measures = [ranks.count().alias("measured"), half_up(ranks.mean()).alias("mean"), half_up(ranks.quantile(0.5)).alias("median")]
+    stats = values.groupBy(F.col(fragment).alias("_fragment")).agg(*measures)
+    return support.join(stats, F.col(fragment).eqNullSafe(F.col("_fragment"))).drop("_fragment")
 
 
 def synthons(rows: DataFrame, synthon: str, signature: str, source: str, order: str, most: int = 8) -> DataFrame:

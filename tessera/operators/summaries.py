@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import blank_to_null, finite, half_up
+from tessera.operators import ranks
 
 
 def numeric_summary(rows: DataFrame, column: str, group: list[str] | None = None, threshold: float | None = None) -> DataFrame:
     """valid, missing, mean, median, quartiles, range and, with a threshold, hits; non-finite is missing."""
-    x = finite(F.col(column))
-    exact = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    measures = [F.count(x).alias("valid"), F.count_if(x.isNull()).alias("missing"), half_up(F.avg(x)).alias("mean"), exact.alias("q"), F.min(x).alias("min"), F.max(x).alias("max")]
+    ids = group or []
+    quartiles = [half_up(ranks.quantile(p)).alias(name) for name, p in (("median", 0.5), ("q1", 0.25), ("q3", 0.75))]
+    measures = [ranks.count().alias("valid"), ranks.missing().alias("missing"), half_up(ranks.mean()).alias("mean"), *quartiles, F.min("x").alias("min"), F.max("x").alias("max")]
     if threshold is not None:
-        measures.append(F.count_if(x >= threshold).alias("hits"))
-    out = rows.groupBy(*(group or [])).agg(*measures)
-    hits = ["hits", half_up(F.try_divide("hits", "valid")).alias("hit_rate")] if threshold is not None else []
-    return out.select(*(group or []), "valid", "missing", "mean", half_up(F.col("q")[1]).alias("median"), half_up(F.col("q")[0]).alias("q1"), half_up(F.col("q")[2]).alias("q3"), "min", "max", *hits)
+        measures.append(ranks.count(F.col("x") >= threshold).alias("hits"))
+    out = ranks.ranked_values(rows, ids, finite(F.col(column))).groupBy(*ids).agg(*measures)
+    return out if threshold is None else out.withColumn("hit_rate", half_up(F.try_divide("hits", "valid")))
 
 
 def several_numeric(rows: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
@@ -51,15 +51,17 @@ def with_other(rows: DataFrame, column: str, top: int) -> DataFrame:
 def qc(rows: DataFrame, group: list[str], state: str, mean: str, n: str) -> DataFrame:
     """How an endpoint is measured: states, mean, median, population deviation, range, replicates."""
     x = F.when(F.col(state) == "VALUE", finite(F.col(mean)))
-    return rows.groupBy(*group).agg(
-        F.count(x).alias("measured"),
-        F.count_if(F.coalesce(F.col(state) != "VALUE", F.lit(True))).alias("not_measured"),
-        half_up(F.avg(x)).alias("mean"),
-        half_up(F.median(x)).alias("median"),
-        half_up(F.stddev_pop(x)).alias("sd"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        half_up(F.avg(F.when(x.isNotNull(), F.col(n)))).alias("mean_n"),
+    other = F.count_if(F.coalesce(F.col(state) != "VALUE", F.lit(True)))
+    sums = {"other": other, "replicates": F.sum(F.when(x.isNotNull(), F.col(n))), "counted": F.count(F.when(x.isNotNull(), F.col(n)))}
+    return ranks.ranked_values(rows, group, x, sums).groupBy(*group).agg(
+        ranks.count().alias("measured"),
+        F.sum("other").alias("not_measured"),
+        half_up(ranks.mean()).alias("mean"),
+        half_up(ranks.quantile(0.5)).alias("median"),
+        half_up(ranks.deviation()).alias("sd"),
+        F.min("x").alias("min"),
+        F.max("x").alias("max"),
+        half_up(F.try_divide(F.sum("replicates"), F.sum("counted"))).alias("mean_n"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as sc
 from tessera.functions.predictions import Capability, Registry, needing_prediction, reference_predictor
-from tessera.operators import artifacts, clusters, filters, graphs, pairs, pivots, rowsets, similarity, summaries
+from tessera.operators import artifacts, clusters, filters, graphs, pairs, pivots, ranks, rowsets, similarity, summaries
 from tessera.sources import tables
 from tessera.streaming import traces
 
@@ -108,6 +108,29 @@ def test_numeric_summary_skips_what_is_not_finite(spark):
     assert (r.valid, r.missing, r["mean"], r["median"], r.q1, r.q3) == (2, 3, 2.0, 2.0, 1.5, 2.5)
 
 
+def test_ranks_over_many_ranges_match_plain_statistics(spark):
+    draw = np.random.default_rng(5)
+    groups = {"hot": np.round(draw.normal(0, 50, 3000), 1), "flat": np.full(400, 2.5), "two": np.array([1.0, 4.0]), None: draw.normal(0, 1, 31)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("hot", None), ("empty", None), ("hot", math.nan)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        values = ranks.ranked_values(df, ["g"], summaries.finite(F.col("v"))).cache()
+        got = {r.g: r for r in values.groupBy("g").agg(ranks.count().alias("valid"), ranks.missing().alias("gone"), ranks.mean().alias("m"), ranks.deviation().alias("sd"), *[ranks.quantile(p).alias(f"q{i}") for i, p in enumerate((0.0, 0.1, 0.5, 0.75, 1.0))]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g, x in groups.items():
+        assert (got[g].valid, got[g].gone) == (len(x), 2 if g == "hot" else 0)
+        assert got[g].m == pytest.approx(x.mean()) and got[g].sd == pytest.approx(x.std(), abs=1e-12)
+        assert [got[g][f"q{i}"] for i in range(5)] == pytest.approx(list(np.quantile(x, [0, 0.1, 0.5, 0.75, 1])))
+    assert (got["empty"].valid, got["empty"].gone, got["empty"].m, got["empty"].q2) == (0, 1, None, None)
+
+
+def test_ranks_of_an_empty_table(spark):
+    (r,) = summaries.numeric_summary(spark.createDataFrame([], "x double"), "x", threshold=1.0).collect()
+    assert (r.valid, r.missing, r["mean"], r["median"], r.hits, r.hit_rate) == (0, 0, None, None, 0, None)
+
+
 def test_endpoint_qc(spark):
     rows = spark.createDataFrame([("e", "VALUE", 1.0, 2), ("e", "VALUE", 3.0, 1), ("e", "NOT_MEASURED", None, 0)], "e string, state string, mean double, n int")
     (r,) = summaries.qc(rows, ["e"], "state", "mean", "n").collect()
