@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import media, warc
+from tessera.llm.html_text import main_text
 from tessera.llm.language import language
+from tessera.llm.lexical import ranked
 from tessera.llm.mixing import mix
 from tessera.llm.near_dup import near_duplicates
+from tessera.llm.negatives import hard_negatives
 from tessera.llm.packing import pack
 from tessera.llm.token_count import token_counts
 from tessera.llm.top_k import top_k
@@ -58,6 +61,19 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op3_media_columns": op3_media_columns,
@@ -69,4 +85,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_html_text": op13_html_text,
 }

@@ -43,7 +43,7 @@ def docs_with_edges(spark, n=60):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         p = f"{SMALL}/{t}.parquet"
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     df = QUERIES[name](spark, SMALL)
@@ -54,7 +54,7 @@ def test_query_matches_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "benchmark"):
         pq.write_table(small(t).slice(0, 0), tmp_path / f"{t}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
