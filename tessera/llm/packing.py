@@ -197,21 +197,33 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 def _sums(total: int, last: int, used: int, left: list[int], held: int, least: int, steps: list[int]) -> Iterator[list[int]]:
     """Multisets of pieces no longer than ``last`` that sum to ``total``, longest piece first. ``used`` pieces of
-    length ``last`` are spoken for; ``held`` has the bits of the lengths at hand, ``least`` is the shortest."""
-    fits = held & ((2 << min(total, last)) - 1)
-    while fits and steps[0] > 0:
-        a = fits.bit_length() - 1
-        fits ^= 1 << a
+    length ``last`` are spoken for; ``held`` has the bits of the lengths at hand, ``least`` is the shortest. A length
+    is tried with its pieces one after the other on a stack of the caller's own, so a filling may have any number of them."""
+    # a level: what it has to sum to, the lengths that it may still try, and how many pieces of ``a`` stand below it
+    todo, fits, same, longest = [total], [held & ((2 << min(total, last)) - 1)], [used], [last]
+    taken: list[int] = []
+    while todo:
+        if not fits[-1] or steps[0] <= 0:
+            todo.pop(), fits.pop(), same.pop(), longest.pop()
+            if taken:
+                taken.pop()
+            continue
+        rest, a = todo[-1], fits[-1].bit_length() - 1
+        fits[-1] ^= 1 << a
         steps[0] -= 1
-        taken = used if a == last else 0
-        if left[a] > taken:
-            if a == total:
-                yield [a]
-            else:
-                for rest in _sums(total - a, a, taken + 1, left, held, least, steps):
-                    yield [a, *rest]
-        if a > total - least:  # what is left must hold one piece more
-            fits &= (2 << max(0, total - least)) - 1
+        below = same[-1] if a == longest[-1] else 0
+        if a > rest - least:  # what is left must hold one piece more
+            fits[-1] &= (2 << max(0, rest - least)) - 1
+        if left[a] <= below:
+            continue
+        if a == rest:
+            yield [*taken, a]
+            continue
+        taken.append(a)
+        todo.append(rest - a)
+        fits.append(held & ((2 << min(rest - a, a)) - 1))
+        same.append(below + 1)
+        longest.append(a)
 
 
 def _undominated(filling: list[int], slack: int, unused: int) -> bool:
