@@ -104,7 +104,7 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _sketched(shingle: int, band_rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,9 +115,9 @@ def _sketched(shingle: int, band_rows: int):
                 fps = [xxhash.xxh3_128_digest(hashes[a:b].tobytes()) if b > a else None for a, b in zip(offsets, offsets[1:])]
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, keys.shape[1], 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[n > 0].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(fps, pa.binary()), bands], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array(n), pa.array(fps, pa.binary()), bands], schema=schema)
 
-    return run, "doc_id long, n_shingles long, fp binary, bands array<long>"
+    return run, "doc_id long, text_hash long, n_shingles long, fp binary, bands array<long>"
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,21 +180,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, band_r
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     if shingle < 1 or not 0 < percent <= 100:
         raise ValueError("shingle must be positive and percent in 1..100")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     run, schema = _sketched(shingle, band_rows)
     marked = cut(docs.mapInArrow(run, schema), "sketches")
 
     filled = marked.where("fp is not null")
-    classes = cut(filled.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    classes = cut(filled.groupBy("fp").agg(one.alias("one"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select("fp", F.col("one.doc_id").alias("rep"), F.col("one.text_hash").alias("rep_hash"), "n", "bands"), "classes")
     rows = classes.select("fp", "n", F.explode("bands").alias("key"))
     # a bucket of one class can't link anything
     crowded = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("fp", "n")).alias("pivot")).where("m > 1").select("key", "pivot")
     live = cut(rows.join(crowded, "key"), "buckets")
-    wanted = classes.select("fp", "rep").join(live.select("fp").distinct(), "fp", "left_semi")
-    sets = cut(
-        docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("fp", "text").mapInArrow(_sets_of(shingle), "fp binary, members array<long>").dropDuplicates(["fp"]),
-        "sets",
-    )
+    wanted = classes.select("fp", "rep", "rep_hash").join(live.select("fp").distinct(), "fp", "left_semi")
+    # by id and text, so that neither a null nor a repeated id pairs different texts
+    own = docs.join(wanted, (docs["text_hash"] == wanted["rep_hash"]) & docs["doc_id"].eqNullSafe(wanted["rep"]))
+    sets = cut(own.select("fp", "text").mapInArrow(_sets_of(shingle), "fp binary, members array<long>").dropDuplicates(["fp"]), "sets")
 
     def near(x: str, y: str) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 85, band_r
     grouped = classes.select("fp", "rep").join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
     least = grouped.groupBy("c").agg(F.min("rep").alias("least"))
     named = grouped.join(least, "c").select("fp", "least")
-    out = marked.drop("bands").join(named, "fp", "left").withColumn("component_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    out = marked.drop("bands", "text_hash").join(named, "fp", "left").withColumn("component_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
