@@ -15,8 +15,8 @@ Blocks travel by equi-joins on the row block, and each block sends k rows of a w
 
 Edge cases: rows with a null vec_id, label or vector, or with a null or non-finite component, take no part; nor do
 vectors of another length than the anchor's. Rows that have the anchor's vec_id are never its positives or negatives;
-rows that repeat an anchor's vec_id are anchors of their own, and repeated rows count each. Components beyond a long stand
-at its limits. An anchor without positives, a positive whose score is negative and a window without rows give none.
+rows that repeat an anchor's vec_id are anchors of their own, and repeated rows count each. Components and scores beyond a long
+stand at its limits. An anchor without positives, a positive whose score is negative and a window without rows give none.
 Extra columns aren't read; an empty table gives no rows.
 """
 
@@ -76,7 +76,8 @@ class Lists:
                 seen[self.order[n - depth :, up]] = True
                 seen[self.order[:depth, down]] = True
                 new = np.flatnonzero(seen & ~before)
-            met, scores = np.concatenate([met, new]), np.concatenate([scores, self.rows[new] @ anchor])
+            own = self.rows[new] @ anchor
+            met, scores = np.concatenate([met, new]), np.concatenate([scores, np.clip(own, LOW, HIGH) if own.dtype == object else own])
             if depth >= n:
                 yield met, scores, None
                 return
@@ -101,7 +102,7 @@ def nearest(lists: Lists, anchor_id: int, anchor: np.ndarray, k: int) -> list[tu
         ids, own = lists.ids[met][other], scores[other]
         best = _first(ids, own, k)
         if threshold is None or len(best) == k and threshold < own[best[-1]]:
-            return [(int(ids[i]), _long(own[i])) for i in best]
+            return [(int(ids[i]), int(own[i])) for i in best]
     return []
 
 
@@ -115,16 +116,12 @@ def in_windows(lists: Lists, labels: np.ndarray, anchor_id: int, label: int, anc
             held = np.flatnonzero((own >= least) & (own <= most))
             best = held[_first(ids[held], own[held], k)]
             ended = ended and (threshold is None or threshold < least or len(best) == k and bool(threshold < own[best[-1]]))
-            out.append([(int(ids[i]), _long(own[i])) for i in best])
+            out.append([(int(ids[i]), int(own[i])) for i in best])
         if ended:
             return out
     return [[] for _ in windows]
 
 
-def _long(x) -> int:
-    return min(max(int(x), LOW), HIGH)
-
-
 def _block(rows: pa.StructScalar) -> tuple:
     """(fields, ids, labels, vectors) of a block."""
     held = rows.values
