@@ -6,14 +6,15 @@ step h before it the probability
 
     P_c(u) = Q_c * e_c(u) / N_c + B * P_c(h) * S(u | h),     e_c(u) = max(0, n_c(u) - D_c(u))
 
-n_c(u) counts the different training texts of class c that hold u (ordinary ones scaled to the number of toxic ones; of
-equal texts one counts), N_c is
-its sum over the steps of that depth, Q_c the probability of their h, S(u | h) the share of u in the counts of both
-classes: the shared backoff, so that an expression that is new as a word still has its stem's evidence. B is what the
-discounts leave, 1 - sum of e_c / N_c, of the class that they leave less to; the other class sets the difference aside
-for what no text has, so shared words cost both the same. As in modified
-Kneser-Ney smoothing the discount depends on the counts: D_c(u) = ``LEAST`` + ``TIED`` * (the other class's count), so
-rare expressions, and all that both classes use about alike, back off to the shared counts and cost both the same.
+n_c(u) is a continuation count: the different training texts of class c that hold u, not u's occurrences (ordinary ones
+scaled to the number of toxic ones; of equal texts one counts). N_c is its sum over the steps of that depth, Q_c the
+probability of their h, S(u | h) the share of u in the counts of both classes: the shared backoff, so that an expression
+that is new as a word still has its stem's evidence. B is what the discounts leave, 1 - sum of e_c / N_c, of the class
+that they leave less to; the other class gives the difference to a step that no text has. With that step, each class's
+steps of a depth have the probability of what stands before them, and shared words cost both classes the same. As in modified
+Kneser-Ney smoothing the discount depends on the counts: D_c(u) = ``least`` + ``TIED`` * (the other class's count).
+``least`` grows with the logarithm of the number of toxic texts, as the number of texts of one class that share an
+expression by chance does. So rare expressions, and all that both classes use about alike, back off to the shared counts.
 A document's evidence is the difference of the two log-likelihoods over its number of words. A logistic curve turns it
 into a score; it is fitted to all training texts, each weighed by models that did not count its own quarter.
 
@@ -32,6 +33,7 @@ long texts are read in whole.
 
 from __future__ import annotations
 
+import math
 import string
 import uuid
 from collections.abc import Iterator
@@ -50,7 +52,7 @@ from tessera.llm.text import ragged, rows_of, slices, words
 from tessera.sources.shared import cut
 
 STEMS = (4, 6)  # bytes
-LEAST, TIED = 4.0, 5.0
+GROWTH, TIED = 0.7, 5.0
 FOLDS, HELD_OUT = 5, 0
 PARTS = range(FOLDS)  # models: 0 counts all training rows, the others leave out one of the folds 1..4
 CURVE_BINS = 40_000
@@ -63,6 +65,11 @@ def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
+def least(texts: int) -> float:
+    """The discount of an expression that the other class doesn't have, for so many toxic texts."""
+    return GROWTH * math.log1p(texts)
+
+
 def steps(vocabulary: pa.Array) -> np.ndarray:
     """One row of keys for each word: its stems (0 where the word has no more bytes than the stem) and itself. Stems
     are positive keys that hold their bytes; words have negative ones."""
@@ -269,7 +276,7 @@ def model_of(counts: DataFrame, classes: dict[tuple[int, int], int]) -> Model:
         made[f"nt{k}"] = (total("t") - F.col(f"t{k}") if k else total("t")).cast("double")
         made[f"no{k}"] = (total("o") - F.col(f"o{k}") if k else total("o")) * F.lit(n[1] / n[0] if n[0] else 0.0)
         t, o = F.col(f"nt{k}"), F.col(f"no{k}")
-        beyond |= {f"et{k}": F.greatest(t - TIED * o - LEAST, F.lit(0.0)), f"eo{k}": F.greatest(o - TIED * t - LEAST, F.lit(0.0))}
+        beyond |= {f"et{k}": F.greatest(t - TIED * o - least(n[1]), F.lit(0.0)), f"eo{k}": F.greatest(o - TIED * t - least(n[1]), F.lit(0.0))}
     known = cut(counts.select("u", "h", "depth", *[v.alias(c) for c, v in made.items()]).withColumns(beyond), "steps")
     siblings = cut(known.groupBy("depth", "h").agg(*[F.sum(F.col(f"nt{k}") + F.col(f"no{k}")).alias(f"all{k}") for k in PARTS]), "siblings")
     above = counts.sparkSession.range(1).select(F.lit(0).cast("long").alias("h"), *[F.lit(1.0).alias(f"{c}{k}") for k in PARTS for c in ("shared", "xt", "xo")])
