@@ -31,16 +31,6 @@ def read_traces(spark: SparkSession, folder: str, stream: bool = False) -> DataF
     return checked.where("ok").select("e.*").drop("version", "record_type")
 
 
-def trace_problems(spark: SparkSession, folder: str) -> DataFrame:
-    """trace_id, problem of traces whose sequence doesn't rise strictly, or whose invocations end before or without
-    a start."""
-    events = read_traces(spark, folder)
-    again = events.groupBy("trace_id", "sequence").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("trace_id", F.lit("repeated sequence").alias("problem"))
-    life = events.groupBy("trace_id", "invocation_id").agg(F.min(F.when(F.col("phase") == "STARTED", F.col("sequence"))).alias("started"), F.min(F.when(F.col("phase") != "STARTED", F.col("sequence"))).alias("ended"))
-    early = life.where("ended is not null and (started is null or ended < started)").select("trace_id", F.lit("ended before its start").alias("problem"))
-    return again.unionByName(early).distinct()
-
-
 def write_traces(events: DataFrame, folder: str, header: dict | None = None) -> None:
     """Append-only JSON lines; the folder must be new. With a header, each file begins with it and its version."""
     if header is None:

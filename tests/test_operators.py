@@ -13,7 +13,7 @@ from tessera.functions import scalars as sc
 from tessera.functions.predictions import Capability, Registry, needing_prediction, reference_predictor
 from tessera.operators import artifacts, clusters, filters, graphs, pairs, pivots, ranks, rowsets, similarity, summaries
 from tessera.sources import tables
-from tessera.streaming import traces
+from tessera.streaming import trace_files, traces
 
 
 def test_pair_statistics_by_hand(spark):
@@ -316,7 +316,7 @@ def test_a_broken_middle_line_is_an_error(spark, tmp_path):
             traces.read_traces(spark, str(tmp_path / f"{name}.jsonl")).collect()
     (tmp_path / "good.jsonl").write_text(f'{{"version": 1}}\n{line(1)}\n{line(2, "COMPLETED")}\n{line(2)}\n{{"torn')
     assert traces.read_traces(spark, str(tmp_path / "good.jsonl")).count() == 3
-    assert {r.problem for r in traces.trace_problems(spark, str(tmp_path / "good.jsonl")).collect()} == {"repeated sequence"}
+    assert {r.problem for r in trace_files.trace_problems(spark, str(tmp_path / "good.jsonl")).collect()} == {"repeated sequence", "end without a start"}
 
 
 def test_registering_structures(spark):
