@@ -12,27 +12,47 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import finite, half_up
 from tessera.operators import ranks
 from tessera.operators.rowsets import at_most
+from tessera.sources.shared import cut
 
 #: pairs that must be decided before a direction can be tested
 TESTABLE = 6
+#: records of a key that one task pairs with each other
+KEY_BLOCK = 4096
 
 
 def transform_id(cut_count: Column, from_value: Column, to_value: Column) -> Column:
     return F.concat(cut_count.cast("string"), F.lit("|"), from_value, F.lit(">>"), to_value)
 
 
-def mine_pairs(records: DataFrame, most_per_key: int | None = None) -> DataFrame:
+def block_pairs(records: DataFrame, key: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join on ``key`` whose large keys are dealt into blocks: (left, right), each ``records`` with
+    the columns ``_i`` and ``_j`` to join on too. A key of more than ``most`` records is dealt into blocks of about that
+    many; block pairs i <= j meet, each in a join key of its own, so every pair of records meets once, in one order or
+    the other, and those within a block (i = j) in both. All other keys are one block."""
+    large = records.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*[F.col(c).alias(f"_{c}") for c in key], F.ceil(F.col("_n") / most).cast("int").alias("_blocks"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    dealt = records.join(large, same, "left").drop(*[f"_{c}" for c in key]).withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64(*[c for c in records.columns if c not in key]), F.col("_blocks")).cast("int"))
+    left = dealt.withColumn("_j", F.explode(F.sequence(F.col("_b"), F.col("_blocks") - 1))).withColumnRenamed("_b", "_i")
+    right = dealt.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_b")))).withColumnRenamed("_b", "_j")
+    return left.drop("_blocks"), right.drop("_blocks")
+
+
+def mine_pairs(records: DataFrame, most_per_key: int | None = None, block: int = KEY_BLOCK) -> DataFrame:
     """Both directions of every pair. The self-join keeps one order of each pair; the other is its mirror,
-    so the join makes half the rows. By default all pairs are made; with ``most_per_key`` a key that may make more
+    so the join makes half the rows. A key with more than ``block`` records is joined block by block, so it fills as
+    many tasks as it has pairs of blocks. By default all pairs are made; with ``most_per_key`` a key that may make more
     directed pairs is an error before any is made, never a cut."""
     r = records.select("subject", "cut_count", "key", "value").distinct()
     if most_per_key is not None:
         at_most(r.groupBy("cut_count", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * (F.col("n") - 1) > most_per_key), 0, f"keys with {most_per_key} pairs")
-    a = r.select("cut_count", "key", F.col("subject").alias("subject_a"), F.col("value").alias("from_value"))
-    b = r.select("cut_count", "key", F.col("subject").alias("subject_b"), F.col("value").alias("to_value"))
-    once = a.join(b, ["cut_count", "key"]).where((F.col("subject_a") < F.col("subject_b")) & (F.col("from_value") != F.col("to_value")))
-    mirrored = once.select("cut_count", "key", F.col("subject_b").alias("subject_a"), F.col("to_value").alias("from_value"), F.col("subject_a").alias("subject_b"), F.col("from_value").alias("to_value"))
-    return once.select(mirrored.columns).unionByName(mirrored).withColumn("transform_id", transform_id(F.col("cut_count"), F.col("from_value"), F.col("to_value")))
+    left, right = block_pairs(r, ["cut_count", "key"], block)
+    a = left.select("cut_count", "key", "_i", "_j", F.col("subject").alias("subject_a"), F.col("value").alias("from_value"))
+    b = right.select("cut_count", "key", "_i", "_j", F.col("subject").alias("subject_b"), F.col("value").alias("to_value"))
+    met = a.join(b, ["cut_count", "key", "_i", "_j"]).where((F.col("subject_a") != F.col("subject_b")) & (F.col("from_value") != F.col("to_value")) & ((F.col("_i") < F.col("_j")) | (F.col("subject_a") < F.col("subject_b"))))
+    ends = F.array(*[F.struct(F.col(f"subject_{x}").alias("subject_a"), F.col(f"{u}_value").alias("from_value"), F.col(f"subject_{y}").alias("subject_b"), F.col(f"{w}_value").alias("to_value")) for x, u, y, w in (("a", "from", "b", "to"), ("b", "to", "a", "from"))])
+    both = met.select("cut_count", "key", F.inline(ends))
+    return both.withColumn("transform_id", transform_id(F.col("cut_count"), F.col("from_value"), F.col("to_value")))
 
 
 def with_deltas(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -98,7 +118,9 @@ def sorted_summary(stats: DataFrame, mode: str) -> list[Column]:
 
 
 def transform_summary(pairs: DataFrame, examples: int = 3, least: int = 2) -> DataFrame:
-    """Per transform: support, delta statistics and the first example pairs by (source, target)."""
+    """Per transform: support, delta statistics and the first example pairs by (source, target). The pairs are stored
+    once for both."""
+    pairs = cut(pairs.select("transform_id", "subject_a", "subject_b", "key", "delta"), "pairs")
     sample = F.slice(F.sort_array(F.collect_list(F.struct("subject_a", "subject_b", "key"))), 1, examples)
     # examples are cut to a few per key first, so no list grows with a transform's support
     near = Window.partitionBy("transform_id").orderBy("subject_a", "subject_b", "key")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.sources.shared import cut
 
 _SHARE = "_share"
+#: different values of a group that one task ranks
+LARGE = 1 << 20
 
 
 def ranked_values(rows: DataFrame, group: list[str], value: Column, sums: dict[str, Column] | None = None) -> DataFrame:
@@ -15,10 +17,33 @@ def ranked_values(rows: DataFrame, group: list[str], value: Column, sums: dict[s
     values), and the group's ``valid`` rows and ``mean``. Rows without a value count in no rank; their x is null.
     ``sums`` are aggregates to take along, by name.
 
-    Rows are counted before they move; the counts are sorted over all tasks by group and value, and the rank that a
-    range starts with comes from the ranges' totals. So a group that holds most rows fills many tasks, none in memory.
+    Rows are counted before they move, and the counts are stored, so ``rows`` is read once. A group of at most ``LARGE``
+    different values is ranked by a window of its own; one with more by ranges of its values, so that it fills many
+    tasks, none in memory. Both ways give the same rows.
     """
     counts = rows.groupBy(*group, value.alias("x")).agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in (sums or {}).items()])
+    counts = cut(counts, "counts")
+    sizes = counts.groupBy(*group).agg(F.count(F.lit(1)).alias(_SHARE)).where(F.col(_SHARE) > LARGE).drop(_SHARE)
+    if not group:
+        return _by_ranges(counts, []) if counts.limit(LARGE + 1).count() > LARGE else _by_window(counts, [])
+    large = cut(sizes, "large")
+    if large.isEmpty():
+        return _by_window(counts, group)
+    same = [counts[g].eqNullSafe(large[g]) for g in group]
+    return _by_window(counts.join(large, same, "left_anti"), group).unionByName(_by_ranges(counts.join(large, same, "left_semi"), group))
+
+
+def _by_window(counts: DataFrame, group: list[str]) -> DataFrame:
+    whole = Window.partitionBy(*group)
+    valid = F.when(F.col("x").isNotNull(), F.col("n"))
+    lower = whole.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.coalesce(F.sum(valid).over(whole), F.lit(0))
+    return counts.withColumns({"valid": total, "before": F.coalesce(F.sum(valid).over(lower), F.lit(0)), "mean": F.try_divide(F.sum(valid * F.col("x")).over(whole), total)})
+
+
+def _by_ranges(counts: DataFrame, group: list[str]) -> DataFrame:
+    """The counts are sorted over all tasks by group and value, and the rank that a range starts with comes from the
+    ranges' totals."""
     ranges = counts.repartitionByRange(*group, "x").withColumn(_SHARE, F.struct(*group, F.spark_partition_id().alias("range")))
     ranges = cut(ranges, "ranges")
     valid = F.when(F.col("x").isNotNull(), F.col("n"))

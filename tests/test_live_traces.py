@@ -73,7 +73,7 @@ def test_open_invocations_expire_by_a_timer(rocks, tmp_path):
     one = lambda i, at, phase: {"trace_id": "t", "sequence": at, "invocation_id": i, "at": at, "phase": phase, "tool_name": "x", "label": "y"}
     put(folder, "1.json", [one("old", 0, "started"), one("done", 1, "started"), one("done", 2, "completed")])
     put(folder, "2.json", [one("new", 9000, "started")])
-    put(folder, "3.json", [one("newer", 9100, "started")])
+    put(folder, "3.json", [one("newer", 9030, "started")])
     views = live.invocation_views(spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).json(str(folder)), "10 seconds", 60_000)
     run(views, tmp_path / "c", lambda batch, number: seen.extend(batch.collect()))
     assert {(r.invocation_id, r.outcome) for r in seen if r.expired} == {("old", "ACTIVE")}
