@@ -1,4 +1,5 @@
-"""Cosine similarity of vectors in blocks: every pair of blocks meets once, so no cross join is planned."""
+"""Cosine similarity of vectors in blocks of like directions. Blocks that can't hold a similar pair never meet; the others
+meet once, by equi-joins, so the result is that of all pairs."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,35 +15,152 @@ from tessera.operators.rowsets import at_most
 from tessera.sources.shared import cut
 
 BLOCK_ROWS = 1024
+FEW_BLOCKS = 4  # that aren't worth a look at their middles: all pairs of them meet
+BLOCKS_A_TASK = 16
+CENTRES = 1024  # that blocks are dealt by
+SUMMARIES = 1024  # of blocks that are compared at once
+SLACK = 1e-6  # rounded similarities and sums of angles lose no pair
+BLOCK = "block long, rows array<struct<id:bigint,v:array<double>>>, middle array<double>, radius double, flat boolean"
+REACH = "block long, middle array<double>, radius double, flat boolean, kth double"
 PAIRS = "source long, target long, similarity double, near boolean"
 
 
-def _blocks(vectors: DataFrame, row_id: str, vector: str, blocks: int) -> DataFrame:
-    rows = vectors.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
+def _rows(vectors: DataFrame, row_id: str, vector: str) -> DataFrame:
+    return vectors.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
 
 
-def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    v = np.array([r["v"] for r in rows], float).reshape(len(rows), -1)
+def _units(vectors: list) -> np.ndarray:
+    v = np.array(list(vectors), float).reshape(len(vectors), -1)
     norm = np.linalg.norm(v, axis=1, keepdims=True)
-    return np.fromiter((r["id"] for r in rows), np.int64, len(rows)), np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+
+def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter((r["id"] for r in rows), np.int64, len(rows)), _units([r["v"] for r in rows])
+
+
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1.0, 1.0))
 
 
-def _met(vectors: DataFrame, row_id: str, vector: str) -> DataFrame:
-    count = vectors.count()
-    n = max(1, -(-count // BLOCK_ROWS))
-    packed = _blocks(vectors, row_id, vector, n)
-    left = packed.select(F.col("block").alias("i"), F.col("rows").alias("a"), F.explode(F.sequence(F.col("block"), F.lit(n - 1))).alias("j"))
+def _all_pairs(rows: DataFrame, blocks: int) -> DataFrame:
+    """i, j, a, b: every pair i <= j of a few blocks that rows are dealt to by their hash."""
+    packed = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
+    left = packed.select(F.col("block").alias("i"), F.col("rows").alias("a"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"))
     return left.join(packed.select(F.col("block").alias("j"), F.col("rows").alias("b")), "j").repartition(F.col("i"), F.col("j")).select("i", "j", "a", "b")
 
 
+def blocks_of(rows: DataFrame, count: int, block_rows: int) -> DataFrame:
+    """block, rows (id, v), middle, radius, flat: the ``count`` rows (id, v) in blocks of ``block_rows`` at most. A block's rows have
+    the same nearest of at most ``CENTRES`` centres (rows of the least hashes) and like angles to it; ``middle`` is the
+    direction of their mean, ``radius`` the widest angle to it. Zero vectors have blocks of their own, without a middle.
+    Rows are sorted by ranges, so a centre that most rows are nearest to fills many tasks."""
+    centres = min(CENTRES, max(1, -(-count // block_rows)))
+    held = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(centres).collect()] if centres > 1 else []
+    sizes = {len(v) for v in held}
+    middle = _units(held) if len(sizes) == 1 else np.zeros((1, 0))
+
+    @F.pandas_udf("centre int, angle double")
+    def placed(v: pd.Series) -> pd.DataFrame:
+        u = _units(v.tolist())
+        near = u @ middle.T if middle.shape[1] == u.shape[1] else np.zeros((len(u), 1))
+        at = near.argmax(axis=1)
+        empty = ~u.any(axis=1)
+        return pd.DataFrame({"centre": np.where(empty, -1, at).astype(np.int32), "angle": np.where(empty, 0.0, _angles(near[np.arange(len(u)), at]))})
+
+    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, held = TaskContext.get().partitionId() << 32, []
+
+        def block() -> pd.DataFrame:
+            u = _units([v for _, _, v in held])
+            mean = u.mean(axis=0)
+            size = np.linalg.norm(mean)
+            known = held[0][0] >= 0 and size > 1e-9
+            mean = mean / size if known else mean
+            radius = float(_angles(u @ mean).max()) if known else np.pi
+            return pd.DataFrame({"block": [number], "rows": [[{"id": i, "v": v} for _, i, v in held]], "middle": [mean.tolist() if known else None], "radius": [radius], "flat": [held[0][0] < 0]})
+
+        for part in parts:
+            for centre, i, v in zip(part["centre"], part["id"], part["v"]):
+                if held and (held[0][0] != centre or len(held) == block_rows):
+                    yield block()
+                    number, held = number + 1, []
+                held.append((centre, i, v))
+        if held:
+            yield block()
+
+    near = rows.withColumn("p", placed("v")).select("id", "v", "p.centre", "p.angle")
+    ordered = near.repartitionByRange(max(1, -(-count // (block_rows * BLOCKS_A_TASK))), "centre", "angle", "id").sortWithinPartitions("centre", "angle", "id")
+    return cut(ordered.mapInPandas(packed, BLOCK), "blocks")
+
+
+def _reach(blocks: DataFrame, k: int | None) -> DataFrame:
+    """block, middle, radius, flat, kth: the least of the k-th best similarities that the block's rows have inside it."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for rows in part["rows"]:
+                _, u = _unit(rows)
+                s = _rounded(u @ u.T)
+                np.fill_diagonal(s, -np.inf)
+                out.append(float(np.partition(s, len(s) - k, axis=1)[:, len(s) - k].min()) if len(s) > k else -2.0)
+            yield part[["block", "middle", "radius", "flat"]].assign(kth=out)
+
+    if k is None:
+        return blocks.select("block", "middle", "radius", "flat", F.lit(2.0).alias("kth"))
+    return blocks.mapInPandas(run, REACH)
+
+
+def block_pairs(blocks: DataFrame, k: int | None, least: float | None) -> DataFrame:
+    """i, j (i <= j): the pairs of blocks that may hold a similar pair. By the triangle inequality of angles, rows of
+    two blocks are no closer than their middles less both radii; a pair of blocks whose best similarity is below
+    ``least`` and below the k-th best that each one's rows have in their own block is left out. Pairs are looked up
+    among summaries, which meet in blocks of blocks."""
+    reach = cut(_reach(blocks, k), "reach")
+    n = max(1, -(-reach.count() // SUMMARIES))
+    dealt = reach.groupBy(F.pmod(F.xxhash64("block"), F.lit(n)).cast("int").alias("g")).agg(F.collect_list(F.struct("block", "middle", "radius", "flat", "kth")).alias("s"))
+    left = dealt.select(F.col("g").alias("a"), F.col("s").alias("x"), F.explode(F.sequence(F.col("g"), F.lit(n - 1))).alias("b"))
+    met = left.join(dealt.select(F.col("g").alias("b"), F.col("s").alias("y")), "b").repartition(F.col("a"), F.col("b"))
+
+    def fields(s: np.ndarray, width: int) -> tuple:
+        middle = np.array([r["middle"] if r["middle"] is not None else np.zeros(width) for r in s], float).reshape(len(s), width)
+        known = np.array([r["middle"] is not None for r in s], bool)
+        return np.array([r["block"] for r in s], np.int64), middle, known, np.array([r["radius"] for r in s]), np.array([r["flat"] for r in s], bool), np.array([r["kth"] for r in s])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for a, b, x, y in zip(part["a"], part["b"], part["x"], part["y"]):
+                width = max((len(r["middle"]) for r in [*x, *y] if r["middle"] is not None), default=0)
+                (p, pm, pk, pr, pf, pt), (q, qm, qk, qr, qf, qt) = fields(x, width), fields(y, width)
+                apart = np.maximum(_angles(pm @ qm.T) - pr[:, None] - qr[None, :], 0.0)
+                best = np.where(pk[:, None] & qk[None, :], np.cos(np.minimum(apart, np.pi)) + SLACK, 1.0 + SLACK)
+                best[pf, :] = best[:, qf] = SLACK  # a zero vector is at 0 to all
+                wanted = np.zeros(best.shape, bool)
+                if least is not None:
+                    wanted |= best >= least
+                if k is not None:
+                    wanted |= (best >= pt[:, None]) | (best >= qt[None, :])
+                wanted |= p[:, None] == q[None, :]
+                i, j = np.nonzero(wanted if a != b else wanted & (p[:, None] <= q[None, :]))
+                yield pd.DataFrame({"i": np.minimum(p[i], q[j]), "j": np.maximum(p[i], q[j])})
+
+    return met.mapInPandas(run, "i long, j long")
+
+
+def _met(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    own = lambda n, r: blocks.select(F.col("block").alias(n), F.col("rows").alias(r))
+    return pairs.join(own("i", "a"), "i").join(own("j", "b"), "j").select("i", "j", "a", "b")
+
+
 def _rounded(x: np.ndarray) -> np.ndarray:
     return np.floor(x * 1e6 + 0.5) / 1e6
 
 
-def _scan(vectors: DataFrame, row_id: str, vector: str, k: int | None, least: float | None) -> DataFrame:
-    """source, target, similarity, near in one pass over all pairs of blocks: with ``k`` the ``k`` best targets of each
-    row in a block (near, directed), with ``least`` every pair source < target of at least that similarity (not near)."""
+def _scan(vectors: DataFrame, row_id: str, vector: str, k: int | None, least: float | None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """source, target, similarity, near in one pass over the pairs of blocks that may hold any: with ``k`` the ``k`` best
+    targets of each row in a block (near, directed), with ``least`` every pair source < target of at least that
+    similarity (not near)."""
 
     def best(ids: np.ndarray, others: np.ndarray, s: np.ndarray) -> pd.DataFrame:
         s = np.where(ids[:, None] == others[None, :], -np.inf, s)
@@ -64,7 +183,13 @@ def _scan(vectors: DataFrame, row_id: str, vector: str, k: int | None, least: fl
                     p, q = np.nonzero((s >= least) & ((x[:, None] < y[None, :]) if i == j else (x[:, None] != y[None, :])))
                     yield pd.DataFrame({"source": np.minimum(x[p], y[q]), "target": np.maximum(x[p], y[q]), "similarity": s[p, q], "near": False})
 
-    return _met(vectors, row_id, vector).mapInPandas(run, PAIRS)
+    rows = _rows(vectors, row_id, vector)
+    count = rows.count()
+    n = max(1, -(-count // block_rows))
+    if n <= FEW_BLOCKS:
+        return _all_pairs(rows, n).mapInPandas(run, PAIRS)
+    blocks = blocks_of(rows, count, block_rows)
+    return _met(blocks, block_pairs(blocks, k, least)).mapInPandas(run, PAIRS)
 
 
 def over_threshold(vectors: DataFrame, row_id: str, vector: str, least: float) -> DataFrame:

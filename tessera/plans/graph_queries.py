@@ -119,7 +119,14 @@ def j6_nearest(s, d):
     return si.nearest(table(s, d, "embeddings"), "vec_id", "embedding", 5)
 
 
-@query(f"WITH {_COS} SELECT * FROM edges")
+_EDGES = """WITH e AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings),
+s AS MATERIALIZED (SELECT a.id AS source, b.id AS target, floor(list_cosine_similarity(a.v, b.v) * 1e6 + 0.5) / 1e6 AS similarity FROM e a JOIN e b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY similarity DESC, target) AS rank FROM s),
+m AS (SELECT least(source, target) AS source, greatest(source, target) AS target, similarity, rank <= 5 AS near, similarity >= 0.35 AS above FROM r WHERE rank <= 5 OR similarity >= 0.35)
+SELECT source, target, max(similarity) AS similarity, count(*) FILTER (near) = 2 AS mutual, CASE WHEN bool_or(near) AND bool_or(above) THEN 'hybrid' WHEN bool_or(near) THEN 'knn' ELSE 'threshold' END AS origin FROM m GROUP BY source, target"""
+
+
+@query(_EDGES)
 def g1_similarity_graph(s, d):
     return _edges(s, d)
 
