@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +71,44 @@ def published(rows: DataFrame, predicted: DataFrame, row_id: str, name: str) ->
 def with_status(rows: DataFrame, row_id: str, status: str, wanted: str) -> DataFrame:
     """The row set of a run's failures or of its out-of-domain rows: row_id, ordinal (the id itself)."""
     return rows.where(F.col(status) == wanted).select(F.col(row_id).alias("row_id"), F.col(row_id).alias("ordinal")).distinct()
+
+
+RESULT = "value double, uncertainty double, applicability double, status string, message string"
+
+
+def batched(function: Callable[[pd.Series], pd.DataFrame], in_domain: float = 0.0) -> Callable[[Column], Column]:
+    """An ``evaluate`` for a capability from a function over whole batches (value, uncertainty, applicability by row). A
+    batch that fails is halved until the rows that make it fail are alone: those are ``FAILURE`` with their message, all
+    others keep their values. Missing inputs and values that aren't finite are failures too; below ``in_domain`` of
+    applicability a row is ``OUT_OF_DOMAIN``."""
+
+    def tried(part: pd.Series) -> pd.DataFrame:
+        try:
+            made = function(part).reset_index(drop=True)
+            if len(made) != len(part):
+                raise ValueError(f"{len(made)} results for {len(part)} rows")
+            return made[["value", "uncertainty", "applicability"]].astype(float).assign(message=None)
+        except Exception as e:
+            if len(part) == 1:
+                return pd.DataFrame({"value": [np.nan], "uncertainty": [np.nan], "applicability": [np.nan], "message": [f"{type(e).__name__}: {e}"]})
+            half = len(part) // 2
+            return pd.concat([tried(part[:half]), tried(part[half:])], ignore_index=True)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.reset_index(drop=True)
+            given = batch.notna() & (batch.astype(str).str.strip() != "")
+            out = pd.DataFrame({"value": np.nan, "uncertainty": np.nan, "applicability": np.nan, "message": "no input"}, index=batch.index)
+            if given.any():
+                made = tried(batch[given].reset_index(drop=True)).set_index(batch.index[given])
+                out.loc[given, ["value", "uncertainty", "applicability"]] = made[["value", "uncertainty", "applicability"]]
+                out["message"] = out["message"].where(~given, made["message"].reindex(batch.index))
+            sound = np.isfinite(out["value"].astype(float))
+            out["message"] = out["message"].where(sound | out["message"].notna(), "no finite value")
+            out.loc[~sound, ["value", "uncertainty", "applicability"]] = np.nan
+            status = np.where(~sound, "FAILURE", np.where(out["applicability"].fillna(1.0) < in_domain, "OUT_OF_DOMAIN", "SUCCESS"))
+            none = lambda c: out[c].astype(object).where(out[c].notna(), None)
+            yield pd.DataFrame({"value": none("value"), "uncertainty": none("uncertainty"), "applicability": none("applicability"), "status": status, "message": none("message")})
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, RESULT)

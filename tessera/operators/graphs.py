@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,3 +138,89 @@ def parents(edges: DataFrame, order: DataFrame) -> DataFrame:
     earlier = directed.join(place("child"), "child").join(place("parent"), "parent").where("parent_place < child_place")
     best = F.row_number().over(Window.partitionBy("child").orderBy(F.desc("score"), F.desc("parent_place"), "parent"))
     return earlier.withColumn("_r", best).where("_r = 1").select("child", "parent", "score")
+
+
+def paths(edges: DataFrame, requests: DataFrame, most: int = 0) -> DataFrame:
+    """source, target, reason, hops, path for every different request (source, target): a shortest path, or why there is
+    none (same_row, source_not_in_graph, target_not_in_graph, rows_not_in_graph, no_path, max_depth_exceeded). ``most``
+    bounds the hops; 0 is no bound.
+
+    All requests walk at once, from both ends in turn, a whole level each time; a request whose frontiers have met walks
+    no further. Parents are joined back level by level, so the driver sees no row of a path. Of several shortest paths:
+    over the least meeting row, by least parents."""
+    step = cut(both_ways(edges).where("node <> other").distinct(), "edges")
+    inside = both_ways(edges).select("node").distinct()
+    asked = cut(requests.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).distinct(), "requests")
+    found = asked.join(inside.select(F.col("node").alias("source"), F.lit(True).alias("s")), "source", "left").join(inside.select(F.col("node").alias("target"), F.lit(True).alias("t")), "target", "left")
+    reason = F.when(F.col("s").isNull() & F.col("t").isNull(), "rows_not_in_graph").when(F.col("s").isNull(), "source_not_in_graph").when(F.col("t").isNull(), "target_not_in_graph").when(F.col("source") == F.col("target"), "same_row")
+    known = cut(found.select("source", "target", reason.alias("reason")), "known")
+    ids, walk = ["source", "target"], known.where("reason is null").select("source", "target")
+    start = lambda end: cut(walk.select(*ids, F.col(end).alias("node"), F.lit(0).alias("hop"), F.lit(None).cast("long").alias("parent")), "reached")
+    sides = [start("source"), start("target")]
+    fronts, depth, active = list(sides), [0, 0], cut(walk, "active")
+    out, ended = [], []
+    while not active.isEmpty():
+        if most and sum(depth) >= most:
+            ended.append(active.withColumn("reason", F.lit("max_depth_exceeded")))
+            break
+        turn = 0 if depth[0] <= depth[1] else 1
+        depth[turn] += 1
+        ahead = fronts[turn].join(active, ids, "left_semi").join(step, "node").groupBy(*ids, F.col("other").alias("node")).agg(F.min("node").alias("parent"))
+        fronts[turn] = cut(ahead.join(sides[turn], [*ids, "node"], "left_anti").select(*ids, "node", F.lit(depth[turn]).alias("hop"), "parent"), "reached")
+        sides[turn] = sides[turn].unionByName(fronts[turn])
+        other = sides[1 - turn].select(*ids, "node")
+        met = cut(fronts[turn].join(other, [*ids, "node"], "left_semi").groupBy(*ids).agg(F.min("node").alias("meet")), "met")
+        out.append(met.withColumns({"ahead": F.lit(depth[0]), "back": F.lit(depth[1])}))
+        # a frontier that found nothing new has seen all it can reach
+        live = active.join(met, ids, "left_anti")
+        growing = fronts[turn].select(*ids).distinct()
+        ended.append(cut(live.join(growing, ids, "left_anti").withColumn("reason", F.lit("no_path")), "ended"))
+        active = cut(live.join(growing, ids, "left_semi"), "active")
+    none = known.where("reason is not null").unionByName(reduce(DataFrame.unionByName, ended, known.limit(0)))
+    lone = F.when(F.col("reason") == "same_row", F.array("source")).otherwise(F.array().cast("array<bigint>"))
+    rows = none.select(*ids, "reason", F.when(F.col("reason") == "same_row", 0).alias("hops"), lone.alias("path"))
+    if not out:
+        return rows
+    held = reduce(DataFrame.unionByName, out)
+    walked = held.select(*ids, "ahead", "back", F.array("meet").alias("path"), F.col("meet").alias("first"), F.col("meet").alias("last"))
+    for side, end, most_hops in ((0, "first", depth[0]), (1, "last", depth[1])):
+        parents = sides[side].where("hop > 0").select(*ids, F.col("node").alias(end), "parent")
+        for _ in range(most_hops):
+            joined = walked.join(parents, [*ids, end], "left")
+            longer = F.concat(F.array("parent"), "path") if side == 0 else F.concat("path", F.array("parent"))
+            walked = cut(joined.select(*ids, "ahead", "back", F.when(F.col("parent").isNull(), F.col("path")).otherwise(longer).alias("path"), *[(F.coalesce("parent", end) if e == end else F.col(e)).alias(e) for e in ("first", "last")]), "walked")
+    return rows.unionByName(walked.select(*ids, F.lit("connected").alias("reason"), (F.size("path") - 1).alias("hops"), "path"))
+
+
+def lanes(parents: DataFrame, order: DataFrame) -> DataFrame:
+    """node, root, lane, first, leaves of the forest that ``parents`` (child, parent) makes of the rows of ``order`` (node,
+    place): leaves stand on lanes 0, 1, ... in the order of a walk through roots and children by place, and a row stands
+    in the middle between its first and its last leaf. Sums over subtrees and along paths double their reach each round,
+    so a chain of n rows takes about log2(n) rounds."""
+    rows = order.select("node", "place").join(parents.select(F.col("child").alias("node"), "parent"), "node", "left")
+    up = cut(rows.select("node", "place", "parent", F.col("parent").alias("above")), "forest")
+    inner = up.where("parent is not null").select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    leaves = cut(up.join(inner, "node", "left").select("node", "above", F.when(F.col("inner"), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("n"), F.col("node").alias("root")), "leaves")
+    while not leaves.where("above is not null").isEmpty():
+        below = leaves.where("above is not null").groupBy(F.col("above").alias("node")).agg(F.sum("n").alias("more"))
+        jump = leaves.select(F.col("node").alias("above"), F.col("above").alias("further"), F.col("root").alias("top"))
+        leaves = cut(leaves.join(below, "node", "left").join(jump, "above", "left").select("node", F.col("further").alias("above"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("top", "root").alias("root")), "leaves")
+    sized = up.select("node", "place", "parent").join(leaves.select("node", "n", "root"), "node")
+    # lanes that the siblings before a row take (of a root: the roots before it), summed along the path to the root
+    siblings = Window.partitionBy("parent").orderBy("place", "node").rowsBetween(Window.unboundedPreceding, -1)
+    children = sized.where("parent is not null").withColumn("shift", F.coalesce(F.sum("n").over(siblings), F.lit(0)))
+    roots = _summed_before(sized.where("parent is null"))
+    path = cut(children.unionByName(roots).select("node", "root", "n", F.col("parent").alias("above"), "shift"), "shifts")
+    while not path.where("above is not null").isEmpty():
+        jump = path.select(F.col("node").alias("above"), F.col("above").alias("further"), F.col("shift").alias("more"))
+        path = cut(path.join(jump, "above", "left").select("node", "root", "n", F.col("further").alias("above"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")), "shifts")
+    return path.select("node", "root", (F.col("shift") + (F.col("n") - 1) / 2.0).alias("lane"), F.col("shift").alias("first"), F.col("n").alias("leaves"))
+
+
+def _summed_before(roots: DataFrame) -> DataFrame:
+    """Roots with ``shift``, the leaves of all roots before them; ranges of roots are summed side by side."""
+    ranges = cut(roots.repartitionByRange("place", "node").withColumn("_range", F.spark_partition_id()), "roots")
+    sizes = ranges.groupBy("_range").agg(F.sum("n").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("_range").orderBy("place", "node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranges.withColumn("shift", own).join(F.broadcast(before), "_range").withColumn("shift", F.col("shift") + F.col("_before")).drop("_range", "_before")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import half_up
 from tessera.operators import ranks
+from tessera.operators.summaries import top_of
 
 #: order of the buckets of a position
 UNSUBSTITUTED, SUBSTITUENT, MULTIPLE, UNMATCHED = range(4)
@@ -43,9 +44,27 @@ def several_dimensions(rows: DataFrame, buckets: list[str], unmatched: str = "(u
 def context_diversity(rows: DataFrame, bucket: str, others: list[str], top: int = 3) -> DataFrame:
     """Per bucket and other position: how many different values stand there, and the most frequent."""
     long = rows.select(bucket, *others).unpivot([bucket], others, "position", "value").groupBy(bucket, "position", "value").agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy(bucket, "position")
-    ranked = long.withColumns({"values": F.count(F.lit(1)).over(whole), "rank": F.row_number().over(whole.orderBy(F.desc("n"), "value"))})
-    return ranked.where((F.col("values") > 1) & (F.col("rank") <= top)).select(bucket, "position", "values", "rank", "value", "n")
+    ranked = top_of(long, [bucket, "position"], top).where("distinct_values > 1")
+    return ranked.select(bucket, "position", F.col("distinct_values").alias("values"), "rank", "value", "n")
+
+
+def projection_table(rows: DataFrame, positions: list[str], others: list[str], row_id: str, examples: int = 3, keep_unmatched: bool = False) -> DataFrame:
+    """One row per bucket of several positions, as a projection is exported: bucket_key, count, the first row ids joined
+    by ``|``, type and label of each position's bucket (atom_1_type, atom_1_label, ...), whether all other positions
+    agree in the bucket's rows (clean_matched_context), and how many of them don't."""
+    types = F.array(*[F.lit(t) for t in ("unsubstituted", "substituent", "multiple", "unmatched")])
+    made = reduce(bucketed, [*positions, *others], rows)
+    if not keep_unmatched:
+        made = made.where(reduce(lambda a, b: a & b, [F.col(f"{p}_key") != UNMATCHED for p in positions]))
+    shown = [c for i, p in enumerate(positions, 1) for c in (F.element_at(types, F.col(f"{p}_key") + 1).alias(f"atom_{i}_type"), F.col(f"{p}_bucket").alias(f"atom_{i}_label"))]
+    keys = [f"atom_{i}_{c}" for i in range(1, len(positions) + 1) for c in ("type", "label")]
+    held = made.select(F.concat_ws("||", *[F.col(f"{p}_bucket") for p in positions]).alias("bucket_key"), *shown, F.col(row_id).alias("row_id"), *[F.col(f"{o}_bucket").alias(f"_o{i}") for i, o in enumerate(others)])
+    first = F.row_number().over(Window.partitionBy("bucket_key", *keys).orderBy("row_id"))
+    few = held.withColumn("_r", first).where(F.col("_r") <= examples).groupBy("bucket_key", *keys).agg(F.array_join(F.sort_array(F.collect_list("row_id")).cast("array<string>"), "|").alias("example_row_ids"))
+    # a position differs in a bucket if its least and greatest values do
+    differ = reduce(lambda a, b: a + b, [(F.min(f"_o{i}") != F.max(f"_o{i}")).cast("int") for i in range(len(others))], F.lit(0))
+    counted = held.groupBy("bucket_key", *keys).agg(F.count(F.lit(1)).alias("count"), differ.alias("diverse_other_position_count"))
+    return counted.join(few, ["bucket_key", *keys]).select("bucket_key", "count", "example_row_ids", *keys, (F.col("diverse_other_position_count") == 0).alias("clean_matched_context"), "diverse_other_position_count")
 
 
 def fragment_summary(fragments: DataFrame, path: str, fragment: str) -> DataFrame:

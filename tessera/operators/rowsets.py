@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import cut
@@ -46,11 +46,13 @@ def page_in_groups(rows: DataFrame, group: list[str], order: list[Column], offse
 
 
 def at_most(rows: DataFrame, limit: int, what: str) -> DataFrame:
-    """The rows, or an error if there are more than ``limit``: nothing is cut off silently."""
-    total = rows.limit(limit + 1).count()
-    if total > limit:
+    """The rows, stored, or an error if there are more than ``limit``: nothing is cut off silently. The rows are counted
+    as they are written, so what makes them runs once."""
+    seen = Observation()
+    kept = cut(rows.observe(seen, F.count(F.lit(1)).alias("n")), "counted")
+    if seen.get["n"] > limit:
         raise ValueError(f"more than {limit} {what}")
-    return rows
+    return kept
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -74,11 +76,14 @@ def hash_share(key: Column, seed: int, rate: float) -> Column:
     return place < f"{int(rate * 2**32):08x}" if rate < 1 else F.lit(True)
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
-    """``rows`` with their place 1, 2, ... in a total order. Ranges of the order are numbered side by side; only their
-    sizes meet in one task."""
-    ranges = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = ranges.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return own.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+def numbered(rows: DataFrame, order: list[str | Column], name: str = "number", group: list[str] | None = None) -> DataFrame:
+    """``rows`` with their place 1, 2, ... in a total order, of all rows or of their ``group``. Ranges of the order are
+    numbered side by side; only their sizes meet in one task (of a group: the sizes of its ranges)."""
+    ids = group or []
+    ranges = cut(rows.repartitionByRange(*ids, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    parts = F.struct(*ids, "_range")
+    sizes = ranges.groupBy(parts.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*[F.col("_part")[g] for g in ids]).orderBy(F.col("_part")["_range"]).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_before"))
+    own = ranges.withColumn("_part", parts).withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return own.join(before, "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_part", "_own", "_before")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import blank_to_null, finite, half_up
 from tessera.operators import ranks
+from tessera.operators.rowsets import numbered
 
 
 def numeric_summary(rows: DataFrame, column: str, group: list[str] | None = None, threshold: float | None = None) -> DataFrame:
@@ -35,9 +36,17 @@ def categories(rows: DataFrame, column: str, top: int = 10, group: list[str] | N
         best = counts.orderBy(F.desc("n"), "value").limit(top).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
         totals = counts.agg(F.sum("n").alias("valid"), F.count(F.lit(1)).alias("distinct_values"))
         return best.join(F.broadcast(totals)).select("rank", "value", "n", half_up(F.col("n") / F.col("valid")).alias("fraction"), "distinct_values")
-    whole = Window.partitionBy(*ids)
-    ranked = counts.withColumns({"valid": F.sum("n").over(whole), "distinct_values": F.count(F.lit(1)).over(whole), "rank": F.row_number().over(whole.orderBy(F.desc("n"), "value"))})
-    return ranked.where(F.col("rank") <= top).select(*ids, "rank", "value", "n", half_up(F.col("n") / F.col("valid")).alias("fraction"), "distinct_values")
+    return top_of(counts, ids, top).select(*ids, "rank", "value", "n", half_up(F.col("n") / F.col("valid")).alias("fraction"), "distinct_values")
+
+
+def top_of(counts: DataFrame, group: list[str], top: int) -> DataFrame:
+    """The ``top`` values of each group by count, then value, with the group's total (``valid``) and its number of values.
+    ``counts``: group, value, n. Each task keeps ``top`` of a group before groups meet, and totals are sums with a map
+    side, so a group of any number of values fits."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("n"), "value"))
+    best = counts.withColumn("rank", rank).where(F.col("rank") <= top)
+    totals = counts.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.sum("n").alias("valid"), F.count(F.lit(1)).alias("distinct_values"))
+    return best.join(totals, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]).drop(*[f"_{g}" for g in group])
 
 
 def with_other(rows: DataFrame, column: str, top: int) -> DataFrame:
@@ -96,11 +105,13 @@ def status_counts(rows: DataFrame, group: list[str], status: str, values: list[s
 def label_frequencies(rows: DataFrame, label: str, signature: str) -> DataFrame:
     """How often each signature stands at each label, with its share of the label's rows."""
     counts = rows.groupBy(label, signature).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("fraction", half_up(F.col("n") / F.sum("n").over(Window.partitionBy(label))))
+    totals = rows.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_total"))
+    return counts.join(totals, F.col(label).eqNullSafe(F.col("_label"))).withColumn("fraction", half_up(F.col("n") / F.col("_total"))).drop("_label", "_total")
 
 
 def signature_summary(rows: DataFrame, kind: str, signature: str) -> DataFrame:
-    """Per kind: its rows, and its signatures by falling frequency."""
+    """Per kind: its rows, and its signatures by falling frequency. Ranks are given range by range."""
     counts = rows.groupBy(kind, signature).agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy(kind)
-    return counts.withColumns({"kind_total": F.sum("n").over(whole), "rank": F.row_number().over(whole.orderBy(F.desc("n"), signature))})
+    totals = rows.groupBy(F.col(kind).alias("_kind")).agg(F.count(F.lit(1)).alias("kind_total"))
+    ranked = numbered(counts, [F.desc("n"), F.asc(signature)], "rank", [kind])
+    return ranked.join(totals, F.col(kind).eqNullSafe(F.col("_kind"))).select(kind, signature, "n", "kind_total", F.col("rank").cast("int").alias("rank"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -23,6 +24,11 @@ DATASET = {
     "subject_sets": "subject_set_id string, name string, set_type string, subject_set_scope string, parent_set_id string, description string",
     "subject_set_memberships": "subject_set_id string, subject_id string",
 }
+#: columns that a dataset's files must have
+REQUIRED = {
+    "endpoints": ["endpoint_id", "name", "datatype"], "subjects": ["subject_id", "structure_id"], "values": ["subject_id", "endpoint_id", "state", "mean"],
+    "subject_sets": ["subject_set_id", "name"], "subject_set_memberships": ["subject_set_id", "subject_id"],
+}
 #: JSON type of a pack's column
 PACK_TYPES = {"number": "double", "integer": "long", "boolean": "boolean"}
 
@@ -41,8 +47,9 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None, required
 
 
 def open_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The five tables of a dataset folder; a (subject, endpoint) pair that repeats is an error on use."""
-    tables = {n: read_tsv(spark, f"{folder}/{n}.*tsv", s) for n, s in DATASET.items()}
+    """The five tables of a dataset folder. A table without one of its ``REQUIRED`` columns is an error at once, a
+    (subject, endpoint) pair that repeats is one on use."""
+    tables = {n: read_tsv(spark, f"{folder}/{n}.*tsv", s, REQUIRED[n]) for n, s in DATASET.items()}
     n = F.count(F.lit(1)).over(Window.partitionBy("subject_id", "endpoint_id"))
     repeated = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated value of "), F.col("subject_id"), F.lit("/"), F.col("endpoint_id"))).cast("int"))
     tables["values"] = tables["values"].withColumn("_n", n).withColumn("_n", repeated).where("_n is null").drop("_n")
@@ -175,6 +182,39 @@ def export_selection(selection: DataFrame, subjects: DataFrame, values: DataFram
     return out.orderBy("ordinal") if "ordinal" in selection.columns else out
 
 
+def safe_columns(names: list[str], prefix: str) -> dict[str, str]:
+    """A column for each name: the prefix and the name in lower case, all but a-z and 0-9 as ``_``; clashes get _2, _3, ..."""
+    seen: dict[str, int] = {}
+    out = {}
+    for n in names:
+        safe = re.sub("[^a-z0-9]+", "_", (prefix + n).strip().lower()).strip("_") or "column"
+        seen[safe] = seen.get(safe, 0) + 1
+        out[n] = safe if seen[safe] == 1 else f"{safe}_{seen[safe]}"
+    return out
+
+
+def export_rows(selection: DataFrame, fields: DataFrame | None = None, values: DataFrame | None = None, endpoints: list[str] | None = None, dates: DataFrame | None = None, fragments: DataFrame | None = None, paths: list[str] | None = None) -> DataFrame:
+    """The chosen subjects (subject_id) as a table of rows: their ``fields`` as field_ columns; first and last measurement
+    and the number of measured endpoints (``dates``: subject_id, first_measurement, last_measurement, endpoints); one
+    row for each of ``endpoints``, with its value's columns, empty where the subject has none; and for each of ``paths``
+    the label, fragment_id and fragment_smiles of the subject's ``fragments`` (subject_id, path, ...). Names that clash
+    are numbered."""
+    out = selection
+    if fields is not None:
+        names = safe_columns(sorted(c for c in fields.columns if c != "subject_id"), "field_")
+        out = out.join(fields.select("subject_id", *[F.col(n).alias(c) for n, c in names.items()]), "subject_id", "left")
+    if dates is not None:
+        out = out.join(dates.select("subject_id", F.col("first_measurement").alias("subject_first_measurement"), F.col("last_measurement").alias("subject_last_measurement"), F.col("endpoints").alias("subject_measurement_endpoint_count")), "subject_id", "left")
+    if endpoints:
+        asked = out.withColumn("endpoint_id", F.explode(F.array(*[F.lit(e) for e in endpoints])))
+        out = asked.join(values.where(F.col("endpoint_id").isin(endpoints)), ["subject_id", "endpoint_id"], "left")
+    if fragments is not None:
+        bases = safe_columns(paths or [], "decomp_")
+        made = fragments.groupBy("subject_id").agg(*[F.min(F.when(F.col("path") == p, F.col(n))).alias(f"{b}_{n}") for p, b in bases.items() for n in ("label", "fragment_id", "fragment_smiles")])
+        out = out.join(made, "subject_id", "left")
+    return out
+
+
 def export_snapshot(spark: SparkSession, tables: dict[str, DataFrame], folder: str, about: dict | None = None) -> None:
     """Tables as Parquet in a new folder, then a manifest (JSON) that lists them: without it a snapshot isn't whole."""
     for name, rows in tables.items():
@@ -199,8 +239,12 @@ def with_ids(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def register(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Structures (id, structure) with ``new`` ones added; new ids that exist already are an error on use."""
-    clash = new.join(existing.select("id"), "id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
-    checked = new.join(clash).where(F.when(F.col("n") > 0, F.raise_error(F.lit("structure id exists already")).cast("boolean")).otherwise(F.lit(True))).drop("n")
+    """Structures (id, structure) with ``new`` ones added; an id that exists already, or that ``new`` repeats, is an error
+    on use, and so is a missing one."""
+    # counted by id with a map side: an id that most rows repeat fits too
+    ids = new.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("structure").alias("structure"))
+    met = ids.join(existing.select("id", F.lit(True).alias("known")).distinct(), "id", "left")
+    wrong = F.when(blank_to_null(F.col("id")).isNull(), F.lit("a structure has no id")).when(F.col("known"), F.concat(F.lit("structure id exists already: "), F.col("id"))).when(F.col("n") > 1, F.concat(F.lit("repeated structure id: "), F.col("id")))
+    checked = met.where(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(F.lit(True)))
     return existing.select("id", "structure").unionByName(checked.select("id", "structure"))
 

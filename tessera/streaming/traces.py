@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.rowsets import numbered
+
 EVENT = "trace_id string, sequence long, invocation_id string, occurred_at timestamp, elapsed_ms long, phase string, tool_name string, label string, references array<struct<kind:string,context_id:string,element_id:string,role:string>>, error_code string"
 #: milliseconds after which the attention of a finished event has faded, by phase
 FADE_MS = {"STARTED": 3500, "COMPLETED": 3000, "FAILED": 1800}
@@ -68,6 +70,11 @@ def batches(events: DataFrame, trace: str, order: list[str], size: int = 25) ->
     return events.withColumn("batch", F.floor(place / size).cast("int"))
 
 
+def global_batches(events: DataFrame, order: list[str], size: int = 25) -> DataFrame:
+    """``events`` with ``batch``: the place among all events, divided by ``size``; places are given range by range."""
+    return numbered(events, order, "_place").withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("int")).drop("_place")
+
+
 def invocations(events: DataFrame, invocation: str, phase: str, at_ms: str) -> DataFrame:
     """started_ms, ended_ms, outcome per invocation; those without a terminal event are still ``ACTIVE``."""
     terminal = F.col(phase).isin("COMPLETED", "FAILED")

@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import artifact_queries, export_queries, graph_queries, tables_queries
+from tessera.plans import artifact_queries, build_queries, export_queries, graph_queries, tables_queries
 from tests.conftest import SMALL
 
-QUERIES = {**tables_queries.QUERIES, **graph_queries.QUERIES, **artifact_queries.QUERIES, **export_queries.QUERIES}
-SQL = {**tables_queries.SQL, **graph_queries.SQL, **artifact_queries.SQL, **export_queries.SQL}
+QUERIES = {**tables_queries.QUERIES, **graph_queries.QUERIES, **artifact_queries.QUERIES, **export_queries.QUERIES, **build_queries.QUERIES}
+SQL = {**tables_queries.SQL, **graph_queries.SQL, **artifact_queries.SQL, **export_queries.SQL, **build_queries.SQL}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
