@@ -8,13 +8,18 @@ hops: what other leaders take can only lower the counts around it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import half_up
 from tessera.sources.shared import cut
 
 
+def _mean(similarity: Column) -> Column:
+    """The mean to six places, of similarities to six places: of whole numbers, so that no order of rows changes it."""
+    return F.floor(F.try_divide(F.sum(F.round(similarity * 1e6).cast("long")), F.count(similarity)) + 0.5).cast("double") / 1e6
+
+
 def leader_clusters(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """row_id, leader, similarity (to the leader; 1 for itself), round for every row of ``rows`` (row_id,
     weight); ``edges`` (source, target, similarity) are those at or above the threshold."""
@@ -23,7 +28,7 @@ def leader_clusters(rows: DataFrame, edges: DataFrame) -> DataFrame:
     left = cut(rows.select(F.col("row_id").alias("a"), "weight"), "left")
     done, turn = [], 0
     while True:
-        counts = near.groupBy("a").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg("similarity")).alias("m"))
+        counts = near.groupBy("a").agg(F.count(F.lit(1)).alias("n"), _mean(F.col("similarity")).alias("m"))
         keyed = cut(left.join(counts, "a", "left").select("a", "weight", F.struct((-F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("m", F.lit(0.0)).alias("m"), (-F.col("weight")).alias("w"), F.col("a").alias("id")).alias("key")), "keys")
         # the least key within one hop, then within two
         one = near.join(keyed.select(F.col("a").alias("b"), "key"), "b").groupBy("a").agg(F.min("key").alias("k"))
@@ -48,7 +53,7 @@ def leader_clusters(rows: DataFrame, edges: DataFrame) -> DataFrame:
 def cluster_summary(clusters: DataFrame, with_singletons: bool = False) -> DataFrame:
     """leader, size, least and mean similarity of the other members to it."""
     other = F.when(F.col("row_id") != F.col("leader"), F.col("similarity"))
-    out = clusters.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), half_up(F.min(other)).alias("min_similarity"), half_up(F.avg(other)).alias("mean_similarity"))
+    out = clusters.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), half_up(F.min(other)).alias("min_similarity"), _mean(other).alias("mean_similarity"))
     return out if with_singletons else out.where("size > 1")
 
 

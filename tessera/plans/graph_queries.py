@@ -163,10 +163,36 @@ def g6_components(s, d):
     return gr.component_sizes(_edges(s, d).where("mutual and similarity >= 0.38").select("source", "target"))
 
 
-@query()
-def g7_leader_clusters(s, d):
+def _mean(x: str) -> str:
+    """The mean to six places of numbers of six places, in whole numbers."""
+    return f"(floor(sum(CAST(round({x} * 1e6) AS BIGINT)) / count({x}) + 0.5) / 1e6)"
+
+
+#: the rule one leader after the other: the row with most remaining neighbours takes them
+_CLUSTERS = f"""{_COS}, ends AS MATERIALIZED (SELECT source AS a, target AS b, similarity FROM edges UNION ALL SELECT target, source, similarity FROM edges),
+st AS (SELECT 0 AS turn, CAST(NULL AS BIGINT) AS leader, CAST([] AS BIGINT[]) AS taken, (SELECT list(vec_id ORDER BY vec_id) FROM embeddings) AS remaining
+UNION ALL SELECT turn + 1, x.a, list_prepend(x.a, x.bs), list_filter(remaining, lambda y: y <> x.a AND NOT list_contains(x.bs, y)) FROM st, LATERAL (
+  SELECT l.a, coalesce(list(n.b) FILTER (n.b IS NOT NULL), CAST([] AS BIGINT[])) AS bs FROM (SELECT unnest(st.remaining) AS a) l JOIN embeddings v ON v.vec_id = l.a LEFT JOIN ends n ON n.a = l.a AND list_contains(st.remaining, n.b)
+  GROUP BY l.a, v.label ORDER BY count(n.b) DESC, coalesce({_mean('n.similarity')}, 0), v.label DESC, l.a LIMIT 1) x WHERE len(remaining) > 0),
+members AS (SELECT leader, unnest(taken) AS row_id FROM st WHERE leader IS NOT NULL),
+cl AS (SELECT row_id, leader, CASE WHEN row_id = leader THEN 1.0 ELSE similarity END AS similarity FROM members LEFT JOIN ends ON a = leader AND b = row_id)"""
+
+
+def _clusters(s, d):
     rows = table(s, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").alias("weight"))
-    return cl.leader_clusters(rows, _edges(s, d).select("source", "target", "similarity"))
+    edges = _edges(s, d).select("source", "target", "similarity")
+    return cl.leader_clusters(rows, edges), edges
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT * FROM cl")
+def g7_leader_clusters(s, d):
+    return _clusters(s, d)[0].select("row_id", "leader", "similarity")
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS}, t AS (SELECT p.leader, o.leader AS other_leader, e.b AS other, max(e.similarity) AS similarity FROM ends e JOIN cl p ON p.row_id = e.a JOIN cl o ON o.row_id = e.b WHERE p.leader <> o.leader GROUP BY 1, 2, 3), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY leader ORDER BY similarity DESC, other_leader, other) AS INTEGER) AS rank FROM t) SELECT * FROM r WHERE rank <= 5")
+def g7_cross_neighbours(s, d):
+    clusters, edges = _clusters(s, d)
+    return cl.cross_neighbours(clusters, edges, 5).select("leader", "other_leader", "other", "similarity", "rank")
 
 
 @query(f"WITH {_COS}, x AS (SELECT target AS child, source AS parent, similarity AS score FROM edges WHERE source < target), k AS (SELECT *, row_number() OVER (PARTITION BY child ORDER BY score DESC, parent DESC) AS r FROM x) SELECT child, parent, score FROM k WHERE r = 1")
