@@ -169,13 +169,13 @@ def paths(edges: DataFrame, requests: DataFrame, most: int = 0) -> DataFrame:
         fronts[turn] = cut(ahead.join(sides[turn], [*ids, "node"], "left_anti").select(*ids, "node", F.lit(depth[turn]).alias("hop"), "parent"), "reached")
         sides[turn] = sides[turn].unionByName(fronts[turn])
         other = sides[1 - turn].select(*ids, "node")
-        met = cut(fronts[turn].join(other, [*ids, "node"], "left_semi").groupBy(*ids).agg(F.min("node").alias("meet")), "met")
-        out.append(met.withColumns({"ahead": F.lit(depth[0]), "back": F.lit(depth[1])}))
+        met = fronts[turn].join(other, [*ids, "node"], "left_semi").groupBy(*ids).agg(F.min("node").alias("meet"))
+        growing = fronts[turn].select(*ids, F.lit(True).alias("growing")).distinct()
+        state = cut(active.join(met, ids, "left").join(growing, ids, "left"), "state")
+        out.append(state.where("meet is not null").select(*ids, "meet", F.lit(depth[0]).alias("ahead"), F.lit(depth[1]).alias("back")))
         # a frontier that found nothing new has seen all it can reach
-        live = active.join(met, ids, "left_anti")
-        growing = fronts[turn].select(*ids).distinct()
-        ended.append(cut(live.join(growing, ids, "left_anti").withColumn("reason", F.lit("no_path")), "ended"))
-        active = cut(live.join(growing, ids, "left_semi"), "active")
+        ended.append(state.where("meet is null and growing is null").select(*ids, F.lit("no_path").alias("reason")))
+        active = state.where("meet is null and growing").select(*ids)
     none = known.where("reason is not null").unionByName(reduce(DataFrame.unionByName, ended, known.limit(0)))
     lone = F.when(F.col("reason") == "same_row", F.array("source")).otherwise(F.array().cast("array<bigint>"))
     rows = none.select(*ids, "reason", F.when(F.col("reason") == "same_row", 0).alias("hops"), lone.alias("path"))
@@ -185,10 +185,11 @@ def paths(edges: DataFrame, requests: DataFrame, most: int = 0) -> DataFrame:
     walked = held.select(*ids, "ahead", "back", F.array("meet").alias("path"), F.col("meet").alias("first"), F.col("meet").alias("last"))
     for side, end, most_hops in ((0, "first", depth[0]), (1, "last", depth[1])):
         parents = sides[side].where("hop > 0").select(*ids, F.col("node").alias(end), "parent")
-        for _ in range(most_hops):
+        for hop in range(most_hops):
             joined = walked.join(parents, [*ids, end], "left")
             longer = F.concat(F.array("parent"), "path") if side == 0 else F.concat("path", F.array("parent"))
-            walked = cut(joined.select(*ids, "ahead", "back", F.when(F.col("parent").isNull(), F.col("path")).otherwise(longer).alias("path"), *[(F.coalesce("parent", end) if e == end else F.col(e)).alias(e) for e in ("first", "last")]), "walked")
+            walked = joined.select(*ids, "ahead", "back", F.when(F.col("parent").isNull(), F.col("path")).otherwise(longer).alias("path"), *[(F.coalesce("parent", end) if e == end else F.col(e)).alias(e) for e in ("first", "last")])
+            walked = cut(walked, "walked") if hop % 4 == 3 else walked  # a plan of bounded length
     return rows.unionByName(walked.select(*ids, F.lit("connected").alias("reason"), (F.size("path") - 1).alias("hops"), "path"))
 
 

@@ -24,12 +24,17 @@ def transform_id(cut_count: Column, from_value: Column, to_value: Column) -> Col
     return F.concat(cut_count.cast("string"), F.lit("|"), from_value, F.lit(">>"), to_value)
 
 
-def block_pairs(records: DataFrame, key: list[str], most: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a self-join on ``key`` whose large keys are dealt into blocks: (left, right), each ``records`` with
-    the columns ``_i`` and ``_j`` to join on too. A key of more than ``most`` records is dealt into blocks of about that
-    many; block pairs i <= j meet, each in a join key of its own, so every pair of records meets once, in one order or
-    the other, and those within a block (i = j) in both. All other keys are one block."""
-    large = records.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(*[F.col(c).alias(f"_{c}") for c in key], F.ceil(F.col("_n") / most).cast("int").alias("_blocks"))
+def large_keys(records: DataFrame, key: list[str], most: int) -> DataFrame:
+    """Keys of more than ``most`` records, with the number of blocks of about that many that they are dealt into."""
+    large = records.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    return large.select(*[F.col(c).alias(f"_{c}") for c in key], F.ceil(F.col("_n") / most).cast("int").alias("_blocks"))
+
+
+def block_pairs(records: DataFrame, key: list[str], large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join on ``key`` whose ``large`` keys are dealt into blocks: (left, right), each ``records``
+    with the columns ``_i`` and ``_j`` to join on too. Block pairs i <= j meet, each in a join key of its own, so every
+    pair of records meets once, in one order or the other, and those within a block (i = j) in both. All other keys are
+    one block."""
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
     dealt = records.join(large, same, "left").drop(*[f"_{c}" for c in key]).withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     dealt = dealt.withColumn("_b", F.pmod(F.xxhash64(*[c for c in records.columns if c not in key]), F.col("_blocks")).cast("int"))
@@ -39,17 +44,21 @@ def block_pairs(records: DataFrame, key: list[str], most: int) -> tuple[DataFram
 
 
 def mine_pairs(records: DataFrame, most_per_key: int | None = None, block: int = KEY_BLOCK) -> DataFrame:
-    """Both directions of every pair. The self-join keeps one order of each pair; the other is its mirror,
-    so the join makes half the rows. A key with more than ``block`` records is joined block by block, so it fills as
+    """Both directions of every pair. The records are stored once; the self-join keeps one order of each pair and
+    the other is its mirror, so the join makes half the rows. A key with more than ``block`` records is joined block by block, so it fills as
     many tasks as it has pairs of blocks. By default all pairs are made; with ``most_per_key`` a key that may make more
     directed pairs is an error before any is made, never a cut."""
-    r = records.select("subject", "cut_count", "key", "value").distinct()
+    r = cut(records.select("subject", "cut_count", "key", "value").distinct(), "records")
     if most_per_key is not None:
         at_most(r.groupBy("cut_count", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * (F.col("n") - 1) > most_per_key), 0, f"keys with {most_per_key} pairs")
-    left, right = block_pairs(r, ["cut_count", "key"], block)
-    a = left.select("cut_count", "key", "_i", "_j", F.col("subject").alias("subject_a"), F.col("value").alias("from_value"))
-    b = right.select("cut_count", "key", "_i", "_j", F.col("subject").alias("subject_b"), F.col("value").alias("to_value"))
-    met = a.join(b, ["cut_count", "key", "_i", "_j"]).where((F.col("subject_a") != F.col("subject_b")) & (F.col("from_value") != F.col("to_value")) & ((F.col("_i") < F.col("_j")) | (F.col("subject_a") < F.col("subject_b"))))
+    key = ["cut_count", "key"]
+    large = cut(large_keys(r, key, block), "large")
+    none = large.isEmpty()
+    left, right = (r, r) if none else block_pairs(r, key, large)
+    on, one_order = (key, F.col("subject_a") < F.col("subject_b")) if none else ([*key, "_i", "_j"], (F.col("_i") < F.col("_j")) | (F.col("subject_a") < F.col("subject_b")))
+    a = left.select(*on, F.col("subject").alias("subject_a"), F.col("value").alias("from_value"))
+    b = right.select(*on, F.col("subject").alias("subject_b"), F.col("value").alias("to_value"))
+    met = a.join(b, on).where((F.col("subject_a") != F.col("subject_b")) & (F.col("from_value") != F.col("to_value")) & one_order)
     ends = F.array(*[F.struct(F.col(f"subject_{x}").alias("subject_a"), F.col(f"{u}_value").alias("from_value"), F.col(f"subject_{y}").alias("subject_b"), F.col(f"{w}_value").alias("to_value")) for x, u, y, w in (("a", "from", "b", "to"), ("b", "to", "a", "from"))])
     both = met.select("cut_count", "key", F.inline(ends))
     return both.withColumn("transform_id", transform_id(F.col("cut_count"), F.col("from_value"), F.col("to_value")))

@@ -13,7 +13,7 @@ def test_a_hot_key_fills_many_tasks(spark):
     hot = spark.range(3000).select(F.col("id").alias("subject"), F.lit(1).alias("cut_count"), F.lit("hot").alias("key"), (F.col("id") % 7).cast("string").alias("value"))
     cold = spark.range(40).select(F.col("id").alias("subject"), F.lit(1).alias("cut_count"), F.concat(F.lit("k"), (F.col("id") % 10).cast("string")).alias("key"), (F.col("id") % 3).cast("string").alias("value"))
     both = hot.unionByName(cold)
-    left, right = pairs.block_pairs(both, ["cut_count", "key"], 200)
+    left, right = pairs.block_pairs(both, ["cut_count", "key"], pairs.large_keys(both, ["cut_count", "key"], 200))
     met = left.where("key = 'hot'").groupBy("_i", "_j").count().collect()
     assert len(met) == 15 * 16 // 2 and max(r["count"] for r in met) < 400
     mined = pairs.mine_pairs(both, block=200)
