@@ -37,5 +37,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """``cut``, in buckets of ``keys``, as many as a shuffle has partitions: joins on these keys don't move it again."""
+    spark = df.sparkSession
+    n, held = int(spark.conf.get("spark.sql.shuffle.partitions")), f"tessera_{uuid.uuid4().hex}"
+    rows = df.repartition(n, *keys)
+    rows.write.bucketBy(n, *keys).format("parquet").option("compression", "zstd").option("path", new_path(spark, name)).saveAsTable(held)
+    return spark.table(held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
