@@ -11,7 +11,8 @@ stand at, times the anchor's components, bounds the score of every row not met y
 2. Negatives: the anchors travel on, with a window of scores for each positive, to all blocks. Reading stops once for
    each window the threshold is strictly below its k-th best score so far, or below the window.
 
-Blocks travel by equi-joins on the row block, and each block sends k rows of a window at most.
+Anchor blocks travel by equi-joins on the row block; row blocks are stored in buckets of it and stay. Each block sends k
+rows of a window at most.
 
 Edge cases: rows with a null vec_id, label or vector, or with a null or non-finite component, take no part; nor do
 vectors of another length than the anchor's. Rows that have the anchor's vec_id are never its positives or negatives;
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.top_k import BLOCK_VALUES, HIGH, LOW, quantised
-from tessera.sources.shared import cut
+from tessera.sources.shared import cut, cut_by
 
 BUCKETS = 16  # of labels
 FIRST_DEPTH = 32  # entries of each list read at first; then twice as many
@@ -186,7 +187,8 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column | None =
     if positives < 1 or negatives < 1 or not 0 <= percent <= 100 or block_values < 1:
         raise ValueError("positives, negatives and block_values must be positive and percent in 0..100")
     rows = cut(usable(vectors, F.col("label") if label is None else label, scale), "mined")
-    blocks = cut(_packed(rows, block_values, ["vec_id", "label", "q"]), "row_blocks")
+    key = ["dim", "bucket", "block"]
+    blocks = cut_by(_packed(rows, block_values, ["vec_id", "label", "q"]), "row_blocks", key)
     places = blocks.groupBy("dim", "bucket").agg(F.max("blocks").alias("row_blocks"))
     anchors = rows.where(is_anchor)
 
@@ -194,7 +196,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column | None =
         own = [c for c in ("dim", "bucket") if c in on]
         packed = _packed(asked, block_values, fields).select(*own, F.col("rows").alias("anchors"))
         sent = packed.join(places, own).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_blocks") - 1)))
-        return sent.join(blocks.select("dim", "bucket", "block", "rows"), ["dim", "bucket", "block"]).select("anchors", "rows")
+        return sent.join(blocks.select(*key, "rows"), key).select("anchors", "rows")
 
     near = met(anchors, ["rid", "vec_id", "label", "q"], ["dim", "bucket"]).mapInArrow(_positives(positives), POSITIVE)
     chosen = _best(near, ["anchor"], "score", "positive_id", positives)

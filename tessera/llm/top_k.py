@@ -8,7 +8,8 @@ which stay where they are; every query block travels to every row block, by an e
    whole scores of that list's ``k`` best rows. The k-th best score of a query so far is a safe cutoff: no row
    below it can be among its k best.
 2. The cutoffs go out with the query blocks. A score of at least the cutoff needs a list score of at least
-   cutoff / ``lists``, so each block collects, list by list, just the entries over that uniform threshold.
+   cutoff / ``lists``, so each block collects, list by list, just the entries over that uniform threshold. A list's
+   norms bound its scores: lists, queries and whole blocks that can't reach the threshold are not multiplied.
 3. The scores of the rows collected are resolved exactly over all lists; those that reach the cutoff are
    ranked, ties to the smaller vec_id.
 
@@ -30,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import cut
+from tessera.sources.shared import cut, cut_by
 
 BLOCK_VALUES = 1 << 19  # components of a block
 CHUNK = 256  # queries multiplied at once
+PRODUCTS = 1 << 21  # components of entries resolved at once
 ENTRY = "query_id long, vec_id long, score long"
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -74,6 +76,10 @@ def _exact(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return q.astype(kind), v.astype(kind)
 
 
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
+
+
 def _long(x: np.ndarray) -> np.ndarray:
     return np.array([min(max(int(i), LOW), HIGH) for i in x], np.int64) if x.dtype == object else x.astype(np.int64)
 
@@ -121,15 +127,22 @@ def _collect(k: int, lists: int):
             held = fields.field("cutoff").to_pylist()
             none = np.array([c is None or c == LOW for c in held])
             cutoff = np.array([0 if c is None else c for c in held], q.dtype)
-            # phase 2: entries over the uniform threshold, in any list
-            scores = [q[:, j::m] @ v[:, j::m].T if q.shape[1] else np.zeros((len(q), len(v))) for j in range(m)]
+            # phase 2: entries over the uniform threshold, in any list. A list whose longest row is too short to reach it is
+            # not read for that query, and a query that no list nor all together can reach the cutoff for isn't either
+            most = [_norms(q[:, j::m]) * _norms(v[:, j::m]).max(initial=0.0) * (1 + 1e-9) for j in range(m)]
+            asked = none | (sum(most) >= cutoff.astype(np.float64))
             over = np.repeat(none[:, None], len(vid), axis=1)
-            for s in scores:
-                over |= (s * m >= cutoff[:, None]).astype(bool)
+            for j in range(m):
+                read = np.flatnonzero(asked & ~none & (most[j] * m >= cutoff.astype(np.float64)))
+                if len(read):
+                    over[read] |= ((q[read, j::m] @ v[:, j::m].T) * m >= cutoff[read, None]).astype(bool)
+            if not q.shape[1]:
+                over |= (cutoff <= 0).astype(bool)[:, None]
             over &= qid[:, None] != vid[None, :]
             a, b = np.nonzero(over)
-            # phase 3: what is left is resolved over all lists
-            whole = _long(sum((s[a, b] for s in scores[1:]), scores[0][a, b]))
+            # phase 3: what is left is resolved over all lists, a bounded number of entries at a time
+            step = max(1, PRODUCTS // max(1, q.shape[1]))
+            whole = _long(np.concatenate([(q[a[i : i + step]] * v[b[i : i + step]]).sum(axis=1) for i in range(0, len(a), step)] or [np.zeros(0, q.dtype)]))
             kept = none[a] | (whole >= np.array([LOW if c is None else c for c in held], np.int64)[a])
             # many rows may tie at the cutoff; of one block, no more than k can be among the best
             yield _best(k, qid[a[kept]], vid[b[kept]], whole[kept])
@@ -150,13 +163,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, li
         raise ValueError("k, lists and block_values must be positive")
     rows = cut(usable(vectors, scale), "quantised")
     asked = rows.where(is_query)
-    blocks = cut(_packed(rows, "row_block", block_values, ["vec_id", "q"]), "row_blocks")
+    key = ["dim", "wide", "row_block"]
+    blocks = cut_by(_packed(rows, "row_block", block_values, ["vec_id", "q"]), "row_blocks", key)
     places = blocks.groupBy("dim", "wide").agg(F.max("blocks").alias("row_blocks"))
 
     def met(queries: DataFrame, fields: list[str]) -> DataFrame:
         packed = _packed(queries, "query_block", block_values, fields).select("dim", F.col("rows").alias("queries"))
         sent = packed.join(places, "dim").withColumn("row_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("row_blocks") - 1)))
-        return sent.select("dim", "wide", "row_block", "queries").join(blocks.select("dim", "wide", "row_block", "rows"), ["dim", "wide", "row_block"]).select("row_block", "queries", "rows")
+        return sent.select("dim", "wide", "row_block", "queries").join(blocks.select(*key, "rows"), key).select("row_block", "queries", "rows")
 
     seen = cut(_ranked(met(asked, ["vec_id", "q"]).mapInArrow(_gather(k, lists), ENTRY), k), "seen")
     cutoffs = seen.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
