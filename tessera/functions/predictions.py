@@ -53,6 +53,11 @@ def reference_predictor(text: Column) -> Column:
     return F.struct(F.when(status != "FAILURE", value).alias("value"), half_up(F.lit(1.0) - applicability).alias("uncertainty"), applicability.alias("applicability"), status.alias("status"))
 
 
+def capabilities_for(capabilities: DataFrame, endpoint: str) -> DataFrame:
+    """Rows of a table of capabilities (endpoint_id, predicted_endpoint_id) that stand for an endpoint or predict it."""
+    return capabilities.where((F.col("endpoint_id") == endpoint) | (F.col("predicted_endpoint_id") == endpoint))
+
+
 def needing_prediction(rows: DataFrame, measured: str, predicted: str) -> DataFrame:
     """Rows with neither a measured nor a predicted value."""
     return rows.where(F.coalesce(blank_to_null(F.col(measured).cast("string")), blank_to_null(F.col(predicted).cast("string"))).isNull())

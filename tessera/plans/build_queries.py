@@ -3,6 +3,8 @@ same result."""
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from tessera.plans.tables_queries import V, h
 from tessera.sources import store
 from tessera.sources import tables as src
 from tessera.sources.shared import new_path
+from tessera.streaming import live as lv
 from tessera.streaming import trace_files as tf
 from tessera.streaming import traces as tr
 
@@ -218,3 +221,57 @@ def t8_limited_edges(s, d):
     from tessera.operators import similarity as si
 
     return rs.at_most(si.over_threshold(table(s, d, "embeddings"), "vec_id", "embedding", 0.3), 1 << 40, "edges")
+
+
+@query(f"WITH {V} SELECT c_mktsegment AS series, count(*) AS subjects, count(u) AS urgent, sum(u) AS total FROM customer LEFT JOIN (SELECT subject_id, mean AS u FROM v WHERE endpoint_id = '1-URGENT' AND n > 1) ON subject_id = c_custkey GROUP BY 1")
+def s1_opened_dataset(s, d):
+    """Subjects and values written as a folder of tab-separated tables, opened as a dataset, made wide."""
+    folder = new_path(s, "dataset")
+    rows, held = subjects(s, d), values(s, d)
+    name = F.col("endpoint_id").cast("string")
+    ends = held.select("endpoint_id").distinct().select("endpoint_id", name.alias("name"), F.lit("numeric").alias("datatype"))
+    made = {
+        "endpoints": ends, "subjects": rows.select(F.col("subject_id").cast("string").alias("subject_id"), F.concat(F.lit("st"), F.col("subject_id").cast("string")).alias("structure_id"), "series"),
+        "values": held.select(F.col("subject_id").cast("string").alias("subject_id"), "endpoint_id", "state", "mean", "n"),
+        "subject_sets": rows.select(F.col("series").alias("subject_set_id"), F.col("series").alias("name")).distinct(), "subject_set_memberships": rows.select(F.col("series").alias("subject_set_id"), F.col("subject_id").cast("string").alias("subject_id")),
+    }
+    for n, t in made.items():
+        src.write_tsv(t, f"{folder}/{n}.prism.tsv", t.columns)
+    opened = src.open_dataset(s, folder)
+    table_ = src.wide(opened["values"], ["1-URGENT"])
+    urgent = F.col("1-URGENT")
+    return opened["subjects"].join(table_, "subject_id", "left").groupBy("series").agg(F.count(F.lit(1)).alias("subjects"), F.count(urgent).alias("urgent"), F.sum(urgent).alias("total"))
+
+
+@query("SELECT p_brand, count(*) AS rows, sum(p_size) AS size, count(*) FILTER (p_size % 10 = 0) AS empty_comments FROM part GROUP BY 1")
+def s2_opened_pack(s, d):
+    """Parts written as a pack (table, schema, manifest) and opened again, typed by its schema."""
+    folder = new_path(s, "pack")
+    part = table(s, d, "part").select("p_partkey", "p_brand", "p_size", F.when(F.col("p_size") % 10 != 0, F.lit("seen")).alias("comment"))
+    src.write_tsv(part, f"{folder}/data/dataframe.tsv", part.columns)
+    columns = [("p_partkey", "integer", "compound_id"), ("p_brand", "string", "category"), ("p_size", "integer", "descriptor"), ("comment", "string", "comment")]
+    about = {"schema/dataframe.schema.json": {"columns": [{"id": n, "type": t, "semanticType": m} for n, t, m in columns]}, "own-pack.json": {"name": "parts", "version": 1}}
+    for name, content in about.items():
+        s.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    rows, manifest = src.open_pack(s, folder)
+    if manifest["name"] != "parts" or rows.schema["p_size"].metadata["semanticType"] != "descriptor":
+        raise ValueError("the pack lost its manifest or its schema")
+    return rows.groupBy("p_brand").agg(F.count(F.lit(1)).alias("rows"), F.sum("p_size").alias("size"), F.count_if(F.coalesce("comment", F.lit("")) == "").alias("empty_comments"))
+
+
+@query("SELECT CAST(event_id % 3 AS INTEGER) AS batch, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def s14_sink_batches(s, d):
+    """Events appended by the trace sink in three batches, each of them twice: no line is written again."""
+    folder = new_path(s, "sink")
+    sink = lv.trace_sink(folder, "events")
+    events = table(s, d, "events").select("event_id", "event_type")
+    for number in (0, 1, 1, 2, 0, 2):
+        sink(events.where(F.col("event_id") % 3 == number), number)
+    return lv.read_sink(s, folder, "event_id long, event_type string, batch int").groupBy("batch", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, p_type AS endpoint_id, p_brand AS predicted_endpoint_id FROM part WHERE p_type = 'PROMO' OR p_brand = 'Brand#12'")
+def f10_capabilities(s, d):
+    """Parts as capabilities: those of an endpoint, or that predict one."""
+    rows = table(s, d, "part").select("p_partkey", F.col("p_type").alias("endpoint_id"), F.col("p_brand").alias("predicted_endpoint_id"))
+    return pr.capabilities_for(rows, "PROMO").unionByName(pr.capabilities_for(rows, "Brand#12")).distinct()
