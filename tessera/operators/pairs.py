@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite, half_up
 from tessera.operators import ranks
-from tessera.operators.rowsets import at_most
+from tessera.operators.rowsets import at_most, numbered
 from tessera.sources.shared import cut
 
 #: pairs that must be decided before a direction can be tested
@@ -84,12 +84,13 @@ def transform_stats(pairs: DataFrame, by: list[str] | None = None, least: int =
 
 
 def transform_stats_ranked(pairs: DataFrame, least: int = 2) -> DataFrame:
-    """The same median and deviation by ranks and centred squares, as a check of ``transform_stats``."""
-    whole = Window.partitionBy("transform_id")
-    ranked = pairs.where("delta is not null").withColumns({"r": F.row_number().over(whole.orderBy("delta")), "n": F.count(F.lit(1)).over(whole), "m": F.avg("delta").over(whole)})
-    middle = F.when(F.col("r").isin(F.expr("(n + 1) div 2"), F.expr("(n + 2) div 2")), F.col("delta"))
-    out = ranked.groupBy("transform_id").agg(F.max("n").alias("support"), half_up(F.avg(middle)).alias("median"), half_up(F.sqrt(F.avg((F.col("delta") - F.col("m")) ** 2))).alias("sd"))
-    return out.where(F.col("support") >= least)
+    """The same median and deviation by the places of all rows and mergeable moments, as a check of ``transform_stats``.
+    Places are given range by range, and only middle rows meet their transform, so none is one task."""
+    ranked = numbered(pairs.where("delta is not null").select("transform_id", "delta"), ["delta"], "r", ["transform_id"])
+    moments = ranked.groupBy("transform_id").agg(F.count(F.lit(1)).alias("support"), half_up(F.stddev_pop("delta")).alias("sd")).where(F.col("support") >= least)
+    middles = moments.select("transform_id", F.explode(F.array_distinct(F.array(F.expr("(support + 1) div 2"), F.expr("(support + 2) div 2")))).alias("r"))
+    median = ranked.join(middles, ["transform_id", "r"]).groupBy("transform_id").agg(half_up(F.avg("delta")).alias("median"))
+    return moments.join(median, "transform_id").select("transform_id", "support", "median", "sd")
 
 
 def directions(stats: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import cut
@@ -76,14 +76,24 @@ def hash_share(key: Column, seed: int, rate: float) -> Column:
     return place < f"{int(rate * 2**32):08x}" if rate < 1 else F.lit(True)
 
 
+def in_ranges(rows: DataFrame, order: list[str | Column], group: list[str]) -> DataFrame:
+    """``rows``, stored, with ``_part``: their group and the range of the order that they stand in. A group of any size is
+    dealt over many parts, which hold its rows one part after the other."""
+    return cut(rows.repartitionByRange(*group, *order).withColumn("_part", F.struct(*group, F.spark_partition_id().alias("_range"))), "ranges")
+
+
+def over_parts(group: list[str]) -> WindowSpec:
+    """A window over the parts of ``in_ranges``, one row each, of a group in their order."""
+    return Window.partitionBy(*[F.col("_part")[g] for g in group]).orderBy(F.col("_part")["_range"])
+
+
 def numbered(rows: DataFrame, order: list[str | Column], name: str = "number", group: list[str] | None = None) -> DataFrame:
     """``rows`` with their place 1, 2, ... in a total order, of all rows or of their ``group``. Ranges of the order are
     numbered side by side; only their sizes meet in one task (of a group: the sizes of its ranges)."""
     ids = group or []
-    ranges = cut(rows.repartitionByRange(*ids, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    parts = F.struct(*ids, "_range")
-    sizes = ranges.groupBy(parts.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*[F.col("_part")[g] for g in ids]).orderBy(F.col("_part")["_range"]).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = in_ranges(rows, order, ids)
+    sizes = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    whole = over_parts(ids).rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_before"))
-    own = ranges.withColumn("_part", parts).withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return own.join(before, "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_part", "_own", "_before")
+    own = ranges.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return own.join(before, "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")

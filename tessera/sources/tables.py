@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,20 +73,21 @@ def open_pack(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
 
 
 def _unpacked(spark: SparkSession, path: str) -> str:
-    """A shared folder with the pack files of an archive. A task reads the archive line by line; the lines of each
-    member are written by Spark."""
+    """A shared folder with the pack files of an archive. A task opens the archive where it lies and reads its members a
+    megabyte at a time, never whole; the lines of each member are written by Spark."""
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                archive = zipfile.ZipFile(io.BytesIO(content))
-                for name in archive.namelist():
-                    if name.endswith(("/dataframe.tsv", "/dataframe.schema.json", "-pack.json")):
-                        rows = io.TextIOWrapper(archive.open(name), "utf-8", newline="\n")
-                        while part := rows.readlines(1 << 20):
-                            yield pd.DataFrame({"name": name.rpartition("/")[2], "value": [x.rstrip("\r\n") for x in part]})
-
-    read = cut(spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "name string, value string"), "pack")
+            for at in batch["path"]:
+                fs, at = (pafs.LocalFileSystem(), "/" + at[5:].lstrip("/")) if at.startswith("file:") else pafs.FileSystem.from_uri(at)
+                with fs.open_input_file(at) as file, zipfile.ZipFile(file) as archive:
+                    for name in archive.namelist():
+                        if name.endswith(("/dataframe.tsv", "/dataframe.schema.json", "-pack.json")):
+                            rows = io.TextIOWrapper(archive.open(name), "utf-8", newline="\n")
+                            while part := rows.readlines(1 << 20):
+                                yield pd.DataFrame({"name": name.rpartition("/")[2], "value": [x.rstrip("\r\n") for x in part]})
+
+    read = cut(spark.read.format("binaryFile").load(path).select("path").mapInPandas(lines, "name string, value string"), "pack")
     folder = new_path(spark, "pack")
     for name, to in (("dataframe.tsv", "data/dataframe.tsv"), ("dataframe.schema.json", "schema/dataframe.schema.json"), ("-pack.json", "all-pack.json")):
         read.where(F.col("name").endswith(name)).select("value").coalesce(1).write.text(f"{folder}/{to}")

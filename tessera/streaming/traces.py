@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.rowsets import numbered
+from tessera.operators.rowsets import in_ranges, numbered, over_parts
 
 EVENT = "trace_id string, sequence long, invocation_id string, occurred_at timestamp, elapsed_ms long, phase string, tool_name string, label string, references array<struct<kind:string,context_id:string,element_id:string,role:string>>, error_code string"
 #: milliseconds after which the attention of a finished event has faded, by phase
@@ -19,10 +19,10 @@ GAP_MS = 1200
 
 def read_traces(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     """Events of JSON-lines files. Each file may begin with a header, whose version must be 1, and end with a torn line,
-    which is dropped; any other line that is no event is an error on use. A stream knows no last line, so it drops
-    what is no event."""
+    which is dropped; any other line that is no event is an error on use. A stream knows no last line: what is no event
+    there comes out of ``rejected_lines``."""
     if stream:
-        return spark.readStream.schema(EVENT).option("mode", "PERMISSIVE").json(folder).where("sequence is not null")
+        return stream_lines(spark, folder).where("kind = 'event'").select("e.*").drop("version", "record_type")
     lines = spark.read.text(folder).where("trim(value) <> ''").select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("o")).alias("place"))
     ends = lines.groupBy("file").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     read = lines.join(ends, "file").withColumn("e", F.from_json("value", f"{EVENT}, version int, record_type string"))
@@ -33,6 +33,20 @@ def read_traces(spark: SparkSession, folder: str, stream: bool = False) -> DataF
     return checked.where("ok").select("e.*").drop("version", "record_type")
 
 
+def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of file, value, e (the line's fields), kind of every line that isn't empty: an event, a header of version
+    1, or rejected (no JSON, no sequence, a header of another version)."""
+    lines = spark.readStream.text(folder).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"), "value")
+    read = lines.withColumn("e", F.from_json("value", f"{EVENT}, version int, record_type string"))
+    header = (F.col("e.version").isNotNull() | F.col("e.record_type").isNotNull()) & (F.coalesce("e.version", F.lit(1)) == 1)
+    return read.withColumn("kind", F.when(F.col("e.sequence").isNotNull(), "event").when(header, "header").otherwise("rejected"))
+
+
+def rejected_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the lines (file, value) that ``read_traces`` leaves out of its stream, but for headers."""
+    return stream_lines(spark, folder).where("kind = 'rejected'").select("file", "value")
+
+
 def write_traces(events: DataFrame, folder: str, header: dict | None = None) -> None:
     """Append-only JSON lines; the folder must be new. With a header, each file begins with it and its version."""
     if header is None:
@@ -52,22 +66,35 @@ def write_traces(events: DataFrame, folder: str, header: dict | None = None) ->
 
 
 def sequence_breaks(events: DataFrame, trace: str, order: str, rising: str) -> DataFrame:
-    """Rows whose ``rising`` is not above that of their predecessor in ``order``."""
-    before = F.lag(rising).over(Window.partitionBy(trace).orderBy(order))
-    return events.withColumn("before", before).where(F.col("before").isNotNull() & (F.col(rising) <= F.col("before")))
+    """Rows whose ``rising`` is not above that of their predecessor in ``order`` (``before``). A trace is compared range by
+    range; a range's first row with the last one of the range before it."""
+    ranges = in_ranges(events, [order], [trace])
+    inside = Window.partitionBy("_part").orderBy(order)
+    ends = ranges.groupBy("_part").agg(F.max_by(rising, F.struct(order)).alias("_end"))
+    carried = ends.select("_part", F.lag("_end").over(over_parts([trace])).alias("_carried"))
+    paired = ranges.withColumns({"_own": F.lag(rising).over(inside), "_first": F.row_number().over(inside) == 1}).join(carried, "_part")
+    found = paired.withColumn("before", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_own"))).drop("_part", "_own", "_first", "_carried")
+    return found.where(F.col("before").isNotNull() & (F.col(rising) <= F.col("before")))
 
 
 def timeline(events: DataFrame, trace: str, at_ms: str, order: str, gap: int = GAP_MS) -> DataFrame:
-    """``events`` with ``shown_ms``: time since the trace began, each pause counted for ``gap`` ms at most."""
-    own = Window.partitionBy(trace).orderBy(at_ms, order)
-    pause = F.least(F.coalesce(F.col(at_ms) - F.lag(at_ms).over(own), F.lit(0)), F.lit(gap))
-    return events.withColumn("_pause", pause).withColumn("shown_ms", F.sum("_pause").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_pause")
+    """``events`` with ``shown_ms``: time since the trace began, each pause counted for ``gap`` ms at most. Ranges of a
+    trace are summed side by side; what stands before each comes from the ranges' totals and the pauses between them."""
+    ranges = in_ranges(events, [at_ms, order], [trace])
+    inside = Window.partitionBy("_part").orderBy(at_ms, order)
+    pause = lambda now, last: F.least(F.coalesce(now - last, F.lit(0)), F.lit(gap))
+    own = ranges.withColumn("_pause", pause(F.col(at_ms), F.lag(at_ms).over(inside))).withColumn("_own", F.sum("_pause").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    totals = own.groupBy("_part").agg(F.min(at_ms).alias("_first"), F.max(at_ms).alias("_last"), F.sum("_pause").alias("_total"))
+    parts = over_parts([trace])
+    stepped = totals.withColumn("_step", pause(F.col("_first"), F.lag("_last").over(parts)))
+    earlier = F.coalesce(F.sum("_total").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = stepped.select("_part", (earlier + F.sum("_step").over(parts.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("_start"))
+    return own.join(starts, "_part").withColumn("shown_ms", F.col("_start") + F.col("_own")).drop("_part", "_pause", "_own", "_start")
 
 
 def batches(events: DataFrame, trace: str, order: list[str], size: int = 25) -> DataFrame:
-    """``events`` with ``batch``: the place in the trace, divided by ``size``."""
-    place = F.row_number().over(Window.partitionBy(trace).orderBy(*order)) - 1
-    return events.withColumn("batch", F.floor(place / size).cast("int"))
+    """``events`` with ``batch``: the place in the trace, divided by ``size``; places are given range by range."""
+    return numbered(events, order, "_place", [trace]).withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("int")).drop("_place")
 
 
 def global_batches(events: DataFrame, order: list[str], size: int = 25) -> DataFrame:

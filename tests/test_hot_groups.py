@@ -1,11 +1,15 @@
 """Groups and keys that hold most rows: the same results as in one piece, dealt over many tasks."""
 
 import random
+import statistics
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import pairs, ranks, summaries
+from tessera.operators.rowsets import in_ranges
+from tessera.streaming import traces
 
 
 def test_a_hot_key_fills_many_tasks(spark):
@@ -46,3 +50,49 @@ def test_ranks_by_window_and_by_ranges_are_the_same(spark, monkeypatch):
     assert both() == small
     monkeypatch.setattr(ranks, "LARGE", 0)
     assert both() == small
+
+
+@pytest.fixture
+def many_ranges(spark):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield spark
+    spark.conf.set(name, was)
+
+
+def _hot_trace(spark):
+    """Events of which one trace has most; times repeat, pause for long and are missing."""
+    rng = random.Random(11)
+    rows, at = [], 0
+    for i in range(400):
+        at += rng.choice([0, 1, 50, 3000])
+        rows.append(("hot" if rng.random() < 0.9 else rng.choice(["a", "b", None]), i, None if i % 97 == 0 else at, rng.randrange(60)))
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "trace string, sequence long, at_ms long, rising long"), rows
+
+
+def test_a_hot_trace_is_read_range_by_range(many_ranges):
+    events, rows = _hot_trace(many_ranges)
+    shown, batch, breaks = {}, {}, set()
+    for t in ["hot", "a", "b", None]:
+        total, last, n = 0, None, 0
+        for _, i, at, _ in sorted((r for r in rows if r[0] == t), key=lambda r: (r[2] is not None, r[2] or 0, r[1])):
+            total += min(1200, at - last) if at is not None and last is not None else 0
+            shown[i], batch[i], last, n = total, n // 25, at, n + 1
+        own = sorted((r for r in rows if r[0] == t), key=lambda r: r[1])
+        breaks |= {(b[1], a[3]) for a, b in zip(own, own[1:]) if b[3] <= a[3]}
+    assert {r.sequence: r.shown_ms for r in traces.timeline(events, "trace", "at_ms", "sequence").collect()} == shown
+    assert {r.sequence: r.batch for r in traces.batches(events, "trace", ["at_ms", "sequence"]).collect()} == batch
+    assert {(r.sequence, r.before) for r in traces.sequence_breaks(events, "trace", "sequence", "rising").collect()} == breaks
+    parts = in_ranges(events, ["sequence"], ["trace"]).where("trace = 'hot'").select("_part").distinct().count()
+    assert parts > 1  # the hot trace did fill several
+
+
+def test_medians_by_places_of_a_hot_transform(many_ranges):
+    rng = random.Random(3)
+    deltas = {"hot": [rng.randrange(50) / 4 for _ in range(301)], "even": [1.0, 2.0, 4.0, 8.0], "once": [1.0]}
+    changes = many_ranges.createDataFrame([(t, x) for t, v in deltas.items() for x in v] + [("even", None)], "transform_id string, delta double")
+    got = {r.transform_id: r for r in pairs.transform_stats_ranked(changes).collect()}
+    assert {t: (r.support, r.median) for t, r in got.items()} == {"hot": (301, round(statistics.median(deltas["hot"]), 6)), "even": (4, 3.0)}
+    assert all(abs(r.sd - statistics.pstdev(deltas[t])) < 1e-5 for t, r in got.items())

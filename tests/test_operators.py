@@ -357,6 +357,20 @@ def test_trace_files_and_stream(spark, tmp_path):
     assert traces.read_traces(spark, str(tmp_path / "out")).count() == 6
 
 
+def test_a_stream_tells_what_it_rejects(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    event = json.dumps({"trace_id": "t", "sequence": 1, "invocation_id": "i", "phase": "STARTED"})
+    bad = ['{"torn', '{"trace_id": "t"}', '{"version": 2}', "null"]
+    (folder / "a.jsonl").write_text("\n".join(['{"version": 1, "record_type": "header"}', event, "", *bad]) + "\n")
+    for name, stream in (("kept", traces.read_traces(spark, str(folder), stream=True)), ("rejected", traces.rejected_lines(spark, str(folder)))):
+        run = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        run.awaitTermination(120)
+    assert [r.sequence for r in spark.table("kept").collect()] == [1]
+    assert sorted(r.value for r in spark.table("rejected").collect()) == sorted(bad)
+    assert all(r.file.endswith("a.jsonl") for r in spark.table("rejected").collect())
+
+
 def test_all_neighbours_are_ranked_by_value(spark):
     edges = spark.createDataFrame([(0, i) for i in range(1, 1102)] + [(i, i + 1) for i in range(1, 1100)], "source long, target long")
     near = graphs.neighbourhood(edges, spark.createDataFrame([(0,)], "node long"), None)
