@@ -12,7 +12,7 @@ its digest is an error.
 
 Edge cases: null html is an empty payload. Null url: the record has no target (``about:blank``). A null
 page_id is below all others; in a group without any page_id all are responses. Rows that repeat the largest
-page_id of their group are all responses. Control characters in a url are percent-encoded. Other columns are
+page_id of their group are all responses. A group that holds a large part of the pages isn't shuffled by its digest. Control characters in a url are percent-encoded. Other columns are
 not read; no pages, no archives and no records. A very long payload is compressed and read in one piece.
 """
 
@@ -34,6 +34,8 @@ from tessera.sources.shared import cut, new_path
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
 RANGE_BYTES = 8 << 20
+#: groups of equal payloads that hold more than this part of all grouped pages are broadcast: no more than so many can
+HOT_GROUPS = 10_000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RECORD_DATE = "2024-01-01T00:00:00Z"
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -88,10 +90,15 @@ def write_warc(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
     """Archives of ``pages`` (page_id, url, html) in ``folder``; returns path, bytes, records of each."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     keyed = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.concat(F.sha1("payload"), F.lit(":"), F.octet_length("payload").cast("string"))))
-    groups = keyed.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "largest")
-    # pages that take no part in revisits have keys of their own, so they don't meet in one task
-    keyed = keyed.withColumn("digest", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("page_id", "url", "payload").cast("string"))))
-    roles = keyed.join(groups, "digest", "left").select("page_id", "url", "payload", F.when(~F.col("largest").eqNullSafe(F.col("page_id")), F.col("largest")).alias("refers_to"))
+    groups = cut(keyed.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).where("n > 1"), "digests")
+    common = F.col("n") * HOT_GROUPS > (groups.agg(F.sum("n")).first()[0] or 0)
+    hot = groups.where(common).select("digest", F.col("largest").alias("hot_largest"), F.lit(True).alias("hot"))
+    met = keyed.join(F.broadcast(hot), "digest", "left")
+    # pages of common payloads, and those that take no part in revisits, have keys of their own, so they don't meet in one task
+    own = F.concat(F.lit("-"), F.xxhash64("page_id", "url", "payload").cast("string"))
+    met = met.withColumn("digest", F.when(F.col("hot").isNull() & F.col("digest").isNotNull(), F.col("digest")).otherwise(own))
+    largest = F.coalesce("hot_largest", "largest")
+    roles = met.join(groups.where(~common).select("digest", "largest"), "digest", "left").select("page_id", "url", "payload", F.when(~largest.eqNullSafe(F.col("page_id")), largest).alias("refers_to"))
     return cut(roles.mapInArrow(_write(folder), "path string, bytes long, records long"), "archives")
 
 
@@ -104,7 +111,7 @@ class Source:
     """Bytes of a file, read on in chunks from any place."""
 
     def __init__(self, file, start: int):
-        self.file, self.base, self.data = file, start, b""
+        self.file, self.base, self.data = file, start, bytearray()
 
     def fill(self, upto: int) -> bool:
         """Hold the bytes before offset ``upto``, if the file has them."""
@@ -117,7 +124,8 @@ class Source:
 
     def drop(self, before: int) -> None:
         if before - self.base > CHUNK:
-            self.data, self.base = self.data[before - self.base :], before
+            del self.data[: before - self.base]
+            self.base = before
 
 
 def _member(source: Source, at: int) -> tuple[bytes, int] | None:

@@ -266,6 +266,21 @@ def test_warc_edges(spark):
     assert got == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("groups", [1, warc.HOT_GROUPS])
+def test_common_payloads_and_a_very_long_one(spark, monkeypatch, groups):
+    """The copies of one page are most of all pages, some groups are pairs; with 1 only the first isn't met by digest."""
+    monkeypatch.setattr(warc, "HOT_GROUPS", groups * 2)
+    rng = random.Random(4)
+    texts = ["y" * 1200] * 300 + [f"{i // 2}" * 1100 for i in range(20)] + ["short"] * 40 + [rng.randbytes(3 << 20).hex()]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(spark, pages).collect()}
+    last = {t: i for i, t in enumerate(texts)}
+    for i, t in enumerate(texts):
+        to = last[t] if len(t) >= 1000 and last[t] != i else None
+        assert got[i] == (len(t), hashlib.sha1(t.encode()).hexdigest(), "response" if to is None else "revisit", to)
+    assert len(got) == len(texts)
+
+
 def test_every_record_has_one_owner(tmp_path):
     rng = random.Random(2)
     records = [warc.warc_record(i, f"http://h/{i}", rng.randbytes(rng.randrange(3000)) + warc.MAGIC * 3, None) for i in range(80)]
@@ -545,6 +560,15 @@ def test_url_rules_against_all_rules(spark):
         assert got[i] == (host, path, best[1], best[2]), u
 
 
+def test_no_url_rules_and_a_very_long_host(spark):
+    host = ".".join(["x" * 50] * 4000) + ".net"
+    pages = spark.createDataFrame([(1, "http://a.com/"), (2, f"http://{host}/es/1"), (3, None)], "page_id long, url string")
+    none = spark.createDataFrame([], url_filter.RULE_SCHEMA)
+    assert {(r.page_id, r.rule, r.verdict) for r in url_filter.judge(pages, none).collect()} == {(1, None, "allow"), (2, None, "allow"), (3, None, "allow")}
+    got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.default_rules(spark)).collect()}
+    assert got == {1: ("a.com", "com/", "allow"), 2: (host, "net/es/", "block"), 3: ("", None, "allow")}
+
+
 # -- 9
 
 
@@ -581,6 +605,13 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_a_language_for_every_row(spark):
+    rows = [(i, f"w{chr(97 + i % 26)}{i} text of its own", f"l{i:02d}") for i in range(40)]
+    got = language.language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    learned = {r.doc_id for r in got if not r.held_out}
+    assert len(got) == 40 and all(int(r.lang_pred[1:]) in learned and 0 <= r.score <= 1 for r in got)
+
+
 def test_language_edges(spark):
     got = {r.doc_id: r for r in language.language(docs_with_edges(spark)).collect()}
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (9001, 9002, 9003, 9005))
