@@ -34,6 +34,8 @@ from tessera.sources.shared import cut, new_path
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
 RANGE_BYTES = 8 << 20
+#: tasks that read archives, at most; each takes its ranges one after the other
+READ_TASKS = 1 << 15
 #: groups of equal payloads that hold more than this part of all grouped pages are broadcast: no more than so many can
 HOT_GROUPS = 10_000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -214,7 +216,9 @@ def read_warc(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYTES,
     """The records of the listed archives (path, bytes), read by byte ranges."""
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
     ranges = archives.select("path", "bytes", F.explode(starts).alias("start")).select("path", "start", F.least(F.col("start") + range_bytes, F.col("bytes")).alias("stop"))
-    return ranges.repartition(F.xxhash64("path", "start")).mapInArrow(_read(folder, with_payload), RECORD)
+    # a stated number of tasks: by the size of these rows, which only name the bytes to read, few would do
+    tasks = min(ranges.count(), READ_TASKS) or 1
+    return ranges.repartition(tasks, F.xxhash64("path", "start")).mapInArrow(_read(folder, with_payload), RECORD)
 
 
 def page_of(record_id: Column) -> Column:

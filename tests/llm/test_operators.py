@@ -281,6 +281,11 @@ def test_common_payloads_and_a_very_long_one(spark, monkeypatch, groups):
     assert len(got) == len(texts)
 
 
+def test_ranges_of_archives_are_read_by_many_tasks(spark):
+    archives = spark.createDataFrame([(f"a{i}", 1000) for i in range(4)], "path string, bytes long")
+    assert warc.read_warc(archives, "file:///tmp", 100).rdd.getNumPartitions() == 40
+
+
 def test_every_record_has_one_owner(tmp_path):
     rng = random.Random(2)
     records = [warc.warc_record(i, f"http://h/{i}", rng.randbytes(rng.randrange(3000)) + warc.MAGIC * 3, None) for i in range(80)]
