@@ -7,10 +7,12 @@ word's label probabilities in the context of its whole text; a text's language h
 its words with letters, and that mean is the score.
 
 The field is fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled rows, those of each language with
-the least hash of (doc_id, text), and of their texts at most ``SAMPLE_STRETCHES`` stretches of ``STRETCH`` words. Everything else covers all rows and whole texts. All texts of a
-slice move together, so a long one is read in whole.
+the least hash of (doc_id, text), and of their texts at most ``SAMPLE_STRETCHES`` stretches of ``STRETCH`` words (of
+``STRETCH_CHARS`` characters, if words are longer), again those with the least hash. Tasks cut them, so what reaches the
+driver is bounded whatever the length of a text. Everything else covers all rows and whole texts. All texts of a slice
+move together, so a long one is read in whole.
 
-Edge cases: null text or text without a letter is ``und`` with score 0. Without any labelled row every text
+Edge cases: null text or text without a letter is ``und`` with score 0. Without any word in a labelled row every text
 is ``und``. A null doc_id isn't held out and isn't learned from. Rows with null lang are predicted, not
 learned from. Repeated rows get equal results; extra columns aren't read; an empty table gives no rows.
 """
@@ -37,6 +39,7 @@ SLOT_BITS = 15
 LEXICON = 400
 STEPS = 24
 STRETCH = 24  # words of one language in a training sequence
+STRETCH_CHARS = 4096
 UNDETERMINED = "und"
 
 
@@ -131,9 +134,21 @@ def switches(before: np.ndarray, step: np.ndarray, after: np.ndarray) -> np.ndar
     return out
 
 
-def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text, lang of at most ``rows`` labelled rows: of each language those with the least hash, dealt out
-    evenly, so that a rare language has its share."""
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of each text (text, lang, h), numbered."""
+    for batch in batches:
+        for part in slices(batch):
+            offsets, codes, vocabulary = words(part.column("text"))
+            held = -(-np.diff(offsets) // STRETCH)
+            row, number = np.repeat(np.arange(len(held)), held), ragged(np.zeros(len(held), np.int64), held)
+            edges = np.append(offsets[row] + number * STRETCH, len(codes))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), vocabulary.take(pa.array(codes))), " ")
+            yield pa.RecordBatch.from_arrays([pc.utf8_slice_codeunits(joined, 0, STRETCH_CHARS), part.column("lang").take(pa.array(row)), part.column("h").take(pa.array(row)), pa.array(number)], names=["text", "lang", "h", "number"])
+
+
+def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, stretches: int = SAMPLE_STRETCHES) -> DataFrame:
+    """text, lang of at most ``stretches`` stretches, in the order of their hashes, from at most ``rows`` labelled rows: of
+    each language those with the least hash, dealt out evenly, so that a rare language has its share."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     hashed = known.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
     # a frequent language's hashes are cut to about four times ``rows`` before they meet in one window
@@ -144,11 +159,13 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = least.withColumn("place", place).where(F.col("place") <= rows).orderBy("place", "h", "lang").limit(rows).select("lang", "h").distinct()
     # no more than ``rows`` keys go out; texts move only once they are chosen
-    return hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("h", "lang").select("text", "lang")
+    whole = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    cut_up = whole.select("text", "lang", "h").mapInArrow(_stretches, "text string, lang string, h long, number long")
+    return cut_up.orderBy(F.xxhash64("h", "number"), "h", "lang", "number").limit(stretches).select("text", "lang")
 
 
 def fit(sample: pa.Table) -> Field | None:
-    """A field fitted to the sample's (text, lang) by gradient steps on the conditional likelihood."""
+    """A field fitted to the sample's stretches (text, lang) by gradient steps on the conditional likelihood."""
     languages = sorted(set(sample["lang"].to_pylist()))
     if not languages:
         return None
@@ -173,16 +190,8 @@ def fit(sample: pa.Table) -> Field | None:
     field = Field(languages, np.zeros((1 << SLOT_BITS, k)), lexicon, member, np.zeros((k, k)), np.ones((k, k)) / k, np.ones(k) / k)
     if k == 1 or not len(codes):
         return field
-    # sequences that take stretches of words from all texts, in an order that mixes languages
-    stretches = -(-n // STRETCH)
-    row = np.repeat(np.arange(len(n)), stretches)
-    begin = offsets[row] + ragged(np.zeros(len(n), np.int64), stretches) * STRETCH
-    length = np.minimum(STRETCH, offsets[row + 1] - begin)
-    shuffle = np.argsort(mix(np.arange(len(begin), dtype=np.uint64), 5))[:SAMPLE_STRETCHES]
-    begin, length = begin[shuffle], length[shuffle]
-    order = ragged(begin, length)
-    codes, label = codes[order], label[order]
-    marks = np.concatenate([[0], np.cumsum(length)])
+    # sequences of two stretches each, whose order mixes languages
+    marks = np.concatenate([[0], np.cumsum(n[n > 0])])
     chains = np.unique(np.concatenate([marks[:: 2], marks[-1:]]))
     counts, at = word_features(vocabulary)
     word = np.repeat(np.arange(len(vocabulary)), counts)

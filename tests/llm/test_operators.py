@@ -617,6 +617,18 @@ def test_a_language_for_every_row(spark):
     assert len(got) == 40 and all(int(r.lang_pred[1:]) in learned and 0 <= r.score <= 1 for r in got)
 
 
+def test_training_stretches_are_bounded(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (1, 24, 25, 5000)] + ["x" * 50_000, "  ", ""]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)] + [(8, None, "a")], "doc_id long, text string, lang string")
+    learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5]
+    want = Counter(" ".join(w[k : k + 24])[: language.STRETCH_CHARS] for w in (t.split() for t in learned) for k in range(0, len(w), 24))
+    got = [r.text for r in language.training_sample(docs).collect()]
+    assert Counter(got) == want
+    few = [r.text for r in language.training_sample(docs, stretches=10).collect()]
+    assert few == got[:10] and sum(map(len, few)) <= 10 * language.STRETCH_CHARS
+
+
 def test_language_edges(spark):
     got = {r.doc_id: r for r in language.language(docs_with_edges(spark)).collect()}
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (9001, 9002, 9003, 9005))
