@@ -64,3 +64,30 @@ def test_similarity_of_few_rows(spark):
     assert similarity.over_threshold(one, "vec_id", "embedding", -1.0).count() == 0
     zero = frame(spark, [1, 2, 3], [[0.0, 0.0], [0.0, 0.0], [1.0, 0.0]])
     assert [tuple(r) for r in similarity.over_threshold(zero, "vec_id", "embedding", 0.0).orderBy("source", "target").collect()] == [(1, 2, 0.0), (1, 3, 0.0), (2, 3, 0.0)]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_edges_are_told_where_they_are_found(spark, monkeypatch, repeated):
+    rng = np.random.default_rng(11)
+    v, ids = clustered(rng, 300, 7, 0.3), np.arange(300) * 2
+    given = frame(spark, [*ids, 8] if repeated else ids, [*v, v[4]] if repeated else v)
+    want = all_pairs(ids, v)
+    near = {(a, b) for a in ids.tolist() for _, b in sorted((-want[a, b], b) for b in ids.tolist() if b != a)[:3]}
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
+    got = {(r.source, r.target): r for r in similarity.graph(given, "vec_id", "embedding", "hybrid", 3, 0.9).collect()}
+    pairs = {p for p, s in want.items() if p[0] < p[1] and (s >= 0.9 or p in near or p[::-1] in near)}
+    for p in pairs if not repeated else {p for p in pairs if 8 not in p}:
+        r, n = got[p], (p in near) + (p[::-1] in near)
+        assert r.similarity == pytest.approx(want[p], abs=2e-6) and (repeated or r.mutual == (n == 2))
+        assert repeated or r.origin == ("hybrid" if n and want[p] >= 0.9 else "knn" if n else "threshold")
+    assert repeated or got.keys() == pairs
+
+
+def test_a_block_moves_once_for_each_tile(spark):
+    rows = similarity._rows(frame(spark, np.arange(4000), np.random.default_rng(5).normal(size=(4000, 12))), "vec_id", "embedding")
+    blocks = similarity.blocks_of(rows, 4000, 8)
+    pairs = similarity.block_pairs(blocks, None, -1.0)
+    size, n = similarity._group_blocks(4000, 8), blocks.count()
+    tiles = similarity._tiles(blocks, pairs, 4000, 8)
+    assert size == 16 and n * (n + 1) // 2 == tiles.select(F.sum(F.size("partners"))).first()[0]
+    assert tiles.count() < n * (n + 1) / size  # pairs of blocks sent two each
