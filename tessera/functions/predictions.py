@@ -78,6 +78,12 @@ def with_status(rows: DataFrame, row_id: str, status: str, wanted: str) -> DataF
     return rows.where(F.col(status) == wanted).select(F.col(row_id).alias("row_id"), F.col(row_id).alias("ordinal")).distinct()
 
 
+def spread(rows: DataFrame, a_core: int = 4) -> DataFrame:
+    """``rows`` dealt over all cores, however few files or splits they are read from: predicting costs far more than moving
+    a row's inputs."""
+    return rows.repartition(a_core * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 RESULT = "value double, uncertainty double, applicability double, status string, message string"
 
 
@@ -88,16 +94,27 @@ def batched(function: Callable[[pd.Series], pd.DataFrame], in_domain: float = 0.
     applicability a row is ``OUT_OF_DOMAIN``."""
 
     def tried(part: pd.Series) -> pd.DataFrame:
-        try:
-            made = function(part).reset_index(drop=True)
-            if len(made) != len(part):
-                raise ValueError(f"{len(made)} results for {len(part)} rows")
-            return made[["value", "uncertainty", "applicability"]].astype(float).assign(message=None)
-        except Exception as e:
-            if len(part) == 1:
-                return pd.DataFrame({"value": [np.nan], "uncertainty": [np.nan], "applicability": [np.nan], "message": [f"{type(e).__name__}: {e}"]})
-            half = len(part) // 2
-            return pd.concat([tried(part[:half]), tried(part[half:])], ignore_index=True)
+        found, messages = np.full((len(part), 3), np.nan), np.full(len(part), None, object)
+
+        def ran(first: int, end: int, fails: bool) -> bool:
+            """Whether rows first to end ran as one batch; one that is known to fail is halved untried."""
+            if not fails or end - first == 1:
+                try:
+                    made = function(part[first:end].reset_index(drop=True))
+                    if len(made) != end - first:
+                        raise ValueError(f"{len(made)} results for {end - first} rows")
+                    found[first:end] = made[["value", "uncertainty", "applicability"]].astype(float).to_numpy()
+                    return True
+                except Exception as e:
+                    if end - first == 1:
+                        messages[first] = f"{type(e).__name__}: {e}"
+                        return False
+            half = first + (end - first) // 2
+            ran(half, end, ran(first, half, False))  # after a sound first half the second holds what fails
+            return False
+
+        ran(0, len(part), False)
+        return pd.DataFrame(found, columns=["value", "uncertainty", "applicability"]).assign(message=messages)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -169,3 +169,22 @@ def test_numbers_within_groups_over_ranges(spark):
     for g in ("a", None):
         own = sorted((-v, i) for x, v, i in rows if x == g)
         assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+
+
+def test_a_failing_batch_is_not_tried_where_it_must_fail(spark):
+    calls = []
+
+    def function(part):
+        calls.append(len(part))
+        if (part == "bad").any():
+            raise ValueError("unlucky")
+        return pd.DataFrame({"value": [1.0] * len(part), "uncertainty": 0.5, "applicability": 1.0})
+
+    run = predictions.batched(function).func
+    out = next(iter(run(iter([pd.Series(["good"] * 1023 + ["bad"])]))))
+    assert (out["status"] == "SUCCESS").sum() == 1023 and out["message"].iloc[-1] == "ValueError: unlucky" and out["value"].iloc[-1] is None
+    assert len(calls) == 12  # the whole, ten sound halves, the row itself
+
+
+def test_predictions_are_spread_over_cores(spark):
+    assert predictions.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
