@@ -47,13 +47,22 @@ def neighbourhood(edges: DataFrame, centres: DataFrame, limit: int | None = 50)
 
 
 def collapsed(edges: DataFrame, centres: DataFrame) -> DataFrame:
-    """Per neighbour of a centre: edges, different transforms and the deltas' statistics."""
-    ends = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), "transform_id", "delta").unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), "transform_id", "delta"))
-    near = ends.join(centres.select("node"), "node", "left_semi")
-    return near.groupBy(F.col("node").alias("centre"), "other").agg(
-        F.count(F.lit(1)).alias("edges"), F.count_distinct("transform_id").alias("transforms"), half_up(F.avg("delta")).alias("mean_delta"),
-        half_up(F.median("delta")).alias("median_delta"), half_up(F.min("delta")).alias("min_delta"), half_up(F.max("delta")).alias("max_delta"),
+    """Per neighbour of a centre: edges, different transforms and the deltas' statistics. An edge moves once, to its pair
+    of nodes; the pair is summed once, from sorted rows, and stands at both of its nodes."""
+    pair = ["low", "high"]
+    ends = edges.select(F.least("source", "target").alias("low"), F.greatest("source", "target").alias("high"), "transform_id", "delta").repartition(*pair)
+    own = Window.partitionBy(*pair)
+    other = F.col("transform_id").isNotNull() & ~F.col("transform_id").eqNullSafe(F.lag("transform_id").over(own.orderBy("transform_id")))
+    placed = ends.withColumn("other", other).withColumns({"place": F.row_number().over(own.orderBy(F.asc_nulls_last("delta"))), "n": F.count("delta").over(own)})
+    middle = F.when((2 * F.col("place") >= F.col("n")) & (2 * F.col("place") <= F.col("n") + 2) & ((F.col("n") % 2 == 0) | (2 * F.col("place") == F.col("n") + 1)), F.col("delta"))
+    summed = placed.groupBy(*pair).agg(
+        F.count(F.lit(1)).alias("edges"), F.count_if("other").alias("transforms"), half_up(F.avg("delta")).alias("mean_delta"),
+        half_up(F.avg(middle)).alias("median_delta"), half_up(F.min("delta")).alias("min_delta"), half_up(F.max("delta")).alias("max_delta"),
     )
+    ways = [F.struct(F.col(a).alias("centre"), F.col(b).alias("other")) for a, b in (pair, pair[::-1])]
+    loop = F.col("low") == F.col("high")  # stands twice at its one node
+    both = summed.withColumn("edges", F.when(loop, 2 * F.col("edges")).otherwise(F.col("edges"))).select("*", F.inline(F.when(loop, F.array(ways[0])).otherwise(F.array(*ways)))).drop(*pair)
+    return both.join(centres.select(F.col("node").alias("centre")), "centre", "left_semi").select("centre", "other", "edges", "transforms", "mean_delta", "median_delta", "min_delta", "max_delta")
 
 
 def inner_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -188,3 +188,13 @@ def test_a_failing_batch_is_not_tried_where_it_must_fail(spark):
 
 def test_predictions_are_spread_over_cores(spark):
     assert predictions.spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_collapsed_neighbours_move_each_edge_once(spark):
+    rows = [(1, 2, "t", 1.0), (2, 1, "u", 4.0), (1, 2, "t", 2.0), (3, 1, None, None), (1, 3, "v", 7.0), (4, 4, "w", 5.0), (5, 6, None, None)]
+    edges = spark.createDataFrame(rows, "source long, target long, transform_id string, delta double")
+    found = graphs.collapsed(edges, spark.createDataFrame([(1,), (2,), (4,), (6,)], "node long"))
+    got = {(r.centre, r.other): tuple(r)[2:] for r in found.collect()}
+    assert got == {(1, 2): (3, 2, 2.333333, 2.0, 1.0, 4.0), (2, 1): (3, 2, 2.333333, 2.0, 1.0, 4.0), (1, 3): (2, 1, 7.0, 7.0, 7.0, 7.0), (4, 4): (2, 1, 5.0, 5.0, 5.0, 5.0), (6, 5): (1, 0, None, None, None, None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Expand" not in plan
