@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite, half_up
 from tessera.operators import ranks
-from tessera.operators.rowsets import at_most, numbered
+from tessera.operators.rowsets import at_most, in_ranges, over_parts
 from tessera.sources.shared import cut
 
 #: pairs that must be decided before a direction can be tested
@@ -85,11 +85,19 @@ def transform_stats(pairs: DataFrame, by: list[str] | None = None, least: int =
 
 def transform_stats_ranked(pairs: DataFrame, least: int = 2) -> DataFrame:
     """The same median and deviation by the places of all rows and mergeable moments, as a check of ``transform_stats``.
-    Places are given range by range, and only middle rows meet their transform, so none is one task."""
-    ranked = numbered(pairs.where("delta is not null").select("transform_id", "delta"), ["delta"], "r", ["transform_id"])
-    moments = ranked.groupBy("transform_id").agg(F.count(F.lit(1)).alias("support"), half_up(F.stddev_pop("delta")).alias("sd")).where(F.col("support") >= least)
-    middles = moments.select("transform_id", F.explode(F.array_distinct(F.array(F.expr("(support + 1) div 2"), F.expr("(support + 2) div 2")))).alias("r"))
-    median = ranked.join(middles, ["transform_id", "r"]).groupBy("transform_id").agg(half_up(F.avg("delta")).alias("median"))
+    Equal deltas are counted before they move and the counts are stored, so the pairs are made once. Places are given range
+    by range, and only middle rows meet their transform, so none is one task."""
+    held = cut(pairs.where("delta is not null").groupBy("transform_id", "delta").agg(F.count(F.lit(1)).alias("n")), "deltas")
+    ranges = in_ranges(held, ["delta"], ["transform_id"])
+    before = ranges.groupBy("_part").agg(F.sum("n").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(over_parts(["transform_id"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.sum("n").over(Window.partitionBy("_part").orderBy("delta").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = ranges.withColumn("_own", own).join(before, "_part").select("transform_id", "delta", "n", (F.col("_before") + F.col("_own")).alias("last"))
+    means = held.groupBy("transform_id").agg(F.sum("n").alias("support"), (F.sum(F.col("n") * F.col("delta")) / F.sum("n")).alias("mean")).where(F.col("support") >= least)
+    away = F.sum(F.col("n") * (F.col("delta") - F.col("mean")) ** 2)
+    moments = held.join(means, "transform_id").groupBy("transform_id", "support").agg(half_up(F.sqrt(away / F.col("support"))).alias("sd"))
+    middles = moments.select("transform_id", F.explode(F.array(F.expr("(support + 1) div 2"), F.expr("(support + 2) div 2"))).alias("r"))
+    at = (F.col("r") > F.col("last") - F.col("n")) & (F.col("r") <= F.col("last"))
+    median = ranked.join(middles, "transform_id").where(at).groupBy("transform_id").agg(half_up(F.avg("delta")).alias("median"))
     return moments.join(median, "transform_id").select("transform_id", "support", "median", "sd")
 
 

@@ -96,3 +96,12 @@ def test_medians_by_places_of_a_hot_transform(many_ranges):
     got = {r.transform_id: r for r in pairs.transform_stats_ranked(changes).collect()}
     assert {t: (r.support, r.median) for t, r in got.items()} == {"hot": (301, round(statistics.median(deltas["hot"]), 6)), "even": (4, 3.0)}
     assert all(abs(r.sd - statistics.pstdev(deltas[t])) < 1e-5 for t, r in got.items())
+
+
+def test_ranked_stats_count_equal_deltas_before_they_move(spark, monkeypatch):
+    sizes = []
+    in_ranges = pairs.in_ranges
+    monkeypatch.setattr(pairs, "in_ranges", lambda rows, *x: sizes.append(rows.count()) or in_ranges(rows, *x))
+    deltas = [("a", 1.0)] * 500 + [("a", 3.0)] * 500 + [("b", 2.0)] * 3 + [("b", 5.0)] * 2 + [("c", 1.0)]
+    got = {r.transform_id: tuple(r)[1:] for r in pairs.transform_stats_ranked(spark.createDataFrame(deltas, "transform_id string, delta double")).collect()}
+    assert got == {"a": (1000, 2.0, 1.0), "b": (5, 2.0, 1.469694)} and sizes == [5]
