@@ -91,3 +91,24 @@ def test_a_block_moves_once_for_each_tile(spark):
     tiles = similarity._tiles(blocks, pairs, 4000, 8)
     assert size == 16 and n * (n + 1) // 2 == tiles.select(F.sum(F.size("partners"))).first()[0]
     assert tiles.count() < n * (n + 1) / size  # pairs of blocks sent two each
+
+
+def test_floors_come_from_the_blocks_around(spark):
+    v = clustered(np.random.default_rng(3), 640, 3, 0.5)
+    rows = similarity._rows(frame(spark, np.arange(640), v), "vec_id", "embedding")
+    own = similarity._with_own(similarity.blocks_of(rows, 640, 16).coalesce(1), 4).collect()
+    want, met = all_pairs(np.arange(640), v), 0
+    for b in own:
+        for i, floor in zip(b.rows, b.own):
+            assert floor <= sorted((want[i, j] for j in range(640) if j != i), reverse=True)[3] + 1e-9
+            inside = sorted((want[i, j] for j in b.rows if j != i), reverse=True)
+            met += len(inside) < 4 or floor > inside[3] + 1e-9
+    assert met > 320  # a floor of the own block alone is below what other blocks have
+
+
+def test_thresholds_are_decided_in_doubles(spark):
+    angle = np.arccos(0.8) + np.arange(-40, 40) * 2.5e-7  # closer than single precision tells
+    v = np.array([[1.0, 0.0], *np.column_stack([np.cos(angle), np.sin(angle)])])
+    want = {p[1] for p, s in all_pairs(np.arange(81), v).items() if p[0] == 0 and s >= 0.8}
+    got = similarity.over_threshold(frame(spark, np.arange(81), v), "vec_id", "embedding", 0.8).where("source = 0")
+    assert 0 < len(want) < 80 and {r.target for r in got.collect()} == want
