@@ -73,8 +73,9 @@ def inner_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     """node, distance, parent: hops from the start nodes, at most ``most``. Each level joins its frontier with
-    the edges and drops what was reached before; a node's parent is its smallest neighbour one level up."""
-    step = cut(both_ways(edges).where("node <> other").distinct(), "edges")
+    the edges and drops what was reached before; a node's parent is its smallest neighbour one level up. Edges are stored as
+    they stand, and turned round as they are read; a level's grouping drops what repeats."""
+    step = both_ways(cut(edges.select("source", "target").where("source <> target"), "edges"))
     found = cut(start.select("node", F.lit(0).alias("distance"), F.lit(None).cast("long").alias("parent")).distinct(), "reached")
     frontier = found
     for hop in range(1, most + 1):
