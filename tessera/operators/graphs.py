@@ -124,7 +124,8 @@ def shortest_path(edges: DataFrame, source: int, target: int, most: int = 0) ->
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node): least labels over edges, with a jump to the label's label."""
-    step = cut(both_ways(edges).where("node <> other").distinct(), "edges")
+    own = cut(edges.select("source", "target"), "edges")  # they are read from either end, but made once
+    step = cut(both_ways(own).where("node <> other").distinct(), "edges")
     label = cut(step.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")), "labels")
     while True:
         heard = step.join(label.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("heard"))

@@ -27,3 +27,6 @@ def test_edges_are_stored_as_they_stand(spark, drawn, monkeypatch):
         front = {n for a, b in drawn for n, m in ((a, b), (b, a)) if m in front} - want.keys()
         want |= dict.fromkeys(front, max(want.values()) + 1)
     assert found == want and [df.count() for name, df in stored if name == "edges"] == [2 * len(drawn)]
+    stored.clear()
+    graphs.components(edges)
+    assert stored[0][1].columns == ["source", "target"]  # made once, though read from either end
