@@ -36,14 +36,28 @@ def similarity_stats(edges: DataFrame) -> DataFrame:
     return values.agg(ranks.count().alias("edges"), F.coalesce(F.sum("both"), F.lit(0)).alias("mutual"), half_up(F.min("x")).alias("min"), *quartiles, half_up(F.max("x")).alias("max"))
 
 
-def neighbourhood(edges: DataFrame, centres: DataFrame, limit: int | None = 50) -> DataFrame:
-    """centre, other, degree, rank: neighbours by degree (of the whole graph), then id. Without a limit all, unranked."""
-    near = both_ways(edges).join(centres.select(F.col("node")), "node", "left_semi").distinct()
-    ranked = near.join(degrees(edges).select(F.col("node").alias("other"), "degree"), "other")
+def neighbours(edges: DataFrame, nodes: DataFrame, once: bool = False) -> DataFrame:
+    """centre, other for each different edge from either end, with the other columns of ``nodes`` (node once, ...) for both as
+    centre_<column> and other_<column>; edges with an end that isn't there are left out. An edge moves once to either end, and
+    is turned round only then. ``once`` says that no two edges have the same ends, as in a similarity graph; others are made
+    different first."""
+    columns = [c for c in nodes.columns if c != "node"]
+    end = lambda n: nodes.select(F.col("node").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in columns])
+    pairs = edges.where("source is not null and target is not null").select(F.least("source", "target").alias("low"), F.greatest("source", "target").alias("high"))
+    met = (pairs if once else pairs.distinct()).join(end("low"), "low").join(end("high"), "high")
+    ways = [F.struct(F.col(a).alias("centre"), F.col(b).alias("other"), *[F.col(f"{n}_{c}").alias(f"{as_}_{c}") for n, as_ in ((a, "centre"), (b, "other")) for c in columns]) for a, b in (("low", "high"), ("high", "low"))]
+    return met.select(F.inline(F.when(F.col("low") == F.col("high"), F.array(ways[0])).otherwise(F.array(*ways))))
+
+
+def neighbourhood(edges: DataFrame, centres: DataFrame, limit: int | None = 50, once: bool = False) -> DataFrame:
+    """centre, other, degree, rank: neighbours by degree (of the whole graph), then id. Without a limit all, unranked. ``once``
+    as in ``neighbours``."""
+    nodes = degrees(edges).select("node", "degree").join(centres.select("node").distinct().withColumn("wanted", F.lit(True)), "node", "left")
+    ranked = neighbours(edges, nodes, once).where("centre_wanted").select("centre", "other", F.col("other_degree").alias("degree"))
     if limit is None:
-        return ranked.select(F.col("node").alias("centre"), "other", "degree")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("degree"), "other"))
-    return ranked.withColumn("rank", rank).where(F.col("rank") <= limit).select(F.col("node").alias("centre"), "other", "degree", "rank")
+        return ranked
+    rank = F.row_number().over(Window.partitionBy("centre").orderBy(F.desc("degree"), "other"))
+    return ranked.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
 def collapsed(edges: DataFrame, centres: DataFrame) -> DataFrame:

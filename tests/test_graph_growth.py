@@ -17,6 +17,25 @@ def frame(spark, edges):
     return spark.createDataFrame(edges, "source long, target long")
 
 
+@pytest.mark.parametrize("once", [True, False])
+def test_neighbours_carry_both_ends(spark, drawn, once):
+    given = drawn if once else [*drawn, *[(b, a) for a, b in drawn[:20]], drawn[0], (3, 3), (None, 5)]
+    nodes = spark.createDataFrame([(n, n * 10) for n in range(39)], "node long, x long")
+    got = sorted(tuple(r) for r in graphs.neighbours(frame(spark, given), nodes, once).select("centre", "other", "centre_x", "other_x").collect())
+    both = {(a, b) for a, b in given if a is not None} | {(b, a) for a, b in given if a is not None}
+    assert got == sorted((a, b, a * 10, b * 10) for a, b in both if a < 39 and b < 39)
+
+
+def test_neighbours_of_some_centres_are_ranked(spark, drawn):
+    edges, centres = frame(spark, [*drawn, drawn[0][::-1]]), spark.createDataFrame([(1,), (2,), (99,)], "node long")
+    ends = [n for e in [*drawn, drawn[0]] for n in e]
+    want = []
+    for c in (1, 2):
+        near = {b for a, b in drawn if a == c} | {a for a, b in drawn if b == c}
+        want += [(c, o, ends.count(o), r) for r, o in enumerate(sorted(near, key=lambda o: (-ends.count(o), o))[:3], 1)]
+    assert sorted(tuple(r) for r in graphs.neighbourhood(edges, centres, 3).collect()) == sorted(want)
+
+
 def test_edges_are_stored_as_they_stand(spark, drawn, monkeypatch):
     stored, cut = [], graphs.cut
     monkeypatch.setattr(graphs, "cut", lambda df, name: stored.append((name, out := cut(df, name))) or out)
