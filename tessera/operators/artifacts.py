@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import finite, half_up
+from tessera.operators.graphs import degrees, neighbours
 from tessera.operators.rowsets import page
 from tessera.sources.tables import save_artifact
 
@@ -85,14 +86,26 @@ def most_measured(values: DataFrame, group: str, count: str, most: int = 80) ->
     return dated.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
+def _closest(met: DataFrame, most: int) -> DataFrame:
+    """Neighbours (centre, other, degree, cv, ov) by how close both values are."""
+    gap = half_up(F.abs(F.col("ov") - F.col("cv")))
+    rank = F.row_number().over(Window.partitionBy("centre").orderBy(F.asc_nulls_last("gap"), F.desc("degree"), "other"))
+    return met.withColumn("gap", gap).withColumn("rank", rank).where(F.col("rank") <= most).select("centre", "other", "degree", "gap", "rank")
+
+
 def nearest_in_value(near: DataFrame, values: DataFrame, most: int) -> DataFrame:
     """Neighbours (centre, other, degree) by how close their value is to the centre's; measured ones first,
     then by degree and id."""
     v = values.select("node", finite(F.col("value")).alias("v"))
-    met = near.join(v.select(F.col("node").alias("centre"), F.col("v").alias("cv")), "centre", "left").join(v.select(F.col("node").alias("other"), F.col("v").alias("ov")), "other", "left")
-    gap = half_up(F.abs(F.col("ov") - F.col("cv")))
-    rank = F.row_number().over(Window.partitionBy("centre").orderBy(F.asc_nulls_last("gap"), F.desc("degree"), "other"))
-    return met.withColumn("gap", gap).withColumn("rank", rank).where(F.col("rank") <= most).select("centre", "other", "degree", "gap", "rank")
+    return _closest(near.join(v.select(F.col("node").alias("centre"), F.col("v").alias("cv")), "centre", "left").join(v.select(F.col("node").alias("other"), F.col("v").alias("ov")), "other", "left"), most)
+
+
+def neighbours_in_value(edges: DataFrame, values: DataFrame, most: int, once: bool = False) -> DataFrame:
+    """``nearest_in_value`` of each node of ``values`` (node once, value) among its neighbours in the graph; degrees and values come to
+    an edge together. ``once`` as in ``neighbours``."""
+    v = values.select("node", finite(F.col("value")).alias("v"), F.lit(True).alias("wanted"))
+    met = neighbours(edges, degrees(edges).select("node", "degree").join(v, "node", "left"), once).where("centre_wanted")
+    return _closest(met.select("centre", "other", F.col("other_degree").alias("degree"), F.col("centre_v").alias("cv"), F.col("other_v").alias("ov")), most)
 
 
 def column_roles(columns: list[tuple[str, str, str]]) -> list[tuple[str, str]]:

@@ -123,5 +123,4 @@ def t10_most_measured(s, d):
 @query(f"WITH {_COS}, b AS (SELECT source AS node, target AS other FROM edges UNION SELECT target, source FROM edges), g AS (SELECT node, count(*) AS degree FROM b GROUP BY 1), n AS (SELECT b.node AS centre, other, degree, {h('abs(CAST(y.label AS DOUBLE) - x.label)')} AS gap FROM b JOIN g ON g.node = other JOIN embeddings x ON x.vec_id = b.node JOIN embeddings y ON y.vec_id = other), r AS (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY gap, degree DESC, other) AS rank FROM n) SELECT centre, other, degree, gap, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def t12_nearest_in_value(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("value"))
-    near = gr.neighbourhood(_edges(s, d), v.select("node"), None)
-    return ar.nearest_in_value(near, v, 5)
+    return ar.neighbours_in_value(_edges(s, d), v, 5, once=True)

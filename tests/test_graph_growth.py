@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.operators import graphs
+from tessera.operators import artifacts, graphs
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +36,14 @@ def test_neighbours_of_some_centres_are_ranked(spark, drawn):
     assert sorted(tuple(r) for r in graphs.neighbourhood(edges, centres, 3).collect()) == sorted(want)
 
 
+def test_values_and_degrees_come_to_an_edge_together(spark, drawn):
+    values = spark.createDataFrame([(n, None if n % 7 == 0 else float(n % 5)) for n in range(38)], "node long, value double")
+    edges = frame(spark, drawn)
+    want = artifacts.nearest_in_value(graphs.neighbourhood(edges, values.select("node"), None), values, 3)
+    got = artifacts.neighbours_in_value(edges, values, 3, once=True)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() > 50
+
+
 def test_edges_are_stored_as_they_stand(spark, drawn, monkeypatch):
     stored, cut = [], graphs.cut
     monkeypatch.setattr(graphs, "cut", lambda df, name: stored.append((name, out := cut(df, name))) or out)
