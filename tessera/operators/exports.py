@@ -24,5 +24,10 @@ def edge_table(edges: DataFrame, prefix: str = "similarity-edge-") -> DataFrame:
 
 def node_table(rows: DataFrame, row_id: str, edges: DataFrame) -> DataFrame:
     """row_id, degree of every row, 0 without an edge."""
-    met = rows.select(F.col(row_id).alias("row_id")).join(degrees(edges).select(F.col("node").alias("row_id"), "degree"), "row_id", "left")
+    return degree_table(rows, row_id, degrees(edges))
+
+
+def degree_table(rows: DataFrame, row_id: str, degrees: DataFrame) -> DataFrame:
+    """``node_table`` of degrees (node, degree) that are known."""
+    met = rows.select(F.col(row_id).alias("row_id")).join(degrees.select(F.col("node").alias("row_id"), "degree"), "row_id", "left")
     return met.select("row_id", F.coalesce("degree", F.lit(0)).alias("degree"))

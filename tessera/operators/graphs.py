@@ -22,7 +22,11 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def degree_stats(edges: DataFrame) -> DataFrame:
-    return degrees(edges).agg(F.count(F.lit(1)).alias("nodes"), F.min("degree").alias("min_degree"), half_up(F.median("degree")).alias("median_degree"), F.max("degree").alias("max_degree"))
+    return stats_of_degrees(degrees(edges))
+
+
+def stats_of_degrees(degrees: DataFrame) -> DataFrame:
+    return degrees.agg(F.count(F.lit(1)).alias("nodes"), F.min("degree").alias("min_degree"), half_up(F.median("degree")).alias("median_degree"), F.max("degree").alias("max_degree"))
 
 
 def isolated(rows: DataFrame, row_id: str, edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from tessera.operators import filters as fl
 from tessera.operators import rowsets as rs
 from tessera.operators import summaries as sm
 from tessera.plans import tables_queries as tq
-from tessera.plans.graph_queries import _COS, _edges
+from tessera.plans.graph_queries import _COS, _degrees, _edges
 from tessera.plans.standins import subjects, table, values
 from tessera.plans.tables_queries import V, h
 from tessera.sources import tables as src
@@ -37,7 +37,7 @@ def s10_edge_lines(s, d):
 
 @query(f"WITH {_COS}, g AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM edges UNION ALL SELECT target FROM edges) GROUP BY 1) SELECT vec_id || chr(9) || coalesce(degree, 0) AS value FROM embeddings LEFT JOIN g ON node = vec_id")
 def s10_node_lines(s, d):
-    return src.tsv_lines(ex.node_table(table(s, d, "embeddings"), "vec_id", _edges(s, d)), ["row_id", "degree"])
+    return src.tsv_lines(ex.degree_table(table(s, d, "embeddings"), "vec_id", _degrees(s, d)), ["row_id", "degree"])
 
 
 @query(f"WITH {V} SELECT c_custkey AS subject_id, c_mktsegment AS series, count(endpoint_id) AS endpoints FROM customer LEFT JOIN v ON subject_id = c_custkey GROUP BY 1, 2")
