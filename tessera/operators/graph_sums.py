@@ -17,6 +17,7 @@ from tessera.operators import similarity as si
 from tessera.sources.shared import cut
 
 SUMS = "near boolean, source long, target long, similarity double, n long"
+NOWHERE = -(2**63)  # the place of a row without one, which is no row's parent and no row's child
 
 
 class _Nearest(si._Best):
@@ -69,6 +70,58 @@ class _Degrees:
         return iter(())
 
 
+class _Earlier:
+    """Of each row of a tile the best pair of at least ``least`` with a row of a lesser place: by similarity, then the greater
+    place, then the smaller id."""
+
+    def __init__(self, least: float):
+        self.least = least
+
+    def start(self, held: dict) -> None:
+        self.ids = {b: np.asarray(r.rows, np.int64) for b, r in held.items()}
+        self.place = {b: np.asarray(r.place, np.int64) for b, r in held.items()}
+        self.best = {b: (np.full(len(i), -np.inf), np.full(len(i), NOWHERE), np.zeros(len(i), np.int64)) for b, i in self.ids.items()}
+
+    def see(self, i: int, j: int, x: si._Block, y: si._Block, s: np.ndarray) -> None:
+        width = x.u.shape[1]
+        low, lower = (si._limit(np.maximum(self.best[b][0], self.least), width) for b in (i, j))
+        p, q = si._where((s >= low[:, None]) | (s >= lower[None, :]))
+        near, at, other = s[p, q], self.place[i][p], self.place[j][q]
+        mine = (other < at) & (other != NOWHERE) & (near >= low[p])
+        self._take(i, p[mine], x, j, q[mine], y)
+        if i != j:
+            its = (at < other) & (at != NOWHERE) & (near >= lower[q])
+            self._take(j, q[its], y, i, p[its], x)
+
+    def _take(self, child: int, c: np.ndarray, x: si._Block, parent: int, p: np.ndarray, y: si._Block) -> None:
+        similarity = si._rounded(x.exact(c, y, p))
+        kept = similarity >= self.least
+        c, similarity, place, ids = c[kept], similarity[kept], self.place[parent][p[kept]], self.ids[parent][p[kept]]
+        order = np.lexsort((ids, -place, -similarity, c))
+        order = order[np.diff(c[order], prepend=-1) > 0]  # each child's best
+        c, new = c[order], (similarity[order], place[order], ids[order])
+        old = tuple(b[c] for b in self.best[child])
+        better = (new[0] > old[0]) | ((new[0] == old[0]) & ((new[1] > old[1]) | ((new[1] == old[1]) & (new[2] < old[2]))))
+        for b, n in zip(self.best[child], new):
+            b[c[better]] = n[better]
+
+    def tile(self) -> Iterator[tuple]:
+        for b, (similarity, place, ids) in self.best.items():
+            some = similarity > -np.inf
+            yield self.ids[b][some], ids[some], similarity[some], place[some]
+
+    def task(self) -> Iterator[tuple]:
+        return iter(())
+
+
+def _with_places(blocks: DataFrame, places: DataFrame) -> DataFrame:
+    """``blocks`` with place, those of ``places`` (row, place) in the order of their rows."""
+    own = blocks.select("block", F.posexplode("rows").alias("at", "row")).join(places, "row", "left")
+    kept = F.sort_array(F.collect_list(F.struct("at", F.coalesce("place", F.lit(NOWHERE)).alias("place"))))
+    own = own.groupBy("block").agg(kept.alias("l")).select("block", F.col("l.place").alias("place"))
+    return blocks.join(cut(own, "places"), "block")
+
+
 def _found(tiles: DataFrame, k: int | None, least: float | None, cap: float, kind: Callable) -> DataFrame:
     """near rows: source and its nearest targets, k a tile, of rows whose k-th may be below ``cap``. Others: what ``kind`` sums up
     of the pairs of at least ``least``."""
@@ -107,7 +160,7 @@ def _found(tiles: DataFrame, k: int | None, least: float | None, cap: float, kin
     return tiles.mapInPandas(run, SUMS)
 
 
-def _summed(vectors: DataFrame, row_id: str, vector: str, mode: str, k: int, least: float, kind: Callable, all_near: bool = False) -> tuple[DataFrame, DataFrame] | None:
+def _summed(vectors: DataFrame, row_id: str, vector: str, mode: str, k: int, least: float, kind: Callable, all_near: bool = False, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame] | None:
     """The different pairs source < target, similarity, near (by how many of both) among the k nearest (those below the threshold;
     ``all_near``: all) and what ``kind`` sums up of the pairs at the threshold. None where ids repeat."""
     k, least = si.chosen(mode, k, least)
@@ -116,6 +169,7 @@ def _summed(vectors: DataFrame, row_id: str, vector: str, mode: str, k: int, lea
     if count > different:
         return None
     blocks, pairs = si._blocks_and_pairs(rows, count, k, least, si.BLOCK_ROWS)
+    blocks = blocks if places is None else _with_places(blocks, places)
     cap = np.inf if all_near or least is None else least
     kept = cut(_found(si._tiles(blocks, pairs, count, si.BLOCK_ROWS), k, least, cap, kind), "sums")
     near = si._ranked(kept.where("near"), k or 0).groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("near"))
@@ -130,3 +184,19 @@ def degrees(vectors: DataFrame, row_id: str, vector: str, mode: str = "hybrid",
     near, above = found
     ends = graphs.both_ways(near).select("node", F.lit(1).cast("long").alias("n")).unionByName(above.select(F.col("source").alias("node"), "n"))
     return ends.groupBy("node").agg(F.sum("n").alias("degree"))
+
+
+def parents(vectors: DataFrame, row_id: str, vector: str, place: str, mode: str = "hybrid", k: int = 5, least: float = 0.85) -> DataFrame:
+    """``graphs.parents`` of ``similarity.graph``, by its similarities and a column of whole numbers: child, parent, score."""
+    places = vectors.where(F.col(vector).isNotNull()).select(F.col(row_id).cast("long").alias("row"), F.col(place).cast("long").alias("place"))
+    found = _summed(vectors, row_id, vector, mode, k, least, _Earlier, places=places)
+    if found is None:
+        edges = si.graph(vectors, row_id, vector, mode, k, least).select("source", "target", F.col("similarity").alias("score"))
+        return graphs.parents(edges, vectors.select(F.col(row_id).alias("node"), F.col(place).alias("place")))
+    near, above = found
+    at = lambda n: places.select(F.col("row").alias(n), F.col("place").alias(f"{n}_place"))
+    met = near.join(at("source"), "source").join(at("target"), "target").where("source_place <> target_place")
+    later = F.col("source_place") > F.col("target_place")
+    ends = F.when(later, F.struct("source", "target", "target_place")).otherwise(F.struct(F.col("target").alias("source"), F.col("source").alias("target"), F.col("source_place").alias("target_place")))
+    below = met.select(ends.alias("e"), "similarity").select(F.col("e.source").alias("child"), F.col("e.target").alias("parent"), F.col("similarity").alias("score"), F.col("e.target_place").alias("parent_place"))
+    return graphs.best_parents(below.unionByName(above.select(F.col("source").alias("child"), F.col("target").alias("parent"), F.col("similarity").alias("score"), F.col("n").alias("parent_place"))))

@@ -164,7 +164,11 @@ def parents(edges: DataFrame, order: DataFrame) -> DataFrame:
     then its id. ``edges`` (source, target, score), ``order`` (node, place)."""
     place = lambda n: order.select(F.col("node").alias(n), F.col("place").alias(f"{n}_place"))
     directed = edges.select(F.col("source").alias("child"), F.col("target").alias("parent"), "score").unionByName(edges.select(F.col("target").alias("child"), F.col("source").alias("parent"), "score"))
-    earlier = directed.join(place("child"), "child").join(place("parent"), "parent").where("parent_place < child_place")
+    return best_parents(directed.join(place("child"), "child").join(place("parent"), "parent").where("parent_place < child_place"))
+
+
+def best_parents(earlier: DataFrame) -> DataFrame:
+    """The rows of ``earlier`` (child, parent, score, parent_place) that ``parents`` takes."""
     best = F.row_number().over(Window.partitionBy("child").orderBy(F.desc("score"), F.desc("parent_place"), "parent"))
     return earlier.withColumn("_r", best).where("_r = 1").select("child", "parent", "score")
 

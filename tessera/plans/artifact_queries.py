@@ -10,7 +10,7 @@ from tessera.operators import filters as fl
 from tessera.operators import graphs as gr
 from tessera.operators import pairs as pa
 from tessera.operators import summaries as sm
-from tessera.plans.graph_queries import _CLUSTERS, _COS, _DELTAS, _PAIRS, _STATS, _clusters, _deltas, _edges, _mean
+from tessera.plans.graph_queries import _CLUSTERS, _COS, _DELTAS, _PAIRS, _STATS, _clusters, _deltas, _edges, _mean, _parents
 from tessera.plans.standins import part_values, records, subjects, table, values
 from tessera.plans.tables_queries import V, h
 
@@ -96,8 +96,7 @@ def a16_status_counts(s, d):
 
 @query(f"WITH RECURSIVE {_COS}, x AS (SELECT target AS child, source AS parent, similarity AS score FROM edges), k AS (SELECT *, row_number() OVER (PARTITION BY child ORDER BY score DESC, parent DESC) AS r FROM x), b AS (SELECT child AS node, parent AS other FROM k WHERE r = 1 UNION SELECT parent, child FROM k WHERE r = 1), w AS (SELECT node, node AS c FROM b UNION SELECT other, c FROM w JOIN b USING (node)), m AS (SELECT node, min(c) AS component FROM w GROUP BY 1) SELECT component, count(*) AS size FROM m GROUP BY 1")
 def a31_rows_per_lineage(s, d):
-    order = table(s, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("vec_id").alias("place"))
-    forest = gr.parents(_edges(s, d).select("source", "target", F.col("similarity").alias("score")), order)
+    forest = _parents(s, d)
     return gr.component_sizes(forest.select(F.col("child").alias("source"), F.col("parent").alias("target")))
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tests.test_similarity_blocks import clustered, frame
 
@@ -51,3 +52,20 @@ def test_degree_queries_store_no_edges(spark, monkeypatch):
     lines = dict(r.value.split("\t") for r in export_queries.s10_node_lines(spark, SMALL).collect())
     assert [(n, d) for n, d in want if lines[str(n)] != str(d)] == [] and sum(map(int, lines.values())) == sum(d for _, d in want)
     assert graph_queries.a11_degree_stats(spark, SMALL).first().nodes == len(want)
+
+
+@pytest.mark.parametrize("kind, mode, least", [CASES[0], ("many", "threshold", -1.0), *CASES[2:3], *CASES[4:]])
+def test_parents_are_those_of_the_edges(spark, monkeypatch, kind, mode, least):
+    at = F.when(F.col("vec_id") % 11 > 0, F.col("vec_id") % 50)  # ties, and rows without a place
+    given = drawn(spark, kind, monkeypatch).withColumn("at", at)
+    edges = similarity.graph(given, "vec_id", "embedding", mode, 3, least).select("source", "target", F.col("similarity").alias("score"))
+    want = rows_of(graphs.parents(edges, given.select(F.col("vec_id").alias("node"), F.col("at").alias("place"))))
+    assert rows_of(graph_sums.parents(given, "vec_id", "embedding", "at", mode, 3, least)) == want and want
+
+
+def test_parent_queries_store_no_edges(spark, monkeypatch):
+    edges = graph_queries._edges(spark, SMALL).select("source", "target", F.col("similarity").alias("score"))
+    order = graph_queries.table(spark, SMALL, "embeddings").select(F.col("vec_id").alias("node"), F.col("vec_id").alias("place"))
+    want = rows_of(graphs.parents(edges, order))
+    monkeypatch.setattr(similarity, "_edges", None)
+    assert rows_of(graph_queries.j12_parents(spark, SMALL)) == want and len(want) > 100
