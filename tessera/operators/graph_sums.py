@@ -17,6 +17,7 @@ from tessera.operators import similarity as si
 from tessera.sources.shared import cut
 
 SUMS = "near boolean, source long, target long, similarity double, n long"
+MILLION = 10**6  # similarities have six places
 NOWHERE = -(2**63)  # the place of a row without one, which is no row's parent and no row's child
 
 
@@ -30,6 +31,14 @@ class _Nearest(si._Best):
     def open(self) -> bool:
         return bool((self.floor < np.inf).any())
 
+    def take(self, p: np.ndarray, similarity: np.ndarray, other: np.ndarray) -> None:
+        """What ``see`` would find among pairs that hold all of at least the least floor, by their rounded similarities."""
+        kept = similarity >= self.floor[p]
+        self.new.append((p[kept], similarity[kept], other[kept]))
+        self.waiting += int(kept.sum())
+        if self.waiting > 2 * self.k * len(self.block.ids):
+            self.settle()
+
     def settle(self) -> None:
         super().settle()
         self.floor[self.floor >= self.cap] = np.inf
@@ -114,6 +123,36 @@ class _Earlier:
         return iter(())
 
 
+class _Counts:
+    """Of each similarity of at least ``least`` the pairs that have it, as a task has seen them."""
+
+    def __init__(self, least: float):
+        self.least, self.low = least, max(-MILLION, int(np.floor(least * MILLION)) - 1)
+        self.n = np.zeros(max(0, MILLION + 2 - self.low), np.int64)
+
+    def start(self, held: dict) -> None:
+        pass
+
+    def see(self, i: int, j: int, x: si._Block, y: si._Block, s: np.ndarray) -> tuple | None:
+        """The pairs with their rounded similarities, where none is left out."""
+        p, q = si._where(s >= si._limit(self.least, x.u.shape[1]))
+        if i == j:
+            p, q = (n[x.ids[p] < y.ids[q]] for n in (p, q))
+        similarity = si._rounded(x.exact(p, y, q))
+        kept = similarity >= self.least
+        p, q, similarity = p[kept], q[kept], similarity[kept]
+        np.add.at(self.n, np.rint(similarity * MILLION).astype(np.int64) - self.low, 1)
+        return None if i == j else (p, q, similarity)
+
+    def tile(self) -> Iterator[tuple]:
+        return iter(())
+
+    def task(self) -> Iterator[tuple]:
+        some = np.flatnonzero(self.n)
+        none = np.zeros(len(some), np.int64)
+        yield none, none, (some + self.low) / MILLION, self.n[some]
+
+
 def _with_places(blocks: DataFrame, places: DataFrame) -> DataFrame:
     """``blocks`` with place, those of ``places`` (row, place) in the order of their rows."""
     own = blocks.select("block", F.posexplode("rows").alias("at", "row")).join(places, "row", "left")
@@ -133,16 +172,17 @@ def _found(tiles: DataFrame, k: int | None, least: float | None, cap: float, kin
             if sums:
                 sums.start(held)
             for i, j, x, y, s in si._products(held, pairs):
+                known = sums.see(i, j, x, y, s) if sums else None
                 if k is not None:
                     for b, block in ((i, x), (j, y)):
                         if b not in best:
                             best[b] = _Nearest(block, k, held[b].own, cap)
-                    if best[i].open():
-                        best[i].see(y, s, True)
-                    if i != j and best[j].open():
-                        best[j].see(x, s, False)
-                if sums:
-                    sums.see(i, j, x, y, s)
+                    for b, other, across in ((i, y, True), (j, x, False))[: 1 if i == j else 2]:
+                        if known and best[b].floor.min() >= least:
+                            p, q = known[:2] if across else known[1::-1]
+                            best[b].take(p, known[2], other.ids[q])
+                        elif best[b].open():
+                            best[b].see(other, s, across)
             for b in best.values():
                 source, target, similarity, near = b.rows()
                 yield near, source, target, similarity, np.zeros(len(source), np.int64)
@@ -200,3 +240,14 @@ def parents(vectors: DataFrame, row_id: str, vector: str, place: str, mode: str
     ends = F.when(later, F.struct("source", "target", "target_place")).otherwise(F.struct(F.col("target").alias("source"), F.col("source").alias("target"), F.col("source_place").alias("target_place")))
     below = met.select(ends.alias("e"), "similarity").select(F.col("e.source").alias("child"), F.col("e.target").alias("parent"), F.col("similarity").alias("score"), F.col("e.target_place").alias("parent_place"))
     return graphs.best_parents(below.unionByName(above.select(F.col("source").alias("child"), F.col("target").alias("parent"), F.col("similarity").alias("score"), F.col("n").alias("parent_place"))))
+
+
+def counts(vectors: DataFrame, row_id: str, vector: str, mode: str = "hybrid", k: int = 5, least: float = 0.85) -> DataFrame:
+    """similarity, n, mutual: how many edges of ``similarity.graph`` have each similarity, and how many of these are mutual."""
+    found = _summed(vectors, row_id, vector, mode, k, least, _Counts, all_near=True)
+    if found is None:
+        return si.graph(vectors, row_id, vector, mode, k, least).groupBy("similarity").agg(F.count(F.lit(1)).alias("n"), F.count_if("mutual").alias("mutual"))
+    near, above = found
+    below = F.lit(True) if mode == "knn" else F.col("similarity") < F.lit(float(least))  # others are counted above
+    ways = near.select("similarity", F.when(below, 1).otherwise(0).cast("long").alias("n"), F.when(F.col("near") == 2, 1).otherwise(0).cast("long").alias("mutual"))
+    return ways.unionByName(above.select("similarity", "n", F.lit(0).cast("long").alias("mutual"))).groupBy("similarity").agg(F.sum("n").alias("n"), F.sum("mutual").alias("mutual"))

@@ -35,7 +35,15 @@ def isolated(rows: DataFrame, row_id: str, edges: DataFrame) -> DataFrame:
 
 
 def similarity_stats(edges: DataFrame) -> DataFrame:
-    values = ranks.ranked_values(edges, [], finite(F.col("similarity")), {"both": F.count_if("mutual")})
+    return stats_of_values(ranks.ranked_values(edges, [], finite(F.col("similarity")), {"both": F.count_if("mutual")}))
+
+
+def stats_of_counts(counts: DataFrame) -> DataFrame:
+    """``similarity_stats`` of edges that are counted by similarity: similarity, n, mutual."""
+    return stats_of_values(ranks.ranked_counts(counts.select(F.col("similarity").alias("x"), "n", F.col("mutual").alias("both")), []))
+
+
+def stats_of_values(values: DataFrame) -> DataFrame:
     quartiles = [half_up(ranks.quantile(p)).alias(name) for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))]
     return values.agg(ranks.count().alias("edges"), F.coalesce(F.sum("both"), F.lit(0)).alias("mutual"), half_up(F.min("x")).alias("min"), *quartiles, half_up(F.max("x")).alias("max"))
 

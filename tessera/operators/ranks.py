@@ -21,7 +21,11 @@ def ranked_values(rows: DataFrame, group: list[str], value: Column, sums: dict[s
     different values is ranked by a window of its own; one with more by ranges of its values, so that it fills many
     tasks, none in memory. Both ways give the same rows.
     """
-    counts = rows.groupBy(*group, value.alias("x")).agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in (sums or {}).items()])
+    return ranked_counts(rows.groupBy(*group, value.alias("x")).agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in (sums or {}).items()]), group)
+
+
+def ranked_counts(counts: DataFrame, group: list[str]) -> DataFrame:
+    """``ranked_values`` of values that are counted: x, n and what was taken along, once per group and value."""
     counts = cut(counts, "counts")
     sizes = counts.groupBy(*group).agg(F.count(F.lit(1)).alias(_SHARE)).where(F.col(_SHARE) > LARGE).drop(_SHARE)
     if not group:

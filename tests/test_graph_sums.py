@@ -69,3 +69,24 @@ def test_parent_queries_store_no_edges(spark, monkeypatch):
     want = rows_of(graphs.parents(edges, order))
     monkeypatch.setattr(similarity, "_edges", None)
     assert rows_of(graph_queries.j12_parents(spark, SMALL)) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("kind, mode, least", [CASES[0], ("many", "threshold", -1.0), *CASES[2:3], *CASES[4:]])
+def test_counts_are_those_of_the_edges(spark, monkeypatch, kind, mode, least):
+    args = (drawn(spark, kind, monkeypatch), "vec_id", "embedding", mode, 3, least)
+    edges, got = similarity.graph(*args), graph_sums.counts(*args)
+    want = rows_of(edges.groupBy("similarity").agg(F.count(F.lit(1)), F.count_if("mutual")))
+    assert rows_of(got) == want and want
+    assert rows_of(graphs.stats_of_counts(got)) == rows_of(graphs.similarity_stats(edges))
+
+
+def test_no_rows_have_no_counts(spark):
+    empty = frame(spark, [1], [[1.0]]).limit(0)
+    assert rows_of(graphs.stats_of_counts(graph_sums.counts(empty, "vec_id", "embedding"))) == rows_of(graphs.similarity_stats(similarity.graph(empty, "vec_id", "embedding")))
+    assert not graph_sums.degrees(empty, "vec_id", "embedding").count() and not graph_sums.parents(empty, "vec_id", "embedding", "vec_id").count()
+
+
+def test_similarity_statistics_store_no_edges(spark, monkeypatch):
+    want = rows_of(graphs.similarity_stats(graph_queries._edges(spark, SMALL)).select("edges", "mutual", "min", "p25", "p50", "p75", "max"))
+    monkeypatch.setattr(similarity, "_edges", None)
+    assert rows_of(graph_queries.a12_similarity_stats(spark, SMALL)) == want and want[0][1] > 0
