@@ -200,22 +200,32 @@ def _found(tiles: DataFrame, k: int | None, least: float | None, cap: float, kin
     return tiles.mapInPandas(run, SUMS)
 
 
-def _summed(vectors: DataFrame, row_id: str, vector: str, mode: str, k: int, least: float, kind: Callable, all_near: bool = False, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame] | None:
-    """The different pairs source < target, similarity, near (by how many of both) among the k nearest (those below the threshold;
-    ``all_near``: all) and what ``kind`` sums up of the pairs at the threshold. None where ids repeat."""
-    k, least = si.chosen(mode, k, least)
+def _blocks(vectors: DataFrame, row_id: str, vector: str, k: int | None, least: float | None) -> tuple[DataFrame, DataFrame, int] | None:
+    """The rows in blocks, the pairs of blocks to meet, and the number of rows. None where ids repeat."""
     rows = si._rows(vectors, row_id, vector)
     count, different = rows.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
-    if count > different:
-        return None
-    blocks, pairs = si._blocks_and_pairs(rows, count, k, least, si.BLOCK_ROWS)
-    blocks = blocks if places is None else _with_places(blocks, places)
+    return None if count > different else (*si._blocks_and_pairs(rows, count, k, least, si.BLOCK_ROWS), count)
+
+
+def _near_and_sums(blocks: DataFrame, pairs: DataFrame, count: int, k: int | None, least: float | None, kind: Callable, all_near: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The different pairs source < target, similarity, near (by how many of both) among the k nearest (those below the threshold;
+    ``all_near``: all) and what ``kind`` sums up of the pairs at the threshold."""
     cap = np.inf if all_near or least is None else least
     kept = cut(_found(si._tiles(blocks, pairs, count, si.BLOCK_ROWS), k, least, cap, kind), "sums")
     near = si._ranked(kept.where("near"), k or 0).groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("near"))
     return near.where(F.col("similarity") < F.lit(float(cap))), kept.where("not near")
 
 
+def _summed(vectors: DataFrame, row_id: str, vector: str, mode: str, k: int, least: float, kind: Callable, all_near: bool = False, places: DataFrame | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """``_near_and_sums`` of the graph. None where ids repeat."""
+    k, least = si.chosen(mode, k, least)
+    made = _blocks(vectors, row_id, vector, k, least)
+    if made is None:
+        return None
+    blocks, pairs, count = made
+    return _near_and_sums(blocks if places is None else _with_places(blocks, places), pairs, count, k, least, kind, all_near)
+
+
 def degrees(vectors: DataFrame, row_id: str, vector: str, mode: str = "hybrid", k: int = 5, least: float = 0.85) -> DataFrame:
     """node, degree: the rows of ``similarity.graph`` that have edges, and how many."""
     found = _summed(vectors, row_id, vector, mode, k, least, _Degrees)
