@@ -10,7 +10,7 @@ from tessera.operators import filters as fl
 from tessera.operators import graphs as gr
 from tessera.operators import pairs as pa
 from tessera.operators import summaries as sm
-from tessera.plans.graph_queries import _CLUSTERS, _COS, _DELTAS, _PAIRS, _STATS, _clusters, _deltas, _edges, _mean, _parents
+from tessera.plans.graph_queries import _CLUSTERS, _COS, _DELTAS, _PAIRS, _STATS, _clusters, _deltas, _edges, _led, _mean, _parents
 from tessera.plans.standins import part_values, records, subjects, table, values
 from tessera.plans.tables_queries import V, h
 
@@ -80,7 +80,7 @@ def a14_collapsed_neighbours(s, d):
 
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT leader, count(*) AS size, {h('min(similarity) FILTER (row_id <> leader)')} AS min_similarity, {_mean('CASE WHEN row_id <> leader THEN similarity END')} AS mean_similarity FROM cl GROUP BY 1")
 def a15_cluster_summary(s, d):
-    return cl.cluster_summary(_clusters(s, d)[0], with_singletons=True)
+    return cl.cluster_summary(_led(s, d), with_singletons=True)
 
 
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT leader, count(*) AS size FROM cl GROUP BY 1 HAVING count(*) > 1")
