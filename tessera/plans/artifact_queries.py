@@ -10,7 +10,7 @@ from tessera.operators import filters as fl
 from tessera.operators import graphs as gr
 from tessera.operators import pairs as pa
 from tessera.operators import summaries as sm
-from tessera.plans.graph_queries import _CLUSTERS, _COS, _DELTAS, _PAIRS, _STATS, _clusters, _deltas, _edges, _led, _mean, _parents
+from tessera.plans.graph_queries import _CLUSTERS, _COS, _DELTAS, _PAIRS, _STATS, _deltas, _edges, _led, _mean, _parents
 from tessera.plans.standins import part_values, records, subjects, table, values
 from tessera.plans.tables_queries import V, h
 
@@ -85,7 +85,7 @@ def a15_cluster_summary(s, d):
 
 @query(f"WITH RECURSIVE {_CLUSTERS} SELECT leader, count(*) AS size FROM cl GROUP BY 1 HAVING count(*) > 1")
 def f14_without_singletons(s, d):
-    return cl.cluster_summary(_clusters(s, d)[0]).select("leader", "size")
+    return cl.cluster_summary(_led(s, d)).select("leader", "size")
 
 
 @query("SELECT p_brand, count(*) AS total, count(*) FILTER (p_size % 4 = 0) AS applied, count(*) FILTER (p_size % 4 = 1) AS no_match, count(*) FILTER (p_size % 4 = 2) AS non_unique, count(*) FILTER (p_size % 4 = 3) AS invalid FROM part GROUP BY 1")
